@@ -11,15 +11,17 @@ from clickloom.session import broadcast_if_small, cut_lineage
 
 
 @contextmanager
-def by_row(examples: DataFrame, partitions: int | None = None):
+def by_row(examples: DataFrame, partitions: int | None = None, placed: bool = False):
     """Examples hash-partitioned and sorted on ``row_id``, kept for the iterations inside.
 
     The explicit partition number stops later stages from re-shuffling: the per-row sums of every
-    iteration then run inside the partitions.
+    iteration then run inside the partitions. ``placed`` examples already have this layout.
     """
     spark = examples.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = examples.repartition(n, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    if not placed:
+        examples = examples.repartition(n, "row_id").sortWithinPartitions("row_id")
+    kept = examples.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kept.count()
         yield kept
@@ -37,7 +39,14 @@ def hot_keys(df: DataFrame, on: list[str], rows: int) -> DataFrame:
     return df.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).drop("_n")
 
 
-def lookup(examples: DataFrame, model: DataFrame, on: list[str], hot: DataFrame | None = None, salts: int = 32) -> DataFrame:
+def lookup(
+    examples: DataFrame,
+    model: DataFrame,
+    on: list[str],
+    hot: DataFrame | None = None,
+    salts: int = 32,
+    salt_on: str = "row_id",
+) -> DataFrame:
     """Left join of examples with a model table on ``on``.
 
     Without ``hot`` Spark chooses: broadcast by measured size, or a shuffled join with AQE skew
@@ -47,7 +56,7 @@ def lookup(examples: DataFrame, model: DataFrame, on: list[str], hot: DataFrame
     if hot is None:
         return examples.join(model, on, "left")
     marked = hot.withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(F.lit(0))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_on), F.lit(salts))).otherwise(F.lit(0))
     big = examples.join(F.broadcast(marked), on, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     small = model.join(F.broadcast(marked), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
@@ -58,8 +67,8 @@ def lookup(examples: DataFrame, model: DataFrame, on: list[str], hot: DataFrame
 class ModelLookup:
     """Chooses the join for one training run: broadcast within the bound, else salted hot keys."""
 
-    def __init__(self, examples: DataFrame, on: list[str], max_rows: int, hot_rows: int = 5_000_000):
-        self.on, self.max_rows, self.hot_rows = on, max_rows, hot_rows
+    def __init__(self, examples: DataFrame, on: list[str], max_rows: int, hot_rows: int = 5_000_000, salt_on: str = "row_id"):
+        self.on, self.max_rows, self.hot_rows, self.salt_on = on, max_rows, hot_rows, salt_on
         self.examples, self.hot = examples, None
 
     def join(self, model: DataFrame) -> DataFrame:
@@ -68,4 +77,4 @@ class ModelLookup:
             return self.examples.join(hinted, self.on, "left")
         if self.hot is None:  # the hot keys depend on the examples only, so one count serves all iterations
             self.hot = cut_lineage(hot_keys(self.examples, self.on, self.hot_rows))
-        return lookup(self.examples, model, self.on, self.hot)
+        return lookup(self.examples, model, self.on, self.hot, salt_on=self.salt_on)

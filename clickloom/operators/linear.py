@@ -132,6 +132,7 @@ def fit_majorized(
     normalizer: DataFrame | float | None = None,
     tol: float = 1e-6,
     broadcast_rows: int = BROADCAST_ROWS,
+    placed: bool = False,
 ) -> DataFrame:
     """Minimise mean loss + lam/2 |w|^2 (or lam |w|_1) without a step size.
 
@@ -142,7 +143,7 @@ def fit_majorized(
     """
     _check_reg(reg)
     on = list(keys)
-    with by_row(examples) as arranged:
+    with by_row(examples, placed=placed) as arranged:
         bound = cut_lineage(curvature(arranged, keys))
         if isinstance(normalizer, DataFrame):
             bound = cut_lineage(bound.drop("rows").join(normalizer, on[:-1]))
@@ -223,6 +224,46 @@ def average_models(old: DataFrame, done: DataFrame, reg: str) -> DataFrame:
     return known.select("feature", (base + F.coalesce("delta", F.lit(0.0))).alias("w"))
 
 
+KEYED_SCHEMA = "entity_id string, shard int, feature string, w double, w0 double, rows long, amount double"
+
+
+def fit_sgd_by_key(
+    examples: DataFrame,
+    weights: DataFrame,
+    alpha: float = 0.1,
+    lam: float = 0.0,
+    reg: str = "l2",
+    loss: str = "exp",
+    feature_rows: int = 20_000_000,
+) -> DataFrame:
+    """One sequential SGD pass per entity from ``weights(entity_id, feature, w)``.
+
+    An entity with more feature rows than the bound is split into shards that are averaged, so its
+    size does not decide the run time. Entities without rows keep their weights.
+    """
+    _check_reg(reg)
+    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["entity_id", "shard"]
+    sharded = passes.split_groups(examples.withColumn("offset", _offset(examples)), "entity_id", feature_rows)
+    joined = lookup(passes.place(sharded, group, n), weights, ["entity_id", "feature"])
+    packed = passes.pack(joined, group, ["row_id", "label", "offset"], {"w": F.lit(0.0)})
+    learner = partial(passes.SgdPass, alpha, lam, reg, loss)
+    inputs = ["label", "offset", "feature", "value", "w"]
+    done = cut_lineage(passes.run_pass(packed, group, ["row_id"], inputs, learner, KEYED_SCHEMA))
+    stats = done.filter(F.col("feature").isNull()).select("entity_id", "shard", "rows", "amount")
+    totals = stats.groupBy("entity_id").agg(F.sum("rows").alias("total"))
+    share = F.col("rows") / F.col("total")
+    base = weights.join(stats.join(totals, "entity_id"), "entity_id", "left").select(
+        "entity_id",
+        "feature",
+        (F.coalesce(share, F.lit(1.0)) * _shrunk(F.col("w"), F.coalesce("amount", F.lit(0.0)), reg)).alias("part"),
+    )
+    moved = done.filter(F.col("feature").isNotNull()).join(totals, "entity_id").select(
+        "entity_id", "feature", (share * (F.col("w") - _shrunk(F.col("w0"), F.col("amount"), reg))).alias("part")
+    )
+    return base.unionByName(moved).groupBy("entity_id", "feature").agg(F.sum("part").alias("w"))
+
+
 def token_vectors(examples: DataFrame, vocabulary: list[str]) -> DataFrame:
     """One sparse 0/1 vector per row over ``vocabulary`` (JVM-side)."""
     from pyspark.ml.feature import CountVectorizerModel
