@@ -39,7 +39,7 @@ def pack(joined: DataFrame, group: list[str], keys: list[str], values: dict[str,
         F.array_sort(F.collect_list(F.struct("feature", "value", *cells))).alias("cells")
     )
     names = ["feature", "value", *values]
-    return packed.select(*group, *keys, *[F.transform("cells", lambda c, n=n: c[n]).alias(n) for n in names])
+    return packed.select(*group, *keys, *[F.col(f"cells.{n}").alias(n) for n in names])
 
 
 def run_pass(packed: DataFrame, group: list[str], order: list[str], inputs: list[str], learner, schema: str) -> DataFrame:

@@ -51,10 +51,19 @@ def block_starts() -> list[int]:
     return starts
 
 
-def profile_levels(profiles: DataFrame) -> DataFrame:
-    """``(user_id, levels, pattern)``; equal patterns are equal profiles."""
-    out = profiles.select("user_id", levels().alias("levels"))
-    return out.withColumn("pattern", F.concat_ws("-", F.col("levels").cast("array<string>")))
+LEVEL_BITS = 4  # every attribute has fewer than 16 levels
+
+
+def profile_patterns(profiles: DataFrame) -> DataFrame:
+    """``(user_id, pattern)``: the eight levels packed into one BIGINT, 4 bits each."""
+    code = sum((F.shiftleft(F.get(levels(), F.lit(i)).cast("bigint"), LEVEL_BITS * i) for i in range(8)), F.lit(0))
+    return profiles.select("user_id", code.cast("bigint").alias("pattern"))
+
+
+def pattern_text(pattern: Column, attributes: int = 8) -> Column:
+    """Readable form of a packed pattern: levels joined by ``-``."""
+    parts = [F.shiftright(pattern, LEVEL_BITS * i).bitwiseAND(F.lit(15)).cast("string") for i in range(attributes)]
+    return F.concat_ws("-", *parts)
 
 
 def _legacy_slots() -> Column:

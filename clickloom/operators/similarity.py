@@ -12,79 +12,66 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickloom.operators.profile import LEVEL_BITS
 from clickloom.session import cut_lineage
 
 Mask = tuple[int, ...]
 
 
-def pattern_table(levels: DataFrame, keep: int = 1) -> DataFrame:
-    """``(pattern, levels, users, first_ids)``: user count and the ``keep`` smallest user ids.
+def pattern_table(patterns: DataFrame, keep: int = 1) -> DataFrame:
+    """``(pattern, users, first_ids)``: user count and the ``keep`` smallest user ids.
 
     ``row_number <= keep`` is limited on the map side, so a hot pattern sends ``keep`` rows per task.
     """
     order = Window.partitionBy("pattern").orderBy("user_id")
     firsts = (
-        levels.select("pattern", "user_id")
+        patterns.select("pattern", "user_id")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= keep)
         .groupBy("pattern")
         .agg(F.array_sort(F.collect_list("user_id")).alias("first_ids"))
     )
-    counts = levels.groupBy("pattern").agg(F.first("levels").alias("levels"), F.count("*").alias("users"))
+    counts = patterns.groupBy("pattern").agg(F.count("*").alias("users"))
     return counts.join(firsts, "pattern")
 
 
-def _with_masks(patterns: DataFrame, masks: list[Mask]) -> DataFrame:
-    """One row per (pattern, mask): ``mask`` number and the levels at its positions."""
-    entries = [
-        F.struct(
-            F.lit(number).alias("mask"),
-            F.concat_ws("-", *[F.get("levels", F.lit(i)).cast("string") for i in mask]).alias("part"),
-        )
-        for number, mask in enumerate(masks)
-    ]
-    return patterns.withColumn("m", F.explode(F.array(*entries))).select("*", "m.mask", "m.part").drop("m")
+def _flags(mask: Mask) -> int:
+    """One bit per attribute of the mask, at the attribute's lowest bit."""
+    return sum(1 << (LEVEL_BITS * i) for i in mask)
 
 
-def _agreeing(a: str, b: str):
-    """Positions at which two level arrays agree, ascending."""
-    same = F.zip_with(a, b, lambda x, y: x == y)
-    flags = F.transform(same, lambda s, i: F.when(s, i))
-    return F.filter(flags, lambda i: i.isNotNull())
+def _with_masks(table: DataFrame, masks: list[Mask]) -> DataFrame:
+    """One row per (pattern, mask): ``mask`` flags and the pattern's bits under the mask."""
+    explode = F.explode(F.array(*[F.lit(_flags(mask)).cast("bigint") for mask in masks]))
+    spread = table.withColumn("mask", explode)
+    wide = F.col("mask") * F.lit(15)  # a flag times 15 covers its four bits
+    return spread.withColumn("part", F.col("pattern").bitwiseAND(wide))
 
 
-def _first_common_mask(masks: list[Mask], agreeing):
-    """Number of the first mask that lies inside the agreeing positions."""
-    options = [
-        F.when(F.size(F.array_except(F.array(*[F.lit(i) for i in mask]), agreeing)) == 0, F.lit(number))
-        for number, mask in enumerate(masks)
-    ]
-    return F.coalesce(*options)
+def _agreeing(a: str, b: str, attributes: int) -> Column:
+    """Flags of the attributes at which two patterns have the same level."""
+    every = _flags(tuple(range(attributes)))
+    x = F.col(a).bitwiseXOR(F.col(b))
+    differs = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+    return differs.bitwiseAND(F.lit(every)).bitwiseXOR(F.lit(every))
 
 
-def _mask_pairs(left: DataFrame, right: DataFrame, masks: list[Mask]) -> DataFrame:
-    """Ordered pairs of different patterns that agree on at least one mask, each pair once."""
+def _mask_pairs(left: DataFrame, right: DataFrame, masks: list[Mask], attributes: int) -> DataFrame:
+    """Ordered pairs of different patterns that agree on a mask, once per common mask."""
     a = _with_masks(left, masks).select(
-        "mask", "part", F.col("pattern").alias("pattern_a"), F.col("levels").alias("levels_a"), F.col("users").alias("users_a")
+        "mask", "part", F.col("pattern").alias("pattern_a"), F.col("users").alias("users_a")
     )
     b = _with_masks(right, masks).select(
-        "mask",
-        "part",
-        F.col("pattern").alias("pattern_b"),
-        F.col("levels").alias("levels_b"),
-        F.col("users").alias("users_b"),
-        F.col("first_ids").alias("ids_b"),
+        "mask", "part", F.col("pattern").alias("pattern_b"), F.col("users").alias("users_b"), F.col("first_ids").alias("ids_b")
     )
     met = a.join(b, ["mask", "part"]).filter(F.col("pattern_a") != F.col("pattern_b"))
-    met = met.withColumn("agree", _agreeing("levels_a", "levels_b"))
-    # A pair meets once per common mask; it is kept at the first one, which needs no shuffle.
-    met = met.filter(F.col("mask") == _first_common_mask(masks, F.col("agree")))
-    return met.withColumn("shared", F.size("agree"))
+    met = met.withColumn("agree", _agreeing("pattern_a", "pattern_b", attributes))
+    return met.withColumn("shared", F.bit_count("agree"))
 
 
-def similar_profiles(patterns: DataFrame, attributes: int = 8, min_shared: int = 6) -> DataFrame:
+def similar_profiles(table: DataFrame, attributes: int = 8, min_shared: int = 6) -> DataFrame:
     """All pattern pairs ``a < b`` with cosine >= min_shared / attributes.
 
     ``(profile_a, profile_b, shared, sim, users_a, users_b)``. User pairs are this table joined with
@@ -92,7 +79,12 @@ def similar_profiles(patterns: DataFrame, attributes: int = 8, min_shared: int =
     users of a popular profile. Users of one pattern have similarity 1 and need no row here.
     """
     masks = list(combinations(range(attributes), min_shared))
-    pairs = _mask_pairs(patterns, patterns, masks).filter(F.col("pattern_a") < F.col("pattern_b"))
+    # A pair meets once per common mask; it is kept at its lowest agreeing attributes (no shuffle):
+    # nothing agrees below the mask's highest flag except the mask itself.
+    limit = _lookup(F.col("mask"), {_flags(m): (1 << (LEVEL_BITS * m[-1] + 1)) - 1 for m in masks})
+    pairs = _mask_pairs(table, table, masks, attributes).filter(
+        (F.col("pattern_a") < F.col("pattern_b")) & (F.col("agree").bitwiseAND(limit) == F.col("mask"))
+    )
     return pairs.select(
         F.col("pattern_a").alias("profile_a"),
         F.col("pattern_b").alias("profile_b"),
@@ -103,6 +95,14 @@ def similar_profiles(patterns: DataFrame, attributes: int = 8, min_shared: int =
     )
 
 
+def _lookup(key: Column, table: dict[int, int]) -> Column:
+    """Small constant table grouped by value, as one CASE expression."""
+    by_value: dict[int, list[int]] = {}
+    for k, v in table.items():
+        by_value.setdefault(v, []).append(k)
+    return F.coalesce(*[F.when(key.isin(keys), F.lit(v).cast("bigint")) for v, keys in by_value.items()])
+
+
 def both_directions(pairs: DataFrame) -> DataFrame:
     """Make a pair table symmetric: (a, b) and (b, a)."""
     back = pairs.select(
@@ -116,15 +116,15 @@ def both_directions(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(back)
 
 
-def similar_users(users: DataFrame, levels: DataFrame, pairs: DataFrame) -> DataFrame:
+def similar_users(users: DataFrame, patterns: DataFrame, pairs: DataFrame) -> DataFrame:
     """User-level entries ``(user_a, user_b, sim)`` for the users asked for.
 
     ``users(user_id)`` is the lookup set; ``pairs`` comes from :func:`both_directions`.
     """
-    asked = levels.join(users.select("user_id"), "user_id", "left_semi").select(
+    asked = patterns.join(users.select("user_id"), "user_id", "left_semi").select(
         F.col("user_id").alias("user_a"), F.col("pattern").alias("profile_a")
     )
-    members = levels.select(F.col("user_id").alias("user_b"), F.col("pattern").alias("profile_b"))
+    members = patterns.select(F.col("user_id").alias("user_b"), F.col("pattern").alias("profile_b"))
     own = asked.select("user_a", F.col("profile_a").alias("profile_b"), F.lit(1.0).alias("sim"))
     other = asked.join(pairs.select("profile_a", "profile_b", "sim"), "profile_a").select("user_a", "profile_b", "sim")
     return (
@@ -135,25 +135,24 @@ def similar_users(users: DataFrame, levels: DataFrame, pairs: DataFrame) -> Data
     )
 
 
-def top_neighbours(levels: DataFrame, k: int = 20, attributes: int = 8) -> DataFrame:
+def top_neighbours(patterns: DataFrame, k: int = 20, attributes: int = 8) -> DataFrame:
     """Exact ``k`` most similar users of every user: ``(user_id, neighbour, shared, rank)``.
 
     Works down from identical profiles to one common attribute. A pattern leaves the search as
     soon as the users found so far are at least ``k``, so only rare profiles reach the wider masks.
     Ties are broken by user id, hence the ``k + 1`` smallest ids of each matched pattern suffice.
     """
-    patterns = cut_lineage(pattern_table(levels, keep=k + 1))
-    found = patterns.select("pattern", (F.col("users") - 1).alias("found"))
-    candidates = [
-        patterns.select("pattern", F.lit(attributes).alias("shared"), F.explode("first_ids").alias("neighbour"))
-    ]
+    table = cut_lineage(pattern_table(patterns, keep=k + 1))
+    found = table.select("pattern", (F.col("users") - 1).alias("found"))
+    candidates = [table.select("pattern", F.lit(attributes).alias("shared"), F.explode("first_ids").alias("neighbour"))]
     for shared in range(attributes - 1, 0, -1):
         hungry = cut_lineage(found.filter(F.col("found") < k))
         if hungry.isEmpty():
             break
         masks = list(combinations(range(attributes), shared))
-        asking = patterns.join(hungry, "pattern", "left_semi")
-        exact = _mask_pairs(asking, patterns, masks).filter(F.col("shared") == shared)
+        asking = table.join(hungry, "pattern", "left_semi")
+        # With exactly this many agreements a pair meets at one mask only.
+        exact = _mask_pairs(asking, table, masks, attributes).filter(F.col("shared") == shared)
         met = cut_lineage(exact.select("pattern_a", "users_b", "ids_b"))
         order = Window.partitionBy("pattern").orderBy("neighbour")
         candidates.append(
@@ -175,7 +174,7 @@ def top_neighbours(levels: DataFrame, k: int = 20, attributes: int = 8) -> DataF
         .agg(F.array_sort(F.collect_list(F.struct("rn", "shared", "neighbour"))).alias("top"))
     )
     mine = F.slice(F.filter("top", lambda t: t["neighbour"] != F.col("user_id")), 1, k)
-    ranked = levels.select("user_id", "pattern").join(top, "pattern").select("user_id", F.posexplode(mine).alias("pos", "t"))
+    ranked = patterns.join(top, "pattern").select("user_id", F.posexplode(mine).alias("pos", "t"))
     return ranked.select(
         "user_id",
         F.col("t.neighbour").alias("neighbour"),
@@ -185,21 +184,24 @@ def top_neighbours(levels: DataFrame, k: int = 20, attributes: int = 8) -> DataF
 
 
 def sampled_masks(attributes: int, size: int, tables: int) -> list[Mask]:
-    """Every n-th mask of the given size, so that all attributes take part."""
+    """Evenly spaced masks of the given size, so that all attributes take part."""
     masks = list(combinations(range(attributes), size))
     stride = max(1, len(masks) // tables)
     return masks[::stride][:tables]
 
 
 def approx_similar_profiles(
-    patterns: DataFrame, attributes: int = 8, min_shared: int = 6, mask_size: int = 6, tables: int = 8
+    table: DataFrame, attributes: int = 8, min_shared: int = 6, mask_size: int = 6, tables: int = 8
 ) -> DataFrame:
     """Bit-sampling LSH: only pairs that agree on one of a few sampled masks are compared.
 
     Found pairs carry their exact similarity; pairs that meet in no table are missed.
     """
-    pairs = _mask_pairs(patterns, patterns, sampled_masks(attributes, mask_size, tables))
-    pairs = pairs.filter((F.col("pattern_a") < F.col("pattern_b")) & (F.col("shared") >= min_shared))
+    masks = sampled_masks(attributes, mask_size, tables)
+    inside = [F.when(F.col("agree").bitwiseAND(F.lit(_flags(m))) == _flags(m), F.lit(_flags(m)).cast("bigint")) for m in masks]
+    pairs = _mask_pairs(table, table, masks, attributes).filter(
+        (F.col("pattern_a") < F.col("pattern_b")) & (F.col("shared") >= min_shared) & (F.col("mask") == F.coalesce(*inside))
+    )
     return pairs.select(
         F.col("pattern_a").alias("profile_a"),
         F.col("pattern_b").alias("profile_b"),
