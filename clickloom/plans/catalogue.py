@@ -26,9 +26,11 @@ from clickloom.operators import (
 )
 from clickloom.operators.online import Rates
 from clickloom.plans import standins as tables
-from clickloom.session import cut_lineage
+from clickloom.session import cut_lineage, scratch_path
 from clickloom.sources import store, text
-from clickloom.sources.params import BIAS
+from clickloom.streaming import features as stream_features
+from clickloom.streaming.learner import StateTable, learner
+from clickloom.streaming.source import file_stream, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -681,3 +683,74 @@ def is_increasing(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     placed = sequence.positions(rows, "o_custkey", ["o_orderdate", "o_orderkey"])
     return sequence.is_increasing(placed, "o_custkey", "o_totalprice")
+
+
+# streams over the files of a folder
+
+
+def _event_stream(spark, sf_dir):
+    return file_stream(spark, sf_dir, "events.parquet")
+
+
+def _folder(spark, name):
+    return scratch_path(spark, name)
+
+
+@query
+def stream_ftrl(spark, sf_dir):
+    path = _folder(spark, "stream_ftrl")
+    state = StateTable(spark, f"{path}/state")
+    state.initialise(_linear_state(tables.event_examples(spark, sf_dir)))
+    stream = tables.event_rows(_event_stream(spark, sf_dir)).select(
+        "row_id", "label", F.explode("features").alias("feature"), F.lit(1.0).alias("value")
+    )
+    run_available(stream.writeStream.foreachBatch(learner(state, LINEAR_RATES)), f"{path}/checkpoint")
+    return _state_rows(state.latest())
+
+
+@query
+def stream_frequency(spark, sf_dir):
+    path = _folder(spark, "stream_frequency")
+    records = store.RecordStore(spark, f"{path}/records")
+    counts = stream_features.running_frequency(_event_stream(spark, sf_dir), ["user_id"], "event_type")
+    sink = stream_features.frequency_sink(records, ["user_id"], "event_type", "FREQ")
+    run_available(counts.writeStream.outputMode("update").foreachBatch(sink), f"{path}/checkpoint")
+    return records.read().select("key", "field", "value")
+
+
+@query
+def stream_rank(spark, sf_dir):
+    path = _folder(spark, "stream_rank")
+    users = rank.user_features(tables.user_info(spark, sf_dir))
+    views = _event_stream(spark, sf_dir).filter(F.col("event_type") == "view")
+    parts = tables.table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
+    requests = tables.request_rows(views.join(F.broadcast(parts)))  # one row
+    sink = stream_features.ranking_sink(users, published_model(spark, sf_dir), f"{path}/ranked")
+    run_available(requests.writeStream.foreachBatch(sink), f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/ranked").drop("batch")
+
+
+@query
+def stream_imp_click(spark, sf_dir):
+    path = _folder(spark, "stream_imp_click")
+    events = tables.with_session(_event_stream(spark, sf_dir)).withColumn("at", F.col("ts").cast("timestamp"))
+    keys = ["list_session_id", "user_id"]
+    views = events.filter("event_type = 'view'").select(*keys, F.col("event_id").alias("view_id"), F.col("at").alias("shown_at"))
+    hits = events.filter("event_type = 'click'").select(*keys, F.col("event_id").alias("click_id"), F.col("at").alias("clicked_at"))
+    joined = stream_features.join_impressions_clicks(views, hits, keys, within="12 hours")
+    writer = joined.select("user_id", "view_id", "click_id").writeStream.format("parquet").option("path", f"{path}/joined")
+    run_available(writer.outputMode("append"), f"{path}/checkpoint")
+    return spark.read.schema("user_id long, view_id long, click_id long").parquet(f"{path}/joined")
+
+
+@query
+def stream_daily_frequency(spark, sf_dir):
+    path = _folder(spark, "stream_daily")
+    counts = stream_features.daily_frequency(_event_stream(spark, sf_dir), "ts", ["user_id"], "event_type")
+    writer = counts.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/days/batch={batch_id}")
+    )
+    run_available(writer, f"{path}/checkpoint")
+    newest = F.max_by("count", "batch").alias("count")
+    days = spark.read.parquet(f"{path}/days").groupBy("day", "user_id", "event_type").agg(newest)
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "count")

@@ -49,7 +49,7 @@ CODES = """CAST(c_custkey % 7 AS INTEGER) AS age_group, CAST(c_nationkey % 3 AS
 USER_INFO = f"user_info AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, {CODES} FROM customer)"
 LOGS = f"""parts AS (SELECT count(*) AS n FROM part),
 sess AS (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS sid, CAST(user_id AS VARCHAR) AS uid, event_type,
-  CAST(epoch_ms(ts) // 1000 AS BIGINT) AS t, {K} AS k FROM events),
+  CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, {K} AS k FROM events),
 cand AS (SELECT sid, x, CAST({hash_int("sid || '|' || x")} % n AS VARCHAR) AS c
   FROM (SELECT DISTINCT sid FROM sess), (SELECT unnest(['0','1','2','3','4','x']) AS x), parts),
 lists AS (SELECT sid, string_agg(c, ',' ORDER BY x) AS feat_id_list FROM cand WHERE x <> 'x' GROUP BY sid),
@@ -390,3 +390,21 @@ SELECT user_id, coalesce(min(i) FILTER (WHERE value > 200), -1) AS first FROM s
 ORACLES["is_increasing"] = """WITH s AS (SELECT o_custkey, o_totalprice AS v,
   lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)
 SELECT o_custkey, bool_and(p IS NULL OR p < v) AS increasing FROM s GROUP BY o_custkey"""
+
+ORACLES["stream_frequency"] = """SELECT 'FREQ:' || user_id AS key, event_type AS field, CAST(count(*) AS VARCHAR) AS value
+FROM events GROUP BY user_id, event_type"""
+ORACLES["stream_daily_frequency"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, count(*) AS count
+FROM events GROUP BY ALL"""
+ORACLES["stream_imp_click"] = """SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c
+ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 12 HOURS
+AND CAST(v.ts AS DATE) = CAST(c.ts AS DATE)"""
+STREAM_RQ = """rq AS (SELECT uid AS user_id, e.sid || '_' || e.event_id AS list_session_id, t AS timestamp, string_split(feat_id_list, ',') AS ids
+  FROM (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS sid, CAST(user_id AS VARCHAR) AS uid, event_id,
+    CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t FROM events WHERE event_type = 'view') e JOIN lists USING (sid)),"""
+STREAM_RANK = RANK.replace("rq AS (SELECT *, string_split(feat_id_list, ',') AS ids FROM imp),", STREAM_RQ).replace("feat_id_list, unnest(range", "unnest(range")
+STREAM_RANK = STREAM_RANK.replace("timestamp, feat_id_list, candidate, min(i)", "timestamp, candidate, min(i)").replace("o.timestamp, o.feat_id_list, o.pos", "o.timestamp, o.pos")
+ORACLES["stream_rank"] = f"""WITH {STREAM_RANK} SELECT user_id, list_session_id, timestamp,
+  string_agg(candidate, ',' ORDER BY round(p, 9) DESC, pos) AS ranked_list, true AS ranked FROM pb GROUP BY user_id, list_session_id, timestamp"""
+ORACLES["stream_ftrl"] = f"""WITH {GRADS}, st0 AS (SELECT feature, w, {WARM} AS z, CAST(0 AS DOUBLE) AS n FROM w0),
+u1 AS (SELECT feature, {ftrl_z('g', 'st0.n', 'w', 'z', 0.5)} AS z, g * g AS n FROM st0 JOIN grads USING (feature))
+SELECT {HEAD}, {r(ftrl_weight('z', 'n', 0.5, 0.5, 0.1))} AS w, {r('z')} AS z, {r('n')} AS n, CAST(1 AS BIGINT) AS step FROM u1"""

@@ -58,6 +58,10 @@ def _session() -> Column:
     return F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd"))
 
 
+def with_session(events: DataFrame) -> DataFrame:
+    return events.withColumn("list_session_id", _session())
+
+
 def _candidate(place) -> Column:
     return (hash_int(F.col("list_session_id"), place) % F.col("parts")).cast("string")
 
@@ -82,7 +86,7 @@ def impressions_of(views: DataFrame) -> DataFrame:
 
 def clicks_of(clicks: DataFrame) -> DataFrame:
     """Click events (with ``parts``) to clicks on the list of that user and day."""
-    rows = clicks.withColumn("list_session_id", _session()).withColumn("k", _k())
+    rows = with_session(clicks).withColumn("k", _k())
     place = F.col("k") % LIST_LENGTH
     stray = F.when(F.col("k") >= 90, F.lit("x")).otherwise(place.cast("string"))
     return rows.select(
@@ -189,3 +193,14 @@ def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking requests: the candidate lists, asked for again."""
     return impressions(spark, sf_dir).withColumnRenamed("feat_id_list", "feat_list")
+
+
+def request_rows(views: DataFrame) -> DataFrame:
+    """One ranking request per view event (with ``parts``); works on a stream, too."""
+    rows = with_session(views)
+    return rows.select(
+        F.col("user_id").cast("string").alias("user_id"),
+        F.concat_ws("_", "list_session_id", F.col("event_id").cast("string")).alias("list_session_id"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.concat_ws(",", *[_candidate(i) for i in range(LIST_LENGTH)]).alias("feat_list"),
+    )
