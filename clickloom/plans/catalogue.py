@@ -17,6 +17,7 @@ from clickloom.operators import (
     matrix,
     metrics,
     mixed,
+    neighbours,
     online,
     profile,
     rank,
@@ -254,6 +255,13 @@ def embedding_transpose(spark, sf_dir):
     return blocks.select("i", "block", "first_j", F.concat_ws(",", shown).alias("micro_values"))
 
 
+@query
+def embedding_cosine_topk(spark, sf_dir):
+    vectors = tables.table(spark, sf_dir, "embeddings")
+    near = neighbours.cosine_topk(vectors, "vec_id", "embedding", k=5)
+    return near.select("vec_id", "neighbour", tidy(F.col("sim")).alias("sim"), "rank")
+
+
 # evaluation
 
 

@@ -408,3 +408,9 @@ ORACLES["stream_rank"] = f"""WITH {STREAM_RANK} SELECT user_id, list_session_id,
 ORACLES["stream_ftrl"] = f"""WITH {GRADS}, st0 AS (SELECT feature, w, {WARM} AS z, CAST(0 AS DOUBLE) AS n FROM w0),
 u1 AS (SELECT feature, {ftrl_z('g', 'st0.n', 'w', 'z', 0.5)} AS z, g * g AS n FROM st0 JOIN grads USING (feature))
 SELECT {HEAD}, {r(ftrl_weight('z', 'n', 0.5, 0.5, 0.1))} AS w, {r('z')} AS z, {r('n')} AS n, CAST(1 AS BIGINT) AS step FROM u1"""
+
+ORACLES["embedding_cosine_topk"] = f"""WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM u),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM s)
+SELECT vec_id, neighbour, {r('sim')} AS sim, rank FROM k WHERE rank <= 5"""
