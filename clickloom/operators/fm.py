@@ -68,7 +68,7 @@ def _total(linear: Column, sums: list[Column], squares: list[Column], bias: Colu
 
 
 def predict(examples: DataFrame, model: DataFrame, n_factors: int, link: str = "raw") -> DataFrame:
-    """``(row_id, label, score)``; the bias is a one-row side of the plan."""
+    """``(row_id, label, score)``; the bias is a scalar subquery of the model."""
     ks = range(n_factors)
     joined = lookup(examples, model.select("feature", "w", "v"), ["feature"])
     rows = joined.groupBy("row_id", "label").agg(
@@ -76,9 +76,9 @@ def predict(examples: DataFrame, model: DataFrame, n_factors: int, link: str = "
         *[F.sum(_vx(k)).alias(f"s{k}") for k in ks],
         *[F.sum(_vx(k) * _vx(k)).alias(f"q{k}") for k in ks],
     )
-    bias = model.agg(F.coalesce(F.max(F.when(F.col("feature") == BIAS, F.col("w"))), F.lit(0.0)).alias("w0"))
-    total = _total(F.col("lin"), [F.col(f"s{k}") for k in ks], [F.col(f"q{k}") for k in ks], F.col("w0"))
-    scored = rows.crossJoin(F.broadcast(bias)).select("row_id", "label", total.alias("score"))  # bias: one row
+    bias = model.agg(F.coalesce(F.max(F.when(F.col("feature") == BIAS, F.col("w"))), F.lit(0.0)))
+    total = _total(F.col("lin"), [F.col(f"s{k}") for k in ks], [F.col(f"q{k}") for k in ks], bias.scalar())
+    scored = rows.select("row_id", "label", total.alias("score"))
     return scored.withColumn("score", sigmoid(F.col("score"))) if link == "logistic" else scored
 
 
@@ -123,11 +123,10 @@ def update(model: DataFrame, grads: DataFrame, step: float, lams: tuple[float, f
     """Gradient step with separate L2 strengths for bias, linear and factor parts."""
     lam0, lam1, lam2 = (F.lit(float(v)) for v in lams)
     rate, s = F.lit(float(step)), F.lit(float(scale))
-    bias_grad = grads.agg(F.sum("gb").alias("total"))
+    bias_grad = grads.agg(F.sum("gb")).scalar()
     joined = model.select("feature", "w", "v").join(grads.select("feature", "gw", "gv"), "feature", "left")
-    joined = joined.crossJoin(F.broadcast(bias_grad))  # one row
     is_bias = F.col("feature") == BIAS
-    grad = F.when(is_bias, F.col("total")).otherwise(F.coalesce("gw", F.lit(0.0))) * s
+    grad = F.when(is_bias, bias_grad).otherwise(F.coalesce("gw", F.lit(0.0))) * s
     w = F.col("w") - rate * (grad + F.when(is_bias, lam0).otherwise(lam1) * F.col("w"))
     zero = F.transform("v", lambda _: F.lit(0.0))
     moved = F.zip_with("v", F.coalesce("gv", zero), lambda v, g: v - rate * (g * s + lam2 * v))
@@ -144,7 +143,8 @@ def regularized_loss(examples: DataFrame, model: DataFrame, n_factors: int, lams
     lam = F.when(is_bias, F.lit(float(lams[0]))).otherwise(F.lit(float(lams[1])))
     each = F.lit(0.5) * (lam * F.col("w") * F.col("w") + F.when(is_bias, 0.0).otherwise(F.lit(float(lams[2])) * square_v))
     penalty = model.agg(F.sum(each).alias("penalty"))
-    return fit.crossJoin(penalty).withColumn("objective", F.col("loss") + F.col("penalty"))  # one row each
+    both = fit.withColumn("penalty", penalty.scalar())
+    return both.withColumn("objective", F.col("loss") + F.col("penalty"))
 
 
 def fit_gradient(

@@ -78,7 +78,7 @@ def evaluate(scored: DataFrame, loss: str) -> DataFrame:
     summary = scored.agg(
         F.avg(hit.cast("double")).alias("accuracy"), F.avg(pointwise_loss(F.col("label"), F.col("score"), loss)).alias("loss")
     )
-    return summary.crossJoin(auc(scored).select("auc"))  # two one-row tables
+    return summary.withColumn("auc", auc(scored).select("auc").scalar())
 
 
 def prequential(scored: DataFrame, loss: str, batch: str = "batch_id") -> DataFrame:

@@ -24,7 +24,8 @@ def split_groups(examples: DataFrame, key: str, feature_rows: int) -> DataFrame:
     big = examples.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > feature_rows)
     shards = F.ceil(F.col("_n") / F.lit(float(feature_rows)))
     shard = F.coalesce(F.pmod(F.xxhash64("row_id"), shards), F.lit(0)).cast("int")
-    return examples.join(big, key, "left").withColumn("shard", shard).drop("_n")
+    # at most count / feature_rows keys, so the broadcast is bounded and the hot key is not shuffled whole
+    return examples.join(F.broadcast(big), key, "left").withColumn("shard", shard).drop("_n")
 
 
 def pack(joined: DataFrame, group: list[str], keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -123,42 +124,55 @@ class SgdPass:
 
 
 class FmSgdPass:
-    """Factorization machine, one sequential pass; L2 strength per part, lazily applied."""
+    """Factorization machine, one sequential pass; L2 strength per part, lazily applied.
+
+    Parameters of the features seen so far are rows of growing arrays; ``seen`` remembers up to
+    which total shrinkage each row is current.
+    """
 
     def __init__(self, alpha: float, lams: tuple, bias: float, loss: str):
         self.alpha, self.lams, self.w0, self.loss = alpha, lams, bias, loss
-        self.rows, self.amounts, self.params = 0, [0.0, 0.0], {}
+        self.rows, self.amounts, self.ids = 0, np.zeros(2), {}
+        self.w, self.v, self.seen = np.zeros(64), None, np.zeros((64, 2))
+
+    def _row_of(self, feature, w, v) -> int:
+        row = self.ids.get(feature)
+        if row is None:
+            row = self.ids[feature] = len(self.ids)
+            if self.v is None:
+                self.v = np.zeros((64, len(v)))
+            if row == len(self.w):
+                self.w = np.concatenate([self.w, np.zeros_like(self.w)])
+                self.v = np.concatenate([self.v, np.zeros_like(self.v)])
+                self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+            self.w[row], self.v[row] = w, v
+        return row
 
     def step(self, label, features, values, start_w, start_v):
         self.rows += 1
         rate = self.alpha / math.sqrt(self.rows)
+        rows = [self._row_of(f, w, v) for f, w, v in zip(features, start_w, start_v)]
         x = np.asarray(values, dtype=float)
-        w, v = np.empty(len(x)), np.empty((len(x), len(start_v[0])))
-        for i, f in enumerate(features):
-            kept = self.params.get(f)
-            if kept is None:
-                w[i], v[i] = start_w[i], start_v[i]
-                w[i] *= math.exp(self.amounts[0])
-                v[i] *= math.exp(self.amounts[1])
-            else:
-                w[i] = kept[0] * math.exp(self.amounts[0] - kept[2])
-                v[i] = kept[1] * math.exp(self.amounts[1] - kept[3])
-        sums = x @ v
-        score = self.w0 + float(x @ w) + 0.5 * float((sums**2).sum() - ((v * x[:, None]) ** 2).sum())
+        w, v = self.w[rows], self.v[rows]
+        if any(self.lams[1:]):
+            decay = np.exp(self.amounts - self.seen[rows])
+            w, v = w * decay[:, 0], v * decay[:, 1:]
+        vx = v * x[:, None]
+        sums = vx.sum(axis=0)
+        score = self.w0 + float(x @ w) + 0.5 * float(sums @ sums - (vx * vx).sum())
         m = _multiplier(label, score, self.loss)
         lam0, lam1, lam2 = self.lams
         self.w0 -= rate * (m + lam0 * self.w0)
-        w -= rate * (m * x + lam1 * w)
-        v -= rate * (m * (x[:, None] * sums - v * (x**2)[:, None]) + lam2 * v)
-        self.amounts[0] += math.log1p(-rate * lam1)
-        self.amounts[1] += math.log1p(-rate * lam2)
-        for i, f in enumerate(features):
-            self.params[f] = (float(w[i]), v[i].copy(), self.amounts[0], self.amounts[1])
+        self.w[rows] = w - rate * (m * x + lam1 * w)
+        self.v[rows] = v - rate * (m * x[:, None] * (sums - vx) + lam2 * v)
+        self.amounts += (math.log1p(-rate * lam1), math.log1p(-rate * lam2))
+        self.seen[rows] = self.amounts
 
     def finish(self, key):
-        a1, a2 = self.amounts
-        for f, (w, v, s1, s2) in self.params.items():
-            yield (*key, f, w * math.exp(a1 - s1), (v * math.exp(a2 - s2)).tolist(), self.rows, a1, a2)
+        a1, a2 = map(float, self.amounts)
+        for f, i in self.ids.items():
+            d1, d2 = np.exp(self.amounts - self.seen[i])
+            yield (*key, f, float(self.w[i] * d1), (self.v[i] * d2).tolist(), self.rows, a1, a2)
         yield (*key, None, self.w0, None, self.rows, a1, a2)
 
 

@@ -32,11 +32,11 @@ def bucket_level(col: Column, bounds: tuple) -> Column:
     return level.when(col >= bounds[-1], F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds) + 2))
 
 
-def levels() -> Column:
-    """The eight levels of a profile row as an array, in ``ATTRIBUTES`` order."""
+def levels() -> list[Column]:
+    """The eight levels of a profile row, in ``ATTRIBUTES`` order."""
     coded = [code_level(F.col(c), n, from_zero=c == "gender") for c, n in CODES.items()]
     bucketed = [bucket_level(F.col(c), b) for c, b in BOUNDS.items()]
-    return F.array(*coded, *bucketed)
+    return coded + bucketed
 
 
 def cardinalities() -> list[int]:
@@ -56,7 +56,7 @@ LEVEL_BITS = 4  # every attribute has fewer than 16 levels
 
 def profile_patterns(profiles: DataFrame) -> DataFrame:
     """``(user_id, pattern)``: the eight levels packed into one BIGINT, 4 bits each."""
-    code = sum((F.shiftleft(F.get(levels(), F.lit(i)).cast("bigint"), LEVEL_BITS * i) for i in range(8)), F.lit(0))
+    code = sum((F.shiftleft(c.cast("bigint"), LEVEL_BITS * i) for i, c in enumerate(levels())), F.lit(0))
     return profiles.select("user_id", code.cast("bigint").alias("pattern"))
 
 
@@ -88,5 +88,5 @@ def profile_slots(profiles: DataFrame, legacy_slots: bool = False) -> DataFrame:
     if legacy_slots:
         slots = _legacy_slots()
     else:
-        slots = F.array(*[F.get(levels(), F.lit(i)) + F.lit(s) for i, s in enumerate(block_starts())])
+        slots = F.array(*[level + F.lit(s) for level, s in zip(levels(), block_starts())])
     return profiles.select("user_id", F.explode(slots).alias("slot"))

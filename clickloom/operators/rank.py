@@ -52,9 +52,9 @@ def rank_candidates(requests: DataFrame, features: DataFrame, weights: DataFrame
         .groupBy(*REQUEST)
         .agg(F.concat_ws(",", F.transform(best, lambda c: c["candidate"])).alias("by_score"))
     )
-    has_model = weights.filter(F.col("model_key") == FIXED).limit(1).agg((F.count("*") > 0).alias("has_model"))
-    joined = requests.select(*REQUEST, "feat_list").join(lists, REQUEST, "left").crossJoin(F.broadcast(has_model))  # one row
-    ranked = F.col("has_model") & F.col("by_score").isNotNull()
+    has_model = weights.filter(F.col("model_key") == FIXED).limit(1).agg(F.count("*") > 0).scalar()
+    joined = requests.select(*REQUEST, "feat_list").join(lists, REQUEST, "left")
+    joined = joined.withColumn("ranked", has_model & F.col("by_score").isNotNull())
     return joined.select(
-        *REQUEST, F.when(ranked, F.col("by_score")).otherwise(F.col("feat_list")).alias("ranked_list"), ranked.alias("ranked")
+        *REQUEST, F.when(F.col("ranked"), F.col("by_score")).otherwise(F.col("feat_list")).alias("ranked_list"), "ranked"
     )

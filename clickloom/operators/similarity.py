@@ -44,7 +44,7 @@ def _flags(mask: Mask) -> int:
 
 def _with_masks(table: DataFrame, masks: list[Mask]) -> DataFrame:
     """One row per (pattern, mask): ``mask`` flags and the pattern's bits under the mask."""
-    explode = F.explode(F.array(*[F.lit(_flags(mask)).cast("bigint") for mask in masks]))
+    explode = F.expr(f"explode(array({', '.join(f'{_flags(mask)}L' for mask in masks)}))")
     spread = table.withColumn("mask", explode)
     wide = F.col("mask") * F.lit(15)  # a flag times 15 covers its four bits
     return spread.withColumn("part", F.col("pattern").bitwiseAND(wide))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.expr import log_odds
 from clickloom.session import cut_lineage
@@ -39,15 +39,24 @@ def split_gains(rows: DataFrame) -> DataFrame:
 
     ``L^2/n_L + (S-L)^2/(n-n_L) - S^2/n``; features all or none of a node's rows have are dropped.
     """
-    totals = rows.groupBy("node").agg(F.sum("residual").alias("total"), F.count("*").alias("n"))
-    left = (
-        rows.select("node", "residual", F.explode("features").alias("feature"))
-        .groupBy("node", "feature")
-        .agg(F.sum("residual").alias("left"), F.count("*").alias("n_left"))
+    # One pass: the empty name stands for "every row" and yields the node totals.
+    names = F.explode(F.concat(F.array(F.lit("")), "features")).alias("feature")
+    sums = rows.select("node", "residual", names).groupBy("node", "feature").agg(
+        F.sum("residual").alias("left"), F.count("*").alias("n_left")
     )
+    every = F.col("feature") == ""
+    over_node = Window.partitionBy("node")  # one row per feature of the node, after aggregation
+    left = sums.select(
+        "node",
+        "feature",
+        "left",
+        "n_left",
+        F.max(F.when(every, F.col("left"))).over(over_node).alias("total"),
+        F.max(F.when(every, F.col("n_left"))).over(over_node).alias("n"),
+    ).filter(~every)
     s, n, l, m = F.col("total"), F.col("n"), F.col("left"), F.col("n_left")
     gain = l * l / m + (s - l) * (s - l) / (n - m) - s * s / n
-    return left.join(totals, "node").filter(m < n).select("node", "feature", "n", "n_left", gain.alias("gain"))
+    return left.filter(m < n).select("node", "feature", "n", "n_left", gain.alias("gain"))
 
 
 def best_splits(gains: DataFrame) -> DataFrame:

@@ -334,8 +334,8 @@ def lr_gradient(spark, sf_dir):
 
 def _mean_gradient(examples, weights):
     grads = linear.gradient(examples, weights)
-    rows = examples.agg(F.count_distinct("row_id").alias("n"))
-    return grads.crossJoin(F.broadcast(rows)).select("feature", (F.col("grad") / F.col("n")).alias("grad"))  # one row
+    rows = examples.agg(F.count_distinct("row_id")).scalar()
+    return grads.select("feature", (F.col("grad") / rows).alias("grad"))
 
 
 @query
@@ -557,14 +557,14 @@ def _packed(spark, sf_dir):
 @query
 def boost_prior_residual(spark, sf_dir):
     rows = _packed(spark, sf_dir)
-    biased = rows.crossJoin(F.broadcast(trees.prior(rows).select("p", "bias")))  # one row
+    biased = rows.withColumn("bias", trees.prior(rows).select("bias").scalar())
     each = trees.residual(F.col("label"), F.col("bias"))
     return biased.select("row_id", tidy(F.col("bias")).alias("bias"), tidy(each).alias("residual"))
 
 
 def _with_residuals(spark, sf_dir):
     rows = _packed(spark, sf_dir)
-    biased = rows.crossJoin(F.broadcast(trees.prior(rows).select("bias")))  # one row
+    biased = rows.withColumn("bias", trees.prior(rows).select("bias").scalar())
     return biased.select("features", trees.residual(F.col("label"), F.col("bias")).alias("residual"))
 
 
@@ -731,8 +731,7 @@ def stream_rank(spark, sf_dir):
     path = _folder(spark, "stream_rank")
     users = rank.user_features(tables.user_info(spark, sf_dir))
     views = _event_stream(spark, sf_dir).filter(F.col("event_type") == "view")
-    parts = tables.table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
-    requests = tables.request_rows(views.join(F.broadcast(parts)))  # one row
+    requests = tables.request_rows(views.withColumn("parts", F.lit(tables.table(spark, sf_dir, "part").count())))
     sink = stream_features.ranking_sink(users, published_model(spark, sf_dir), f"{path}/ranked")
     run_available(requests.writeStream.foreachBatch(sink), f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/ranked").drop("batch")

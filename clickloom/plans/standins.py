@@ -67,8 +67,7 @@ def _candidate(place) -> Column:
 
 
 def _with_parts(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    count = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
-    return df.crossJoin(F.broadcast(count))  # one row
+    return df.withColumn("parts", table(spark, sf_dir, "part").agg(F.count("*")).scalar())
 
 
 def impressions_of(views: DataFrame) -> DataFrame:
