@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid
-from clickloom.functions.hashing import hash_weight
+from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
 from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
 from clickloom.operators.linear import count_rows
@@ -186,7 +186,7 @@ def fit_sgd_averaged(
     if alpha * max(lams) >= 1:
         raise ValueError("alpha * lam must be below 1")
     current = cut_lineage(model if model is not None else initial_model(examples, n_factors))
-    shard = F.pmod(F.hash("row_id"), F.lit(shards))
+    shard = (hash_int(F.col("row_id")) % shards).cast("int")
     placed = passes.place(examples.withColumn("shard", shard), ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
     zero = F.array(*[F.lit(0.0)] * n_factors)
     inputs = ["label", "feature", "value", "w", "v"]

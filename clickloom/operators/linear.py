@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid, soft_threshold
-from clickloom.functions.hashing import hash_weight
+from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
 from clickloom.operators.features import feature_index
 from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
@@ -187,7 +187,7 @@ def fit_sgd_averaged(
     if reg == "l2" and alpha * lam >= 1:
         raise ValueError("alpha * lam must be below 1")
     w = cut_lineage(weights.select("feature", "w") if weights is not None else initial_weights(examples))
-    shard = F.pmod(F.hash("row_id"), F.lit(shards))
+    shard = (hash_int(F.col("row_id")) % shards).cast("int")
     sharded = examples.withColumn("offset", _offset(examples)).withColumn("shard", shard)
     placed = passes.place(sharded, ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
     try:

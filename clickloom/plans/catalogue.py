@@ -368,7 +368,8 @@ def lr_majorized(spark, sf_dir):
 
 @query
 def lr_sgd_avg(spark, sf_dir):
-    return linear.fit_sgd_averaged(tables.event_examples(spark, sf_dir), iterations=1, alpha=0.1, lam=0.001)
+    out = linear.fit_sgd_averaged(tables.event_examples(spark, sf_dir), iterations=1, alpha=0.1, lam=0.001)
+    return out.select("feature", tidy(F.col("w")).alias("w"))
 
 
 @query
@@ -414,8 +415,8 @@ def fm_loss_reg(spark, sf_dir):
 
 
 def _fm_rows(model):
-    factors = [F.get("v", F.lit(k)).alias(f"v{k}") for k in range(N_FACTORS)]
-    return model.select("feature", "w", *factors)
+    factors = [tidy(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(N_FACTORS)]
+    return model.select("feature", tidy(F.col("w")).alias("w"), *factors)
 
 
 @query
@@ -484,7 +485,7 @@ def fm_tdap_step(spark, sf_dir):
 def ftrl_per_user(spark, sf_dir):
     examples = tables.event_examples(spark, sf_dir)
     models = online.ftrl_per_key(examples, "entity_id", "row_id", LINEAR_RATES["linear"])
-    return online.average_keys(models)
+    return online.average_keys(models).select("model_key", "feature", tidy(F.col("w")).alias("w"))
 
 
 @query
@@ -538,13 +539,15 @@ def mixed_random_step(spark, sf_dir):
 
 @query
 def mixed_fit(spark, sf_dir):
-    return mixed.fit_mixed(tables.event_examples(spark, sf_dir), iterations=2, lam=(0.001, 0.1), inner=3)
+    model = mixed.fit_mixed(tables.event_examples(spark, sf_dir), iterations=2, lam=(0.001, 0.1), inner=3)
+    return model.select("model_key", "feature", tidy(F.col("w")).alias("w"))
 
 
 @query
 def mixed_fit_sgd(spark, sf_dir):
     examples = tables.event_examples(spark, sf_dir)
-    return mixed.fit_mixed(examples, iterations=1, method=("sgd", "sgd"), lam=(0.001, 0.01))
+    model = mixed.fit_mixed(examples, iterations=1, method=("sgd", "sgd"), lam=(0.001, 0.01))
+    return model.select("model_key", "feature", tidy(F.col("w")).alias("w"))
 
 
 # trees

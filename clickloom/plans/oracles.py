@@ -414,3 +414,171 @@ n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM u),
 s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_dot_product(a.e, b.e) / (a.l * b.l), 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM s)
 SELECT vec_id, neighbour, {r('sim')} AS sim, rank FROM k WHERE rank <= 5"""
+
+
+# iterative queries, one set of CTEs per step
+
+
+def fm_step(t: int) -> str:
+    """Predictions, gradients and the next model m{t+1}, b{t+1} of an FM gradient step."""
+    return f"""fs{t} AS MATERIALIZED (SELECT row_id, label, sum(w) AS lin, sum(v0) AS s0, sum(v1) AS s1, sum(v0 * v0) AS q0, sum(v1 * v1) AS q1
+  FROM ex JOIN m{t} USING (feature) GROUP BY row_id, label),
+fp{t} AS MATERIALIZED (SELECT *, -label / (1 + exp(label * (b + lin + 0.5 * (s0 * s0 - q0 + s1 * s1 - q1)))) AS m FROM fs{t}, b{t}),
+fg{t} AS MATERIALIZED (SELECT feature, sum(m) AS gw, sum(m * (s0 - v0)) AS g0, sum(m * (s1 - v1)) AS g1
+  FROM ex JOIN fp{t} USING (row_id, label) JOIN m{t} USING (feature) GROUP BY feature)"""
+
+
+def fm_descent(t: int, alpha: float) -> str:
+    rate = f"{alpha} / sqrt({t + 1}) / {N}"
+    return f"""{fm_step(t)},
+m{t + 1} AS MATERIALIZED (SELECT feature, w - {rate} * gw AS w, v0 - {rate} * g0 AS v0, v1 - {rate} * g1 AS v1 FROM m{t} JOIN fg{t} USING (feature)),
+b{t + 1} AS MATERIALIZED (SELECT any_value(b{t}.b) - {rate} * sum(m) AS b FROM fp{t}, b{t})"""
+
+
+FM_START = FM0.split(",\nfs AS")[0] + ", b0 AS (SELECT CAST(0 AS DOUBLE) AS b)"
+ORACLES["fm_gd"] = f"""WITH {FM_START}, {', '.join(fm_descent(t, 0.5) for t in range(3))}
+SELECT feature, {r('w')} AS w, {r('v0')} AS v0, {r('v1')} AS v1 FROM m3
+UNION ALL SELECT '__bias__', {r('b')}, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM b3"""
+
+A, L1 = (
+    f"CASE part WHEN 'bias' THEN CAST({b} AS DOUBLE) WHEN 'linear' THEN CAST({l} AS DOUBLE) ELSE CAST({f} AS DOUBLE) END"
+    for b, l, f in ((0.3, 0.5, 0.2), (0.0, 0.5, 0.1))
+)
+
+
+def cold_weight() -> str:
+    return f"(-{soft('z', '(' + L1 + ')')} / (0.1 + (1 + sqrt(n)) / ({A})))"
+
+
+def cold_batch(t: int) -> str:
+    """FTRL on the half ``t`` of the month for all three parts of the FM state c{t}."""
+    step = fm_step(t).replace("FROM ex JOIN", "FROM (SELECT * FROM ex WHERE half = %d) JOIN" % t)
+    sigma = f"(sqrt(n + g * g) - sqrt(n)) / ({A})"
+    return f"""m{t} AS MATERIALIZED (SELECT feature, max(w) FILTER (WHERE part = 'linear') AS w, max(w) FILTER (WHERE part = 'factor' AND k = 0) AS v0,
+  max(w) FILTER (WHERE part = 'factor' AND k = 1) AS v1 FROM c{t} WHERE part <> 'bias' GROUP BY feature),
+b{t} AS MATERIALIZED (SELECT w AS b FROM c{t} WHERE part = 'bias'), {step},
+g{t} AS MATERIALIZED (SELECT 'linear' AS part, feature, 0 AS k, gw AS g FROM fg{t} UNION ALL SELECT 'factor', feature, 0, g0 FROM fg{t}
+  UNION ALL SELECT 'factor', feature, 1, g1 FROM fg{t} UNION ALL SELECT 'bias', '__bias__', 0, sum(m) FROM fp{t}),
+z{t} AS MATERIALIZED (SELECT part, feature, k, z + g - {sigma} * w AS z, n + g * g AS n, {t + 1} AS step FROM c{t} JOIN g{t} USING (part, feature, k)
+  UNION ALL SELECT part, feature, k, z, n, step FROM c{t} ANTI JOIN g{t} USING (part, feature, k)),
+c{t + 1} AS MATERIALIZED (SELECT part, feature, k, {cold_weight()} AS w, z, n, step FROM z{t})"""
+
+
+ORACLES["fm_ftrl_cold"] = f"""WITH {EX}, cells AS (SELECT * FROM (SELECT DISTINCT feature FROM ex), (VALUES ('linear', 0), ('factor', 0), ('factor', 1)) AS p(part, k)
+  UNION ALL SELECT '__bias__', 'bias', 0),
+z AS (SELECT part, feature, k, {hash_weight("part || '|' || feature || '|' || k")} AS z, CAST(0 AS DOUBLE) AS n, 0 AS step FROM cells),
+c0 AS MATERIALIZED (SELECT part, feature, k, {cold_weight()} AS w, z, n, step FROM z), {cold_batch(0)}, {cold_batch(1)}
+SELECT part, feature, CAST(k AS BIGINT) AS k, {r('w')} AS w, {r('z')} AS z, {r('n')} AS n, CAST(step AS BIGINT) AS step FROM c2"""
+
+
+def mixed_inner(kind: str, now: str, nxt: str, offset: str, lam: float, tag: str) -> str:
+    """One majorisation step of one block; ``offset`` holds the other block's part of each row."""
+    on = "feature" if kind == "fixed" else "entity_id, feature"
+    rows = N if kind == "fixed" else "n"
+    sizes = "" if kind == "fixed" else " JOIN ne USING (entity_id)"
+    return f"""s{tag} AS MATERIALIZED (SELECT row_id, label, o + sum(w) AS s FROM ex JOIN {now} USING ({on}) JOIN {offset} USING (row_id) GROUP BY row_id, label, o),
+g{tag} AS MATERIALIZED (SELECT {on}, sum(-label / (1 + exp(label * s))) AS g, count(*) AS c FROM ex JOIN s{tag} USING (row_id, label) GROUP BY {on}),
+{nxt} AS MATERIALIZED (SELECT {on}, (c * 0.75 / {rows} * w - g / {rows}) / (c * 0.75 / {rows} + {lam}) AS w FROM {now} JOIN g{tag} USING ({on}){sizes})"""
+
+
+def mixed_round(i: int, inner: int) -> str:
+    parts = [f"of{i} AS MATERIALIZED (SELECT row_id, sum(w) AS o FROM ex JOIN r{i}_0 USING (entity_id, feature) GROUP BY row_id)"]
+    parts += [mixed_inner("fixed", f"f{i}_{j}", f"f{i}_{j + 1}", f"of{i}", 0.001, f"f{i}{j}") for j in range(inner)]
+    parts += [f"oq{i} AS MATERIALIZED (SELECT row_id, sum(w) AS o FROM ex JOIN f{i}_{inner} USING (feature) GROUP BY row_id)"]
+    parts += [mixed_inner("random", f"r{i}_{j}", f"r{i}_{j + 1}", f"oq{i}", 0.1, f"r{i}{j}") for j in range(inner)]
+    parts += [f"f{i + 1}_0 AS (SELECT * FROM f{i}_{inner})", f"r{i + 1}_0 AS (SELECT * FROM r{i}_{inner})"]
+    return ", ".join(parts)
+
+
+ORACLES["mixed_fit"] = f"""WITH {MX}, ne AS (SELECT entity_id, count(*) AS n FROM base GROUP BY entity_id),
+f0_0 AS (SELECT * FROM w0), r0_0 AS (SELECT * FROM wr), {mixed_round(0, 3)}, {mixed_round(1, 3)}
+SELECT '' AS model_key, feature, {r('w')} AS w FROM f2_0 UNION ALL SELECT entity_id, feature, {r('w')} FROM r2_0"""
+
+
+def tree_level(t: int, level: int) -> str:
+    """Split every node of x{t}_{level} by its best feature."""
+    name = f"{t}_{level}"
+    return f"""a{name} AS MATERIALIZED (SELECT node, sum(rs) AS s, count(*) AS n FROM x{name} GROUP BY node),
+l{name} AS MATERIALIZED (SELECT node, feature, sum(rs) AS l, count(*) AS m FROM (SELECT node, rs, unnest([f1, f2, f3]) AS feature FROM x{name}) GROUP BY node, feature),
+q{name} AS MATERIALIZED (SELECT node, feature, l * l / m + (s - l) * (s - l) / (n - m) - s * s / n AS gain FROM l{name} JOIN a{name} USING (node) WHERE m < n),
+h{name} AS MATERIALIZED (SELECT node, feature, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature) AS rn,
+  max(gain) OVER (PARTITION BY node) AS best FROM q{name}),
+x{t}_{level + 1} AS MATERIALIZED (SELECT row_id, label, f, f1, f2, f3, rs, CASE WHEN h.feature IS NULL THEN x.node
+    WHEN h.feature IN (f1, f2, f3) THEN x.node * 2 ELSE x.node * 2 + 1 END AS node
+  FROM x{name} x LEFT JOIN h{name} h ON h.node = x.node AND h.rn = 1 AND h.best > 0.000000001)"""
+
+
+def tree_round(t: int) -> str:
+    return f"""x{t}_0 AS MATERIALIZED (SELECT *, label / (1 + exp(label * f)) AS rs, 1 AS node FROM y{t}), {tree_level(t, 0)}, {tree_level(t, 1)},
+y{t + 1} AS MATERIALIZED (SELECT row_id, label, f + avg(rs) OVER (PARTITION BY node) AS f, f1, f2, f3 FROM x{t}_2)"""
+
+
+ORACLES["boosted_fit"] = f"""WITH {RESIDUAL}, y0 AS (SELECT row_id, label, ln(p / (1 - p)) AS f, f1, f2, f3 FROM base, pr),
+{tree_round(0)}, {tree_round(1)}, {tree_round(2)} SELECT row_id, label, {r('f')} AS score FROM y3"""
+
+
+# sequential passes as recursion over the row number inside each group
+
+
+def ordered(group: str, offsets: str = "") -> str:
+    """``ord``: events numbered inside their group, with the features of each as a list."""
+    o = "o" if offsets else "CAST(0 AS DOUBLE)"
+    join = f" JOIN {offsets} USING (row_id)" if offsets else ""
+    return f"""SELECT {group} AS grp, row_number() OVER (PARTITION BY {group} ORDER BY row_id) AS i, label, [f1, f2, f3] AS fs, {o} AS o FROM base{join}"""
+
+
+def sgd_pass(name: str, order: str, start: str, alpha: float, lam: float) -> str:
+    """Recursive SGD pass: ``start(grp, feature, w)`` through the rows of ``order``; ``{name}_end`` is the result."""
+    return f"""{name}_ord AS MATERIALIZED ({order}),
+{name} AS (SELECT CAST(0 AS BIGINT) AS t, grp, feature, w FROM ({start})
+  UNION ALL SELECT t + 1, grp, feature, w - {alpha} / sqrt(t + 1) * (CASE WHEN hit THEN -label / (1 + exp(label * s)) ELSE 0 END + {lam} * w)
+  FROM (SELECT a.t, a.grp, a.feature, a.w, e.label, list_contains(e.fs, a.feature) AS hit,
+      e.o + sum(CASE WHEN list_contains(e.fs, a.feature) THEN a.w ELSE 0 END) OVER (PARTITION BY a.grp) AS s
+    FROM {name} a JOIN {name}_ord e ON e.grp = a.grp AND e.i = a.t + 1)),
+{name}_n AS (SELECT grp, max(i) AS n FROM {name}_ord GROUP BY grp),
+{name}_end AS MATERIALIZED (SELECT grp, feature, w, n FROM {name} JOIN {name}_n USING (grp) WHERE t = n)"""
+
+
+SHARD = f"{hash_int('CAST(row_id AS VARCHAR)')} % 4"
+SHARDED_W0 = "SELECT grp, feature, w FROM w0, (SELECT DISTINCT " + SHARD + " AS grp FROM base)"
+RECURSIVE_W0 = W0.replace("base AS", "RECURSIVE base AS", 1)
+ORACLES["lr_sgd_avg"] = f"""WITH {RECURSIVE_W0}, {sgd_pass('p', ordered(SHARD), SHARDED_W0, 0.1, 0.001)}
+SELECT feature, {r('sum(w * n) / sum(n)')} AS w FROM p_end GROUP BY feature"""
+ORACLES["mixed_fit_sgd"] = f"""WITH {MX.replace('base AS', 'RECURSIVE base AS', 1)},
+oq AS MATERIALIZED (SELECT row_id, q AS o FROM mx), {sgd_pass('p', ordered(SHARD, 'oq'), SHARDED_W0, 0.1, 0.001)},
+fx AS MATERIALIZED (SELECT feature, sum(w * n) / sum(n) AS w FROM p_end GROUP BY feature),
+of AS MATERIALIZED (SELECT row_id, sum(w) AS o FROM ex JOIN fx USING (feature) GROUP BY row_id),
+{sgd_pass('e', ordered('entity_id', 'of'), 'SELECT entity_id AS grp, feature, w FROM wr', 0.1, 0.01)}
+SELECT '' AS model_key, feature, {r('w')} AS w FROM fx UNION ALL SELECT grp, feature, {r('w')} FROM e_end"""
+
+FTRL_W = ftrl_weight("z", "n", 0.5, 0.5, 0.1)
+ORACLES["ftrl_per_user"] = f"""WITH {EX.replace('base AS', 'RECURSIVE base AS', 1)}, ord AS MATERIALIZED ({ordered('entity_id')}),
+st AS (SELECT DISTINCT CAST(0 AS BIGINT) AS t, entity_id AS grp, feature, CAST(0 AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS n FROM ex
+  UNION ALL SELECT t + 1, grp, feature, CASE WHEN hit THEN {ftrl_z('g', 'n', 'w', 'z', 0.5)} ELSE z END, CASE WHEN hit THEN n + g * g ELSE n END
+  FROM (SELECT *, -label / (1 + exp(label * s)) AS g FROM (
+    SELECT *, sum(CASE WHEN hit THEN w ELSE 0 END) OVER (PARTITION BY grp) AS s FROM (
+      SELECT st.t, st.grp, st.feature, st.z, st.n, e.label, list_contains(e.fs, st.feature) AS hit, {FTRL_W.replace('z', 'st.z').replace('(n)', '(st.n)')} AS w
+      FROM st JOIN ord e ON e.grp = st.grp AND e.i = st.t + 1)))),
+last AS (SELECT grp, max(i) AS t FROM ord GROUP BY grp)
+SELECT grp AS model_key, feature, {r(FTRL_W)} AS w FROM st JOIN last USING (grp, t)"""
+
+FM_BIAS = "max(CASE WHEN a.feature = '__bias__' THEN a.w END) OVER (PARTITION BY a.grp)"
+
+
+def fm_sum(value: str) -> str:
+    return f"sum(CASE WHEN list_contains(e.fs, a.feature) THEN {value} ELSE 0 END) OVER (PARTITION BY a.grp)"
+
+
+ORACLES["fm_sgd_avg"] = f"""WITH {FM_START.replace('base AS', 'RECURSIVE base AS', 1)}, ord AS MATERIALIZED ({ordered(SHARD)}),
+st AS (SELECT CAST(0 AS BIGINT) AS t, grp, feature, w, v0, v1 FROM (SELECT * FROM m0 UNION ALL SELECT '__bias__', 0, 0, 0), (SELECT DISTINCT grp FROM ord)
+  UNION ALL SELECT t + 1, grp, feature,
+    w - 0.1 / sqrt(t + 1) * (CASE WHEN hit OR feature = '__bias__' THEN m ELSE 0 END + CASE WHEN feature = '__bias__' THEN 0 ELSE 0.001 * w END),
+    v0 - 0.1 / sqrt(t + 1) * (CASE WHEN hit THEN m * (s0 - v0) ELSE 0 END + 0.001 * v0),
+    v1 - 0.1 / sqrt(t + 1) * (CASE WHEN hit THEN m * (s1 - v1) ELSE 0 END + 0.001 * v1)
+  FROM (SELECT *, -label / (1 + exp(label * (b + lin + 0.5 * (s0 * s0 - q0 + s1 * s1 - q1)))) AS m FROM (
+    SELECT a.t, a.grp, a.feature, a.w, a.v0, a.v1, e.label, list_contains(e.fs, a.feature) AS hit, {FM_BIAS} AS b, {fm_sum('a.w')} AS lin,
+      {fm_sum('a.v0')} AS s0, {fm_sum('a.v1')} AS s1, {fm_sum('a.v0 * a.v0')} AS q0, {fm_sum('a.v1 * a.v1')} AS q1
+    FROM st a JOIN ord e ON e.grp = a.grp AND e.i = a.t + 1))),
+last AS (SELECT grp, max(i) AS t FROM ord GROUP BY grp)
+SELECT feature, {r('sum(w * t) / sum(t)')} AS w, {r('sum(v0 * t) / sum(t)')} AS v0, {r('sum(v1 * t) / sum(t)')} AS v1
+FROM st JOIN last USING (grp, t) GROUP BY feature"""
