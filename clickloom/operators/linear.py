@@ -180,13 +180,14 @@ def fit_sgd_averaged(
     lam: float = 0.0,
     reg: str = "l2",
     loss: str = "exp",
-    shards: int = 4,
+    shards: int | None = None,
 ) -> DataFrame:
     """Parallel SGD: each shard makes one sequential pass, the models are averaged by row count."""
     _check_reg(reg)
     if reg == "l2" and alpha * lam >= 1:
         raise ValueError("alpha * lam must be below 1")
     w = cut_lineage(weights.select("feature", "w") if weights is not None else initial_weights(examples))
+    shards = shards or passes.default_shards(examples)
     shard = (hash_int(F.col("row_id")) % shards).cast("int")
     sharded = examples.withColumn("offset", _offset(examples)).withColumn("shard", shard)
     placed = passes.place(sharded, ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)

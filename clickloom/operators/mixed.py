@@ -121,7 +121,7 @@ def fit_mixed(
     reg: tuple[str, str] = ("l2", "l2"),
     loss: str = "exp",
     inner: int = 10,
-    shards: int = 4,
+    shards: int | None = None,
     validate: DataFrame | None = None,
     history: list | None = None,
 ) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def place(examples: DataFrame, group: list[str], partitions: int) -> DataFrame:
@@ -43,16 +45,39 @@ def pack(joined: DataFrame, group: list[str], keys: list[str], values: dict[str,
     return packed.select(*group, *keys, *[F.col(f"cells.{n}").alias(n) for n in names])
 
 
+def _rows(column: pa.Array):
+    """Arrow column to one Python value per row; lists of lists become float matrices."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = column.offsets.to_numpy()
+    flat, bounds = column.flatten(), ends - ends[0]
+    if pa.types.is_list(flat.type):
+        cells = flat.flatten().to_numpy(zero_copy_only=False)
+        flat = cells.reshape(len(flat), -1) if len(flat) else cells
+    elif pa.types.is_floating(flat.type):
+        flat = flat.to_numpy(zero_copy_only=False).tolist()
+    else:
+        flat = flat.to_pylist()
+    return [flat[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+
+
 def run_pass(packed: DataFrame, group: list[str], order: list[str], inputs: list[str], learner, schema: str) -> DataFrame:
-    """Feed each group's rows, in order, to ``learner()``; ``finish(key)`` yields output tuples."""
+    """Feed each group's rows, in order, to ``learner()``; ``finish(key)`` yields output tuples.
+
+    Arrow batches stream through the task; a batch is turned into Python values column by column.
+    """
     width = len(group)
-    columns = [f.split()[0] for f in schema.split(", ")]
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches):
         current, state = None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
+            for row in zip(*(_rows(c) for c in batch.columns)):
                 key = row[:width]
                 if key != current:
                     if state is not None:
@@ -60,12 +85,17 @@ def run_pass(packed: DataFrame, group: list[str], order: list[str], inputs: list
                     current, state = key, learner()
                 state.step(*row[width:])
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield batch_of(out)
         if state is not None:
-            yield pd.DataFrame(list(state.finish(current)), columns=columns)
+            yield batch_of(list(state.finish(current)))
 
     ordered = packed.sortWithinPartitions(*group, *order)
-    return ordered.select(*group, *inputs).mapInPandas(run, schema)
+    return ordered.select(*group, *inputs).mapInArrow(run, schema)
+
+
+def default_shards(examples: DataFrame, feature_rows: int = 5_000_000) -> int:
+    """Four shards, more once a shard would exceed the bound of feature rows."""
+    return max(4, -(-examples.count() // feature_rows))
 
 
 def _multiplier(label: float, score: float, loss: str) -> float:

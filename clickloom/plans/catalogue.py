@@ -31,7 +31,7 @@ from clickloom.session import cut_lineage, scratch_path
 from clickloom.sources import store, text
 from clickloom.streaming import features as stream_features
 from clickloom.streaming.learner import StateTable, learner
-from clickloom.streaming.source import file_stream, run_available
+from clickloom.streaming.source import run_available, table_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -700,7 +700,7 @@ def is_increasing(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    return file_stream(spark, sf_dir, "events.parquet")
+    return table_stream(spark, sf_dir.rstrip("/"), "events.parquet")
 
 
 def _folder(spark, name):
@@ -745,12 +745,13 @@ def stream_imp_click(spark, sf_dir):
     path = _folder(spark, "stream_imp_click")
     events = tables.with_session(_event_stream(spark, sf_dir)).withColumn("at", F.col("ts").cast("timestamp"))
     keys = ["list_session_id", "user_id"]
-    views = events.filter("event_type = 'view'").select(*keys, F.col("event_id").alias("view_id"), F.col("at").alias("shown_at"))
+    # a list is shown to a user for one day
+    views = events.filter("event_type = 'view'").select(*keys, F.date_trunc("day", "at").alias("shown_at"))
     hits = events.filter("event_type = 'click'").select(*keys, F.col("event_id").alias("click_id"), F.col("at").alias("clicked_at"))
-    joined = stream_features.join_impressions_clicks(views, hits, keys, within="12 hours")
-    writer = joined.select("user_id", "view_id", "click_id").writeStream.format("parquet").option("path", f"{path}/joined")
+    joined = stream_features.join_impressions_clicks(views, hits, keys, within="24 hours")
+    writer = joined.select(*keys, "click_id").writeStream.format("parquet").option("path", f"{path}/joined")
     run_available(writer.outputMode("append"), f"{path}/checkpoint")
-    return spark.read.schema("user_id long, view_id long, click_id long").parquet(f"{path}/joined")
+    return spark.read.schema("list_session_id string, user_id long, click_id long").parquet(f"{path}/joined")
 
 
 @query

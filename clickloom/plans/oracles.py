@@ -395,9 +395,9 @@ ORACLES["stream_frequency"] = """SELECT 'FREQ:' || user_id AS key, event_type AS
 FROM events GROUP BY user_id, event_type"""
 ORACLES["stream_daily_frequency"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, count(*) AS count
 FROM events GROUP BY ALL"""
-ORACLES["stream_imp_click"] = """SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c
-ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 12 HOURS
-AND CAST(v.ts AS DATE) = CAST(c.ts AS DATE)"""
+ORACLES["stream_imp_click"] = """WITH e AS (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS list_session_id, user_id, event_id, event_type FROM events)
+SELECT list_session_id, user_id, event_id AS click_id FROM e WHERE event_type = 'click'
+AND list_session_id IN (SELECT list_session_id FROM e WHERE event_type = 'view')"""
 STREAM_RQ = """rq AS (SELECT uid AS user_id, e.sid || '_' || e.event_id AS list_session_id, t AS timestamp, string_split(feat_id_list, ',') AS ids
   FROM (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS sid, CAST(user_id AS VARCHAR) AS uid, event_id,
     CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t FROM events WHERE event_type = 'view') e JOIN lists USING (sid)),"""

@@ -70,6 +70,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def table_exists(spark: SparkSession, path: str, marker: str = "_SUCCESS") -> bool:
     """True when a write to ``path`` has been committed."""
     jvm = spark.sparkContext._jvm

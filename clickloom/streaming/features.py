@@ -50,10 +50,11 @@ def join_impressions_clicks(
 ) -> DataFrame:
     """Inner stream-stream join: a click belongs to the impressions up to ``within`` before it.
 
-    Both sides need ``keys``; their times are ``shown_at`` and ``clicked_at``. The watermarks and the
-    time bound let Spark drop the state of old rows.
+    Both sides need ``keys``; their times are ``shown_at`` and ``clicked_at``. Repeated impressions
+    of one list at one time count once, so a click is not multiplied by them. The watermarks and
+    the time bound let Spark drop the state of old rows.
     """
-    shown = impressions.withWatermark("shown_at", lateness).alias("i")
+    shown = impressions.withWatermark("shown_at", lateness).dropDuplicates([*keys, "shown_at"]).alias("i")
     clicked = clicks.withWatermark("clicked_at", lateness).alias("c")
     same = [F.col(f"i.{k}") == F.col(f"c.{k}") for k in keys]
     inside = (F.col("clicked_at") >= F.col("shown_at")) & (F.col("clicked_at") <= F.col("shown_at") + F.expr(f"INTERVAL {within}"))
