@@ -109,7 +109,7 @@ def negative_positions(candidates: Column, clicked: Column, key: list[Column], n
     drawn = F.transform(
         candidates, lambda c, i: F.struct(hash_unit(*key, i, seed).alias("h"), i.alias("pos"), c.alias("id"))
     )
-    others = F.array_sort(F.filter(drawn, lambda d: d["id"] != clicked))
+    others = F.sort_array(F.filter(drawn, lambda d: d["id"] != clicked))
     return F.slice(others, 1, n)
 
 

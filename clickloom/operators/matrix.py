@@ -23,7 +23,7 @@ def to_row_blocks(coo: DataFrame, block: int = 4096) -> DataFrame:
     ``(i, block, first_j, values)``: a transposed row is as long as the table it came from, so it is
     stored in pieces of bounded size and no task holds a whole one.
     """
-    cells = F.array_sort(F.collect_list(F.struct("j", "v")))
+    cells = F.sort_array(F.collect_list(F.struct("j", "v")))
     return (
         coo.groupBy("i", F.expr(f"j div {block}").alias("block"))
         .agg(cells.alias("cells"))

@@ -32,7 +32,7 @@ def merge_copies(vectors: DataFrame, id_col: str, vector_col: str, keep: int) ->
     rows = _raw(vectors, id_col, vector_col)
     order = Window.partitionBy("v").orderBy("id")
     firsts = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
-    merged = firsts.groupBy("v").agg(F.min("id").alias("vid"), F.array_sort(F.collect_list("id")).alias("ids"))
+    merged = firsts.groupBy("v").agg(F.min("id").alias("vid"), F.sort_array(F.collect_list("id")).alias("ids"))
     norm = F.sqrt(dot(F.col("v"), F.col("v")))
     return merged.withColumn("norm", norm).filter("norm > 0").select(
         "v", "vid", "ids", F.transform("v", lambda x: x / F.col("norm")).alias("unit")
@@ -153,7 +153,7 @@ def _for_all_ids(raw: DataFrame, base: DataFrame, distinct: DataFrame, k: int) -
         .withColumn("rn", F.row_number().over(best))
         .filter(F.col("rn") <= k + 1)
         .groupBy("vid")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "sim", "neighbour"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "sim", "neighbour"))).alias("top"))
     )
     by_vector = base.select("v", "vid").join(top, "vid").select("v", "top")
     mine = F.slice(F.filter("top", lambda t: t["neighbour"] != F.col("id")), 1, k)

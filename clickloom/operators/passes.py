@@ -39,7 +39,7 @@ def pack(joined: DataFrame, group: list[str], keys: list[str], values: dict[str,
     """
     cells = [F.coalesce(F.col(c), default).alias(c) for c, default in values.items()]
     packed = joined.groupBy(*group, *keys).agg(
-        F.array_sort(F.collect_list(F.struct("feature", "value", *cells))).alias("cells")
+        F.sort_array(F.collect_list(F.struct("feature", "value", *cells))).alias("cells")
     )
     names = ["feature", "value", *values]
     return packed.select(*group, *keys, *[F.col(f"cells.{n}").alias(n) for n in names])

@@ -46,7 +46,7 @@ def rank_candidates(requests: DataFrame, features: DataFrame, weights: DataFrame
 
     Without a fixed model, or for a user without a profile, the list comes back unchanged.
     """
-    best = F.array_sort(F.collect_list(F.struct((-F.round("probability", 9)).alias("p"), "pos", "candidate")))
+    best = F.sort_array(F.collect_list(F.struct((-F.round("probability", 9)).alias("p"), "pos", "candidate")))
     lists = (
         candidate_scores(requests, features, weights)
         .groupBy(*REQUEST)

@@ -31,7 +31,7 @@ def pattern_table(patterns: DataFrame, keep: int = 1) -> DataFrame:
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= keep)
         .groupBy("pattern")
-        .agg(F.array_sort(F.collect_list("user_id")).alias("first_ids"))
+        .agg(F.sort_array(F.collect_list("user_id")).alias("first_ids"))
     )
     counts = patterns.groupBy("pattern").agg(F.count("*").alias("users"))
     return counts.join(firsts, "pattern")
@@ -171,7 +171,7 @@ def top_neighbours(patterns: DataFrame, k: int = 20, attributes: int = 8) -> Dat
         .withColumn("rn", F.row_number().over(best))
         .filter(F.col("rn") <= k + 1)
         .groupBy("pattern")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "shared", "neighbour"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "shared", "neighbour"))).alias("top"))
     )
     mine = F.slice(F.filter("top", lambda t: t["neighbour"] != F.col("user_id")), 1, k)
     ranked = patterns.join(top, "pattern").select("user_id", F.posexplode(mine).alias("pos", "t"))

@@ -31,7 +31,7 @@ def residual(label: Column, f: Column) -> Column:
 
 def pack_features(examples: DataFrame) -> DataFrame:
     """Long one-hot examples to one row each."""
-    return examples.groupBy("row_id", "label").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    return examples.groupBy("row_id", "label").agg(F.sort_array(F.collect_set("feature")).alias("features"))
 
 
 def split_gains(rows: DataFrame) -> DataFrame:

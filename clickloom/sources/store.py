@@ -51,7 +51,7 @@ def records_to_maps(records: DataFrame, max_fields: int = 10_000) -> DataFrame:
     sizes = records.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > max_fields)
     parts = F.ceil(F.col("n") / F.lit(max_fields))
     chunk = F.coalesce(F.pmod(F.xxhash64("field"), parts), F.lit(0)).cast("bigint")
-    entries = F.array_sort(F.collect_list(F.struct("field", "value")))
+    entries = F.sort_array(F.collect_list(F.struct("field", "value")))
     return (
         records.join(sizes, "key", "left")
         .withColumn("chunk", chunk)

@@ -81,7 +81,7 @@ def line_errors(lines: DataFrame) -> DataFrame:
 def to_labeled_lines(examples: DataFrame, entity_token: str | None = None) -> DataFrame:
     """Long examples back to ``(row_id, line)``; features in name order."""
     keys = ["row_id", "label"] + (["entity_id"] if entity_token else [])
-    features = F.array_sort(F.collect_set("feature"))
+    features = F.sort_array(F.collect_set("feature"))
     head = [F.when(F.col("label") > 0, F.lit("+1")).otherwise(F.col("label").cast("int").cast("string"))]
     if entity_token:
         head.append(F.concat(F.lit(f"{entity_token}:"), F.col("entity_id")))
