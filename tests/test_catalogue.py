@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from clickloom.plans.catalogue import QUERIES
+from clickloom.plans.oracles import ORACLES
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,13 +34,13 @@ def normal(frame):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"lr_lbfgs", "gbt_ctr"}
+    assert set(QUERIES) - set(ORACLES) == {"lr_lbfgs", "gbt_ctr"}
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sql, name):
-    got = normal(queries()[name](spark, SMALL).toPandas())
-    assert got == normal(sql.execute(oracle_sql()[name]).df())
+    got = normal(QUERIES[name](spark, SMALL).toPandas())
+    assert got == normal(sql.execute(ORACLES[name]).df())
 
 
 def test_entry(spark):
