@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import adaptive_rules, pu_quality
+from clickloom.llm import adaptive_rules, crf_toxicity, pu_quality, string_tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,18 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op8_crf_toxicity": op8_crf_toxicity,
     "op9_adaptive_rules": op9_adaptive_rules,
+    "op10_string_tiling": op10_string_tiling,
 }
 ORACLES: dict[str, str] = {}
