@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import adaptive_rules, crf_toxicity, pu_quality, string_tiling
+from clickloom.llm import adaptive_rules, crf_toxicity, parity_join, pu_quality, string_tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op4_parity_join": op4_parity_join,
     "op8_crf_toxicity": op8_crf_toxicity,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
