@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from clickloom.llm import adaptive_rules, crf_toxicity, parity_join, pu_quality, string_tiling
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from clickloom.llm import (
+    adaptive_rules,
+    bpe_verify,
+    byte_shards,
+    crf_toxicity,
+    elias_fano,
+    parity_join,
+    pu_quality,
+    section_tokens,
+    string_tiling,
+)
+from clickloom.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +34,30 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op2_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    elias_fano.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return elias_fano.read(spark, path).select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_shards.assign(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens.attribute(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_bpe_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_verify.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,7 +68,11 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op2_elias_fano_ids": op2_elias_fano_ids,
+    "op3_byte_shards": op3_byte_shards,
     "op4_parity_join": op4_parity_join,
+    "op6_section_tokens": op6_section_tokens,
+    "op7_bpe_verify": op7_bpe_verify,
     "op8_crf_toxicity": op8_crf_toxicity,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
