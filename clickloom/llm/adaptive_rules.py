@@ -190,25 +190,55 @@ def verdict() -> Column:
     return ~F.col("base_failed") & ok
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts, rates, limits' level and verdict of every document.
+def _named(docs: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
 
-    The counts are written once to the shared folder; sketches and verdicts read them from there.
-    Limits are broadcast only if their number is proven small, else joined with hot groups salted.
-    """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    path = scratch_path(spark, "rule-counts")
-    text_counts(narrow, ["_key", "lang", "source"], "_text").write.parquet(path)
-    rated = with_rates(spark.read.parquet(path))
-    bounds_path = scratch_path(spark, "rule-limits")
-    group_limits(rated, reach, min_group).withColumns({c: F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source")}).write.parquet(bounds_path)
-    bounds = spark.read.parquet(bounds_path).withColumnsRenamed({"lang": "_l", "source": "_s"})
-    keyed = rated.withColumns({c: F.coalesce(F.concat(F.lit("="), k), F.lit("")) for c, k in (("_l", "lang"), ("_s", "source"))})
+
+def _coded(name: str) -> Column:
+    """A text that is never null, different for null and for an empty text."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
+
+
+def _limited(rated: DataFrame, bounds: DataFrame, salt_on: str) -> DataFrame:
+    """Rows beside the limits of their group: by broadcast within a proven size, else with hot groups salted."""
+    keyed = rated.withColumns({"_l": _coded("lang"), "_s": _coded("source")})
     hinted = broadcast_if_small(bounds, 100_000)
     if hinted is bounds:
         hot = keyed.groupBy("_l", "_s").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1_000_000).drop("_n")
-        joined = lookup(keyed, bounds, ["_l", "_s"], hot, salt_on="_key")
+        joined = lookup(keyed, bounds, ["_l", "_s"], hot, salt_on=salt_on)
     else:
         joined = keyed.join(hinted, ["_l", "_s"], "left")
-    return joined.withColumn("kept", verdict()).drop("_l", "_s").withColumnRenamed("_key", key)
+    return joined.drop("_l", "_s")
+
+
+def _measured(docs: DataFrame, reach: int, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """Rated counts of all documents (_key, lang, source, _text) and the limits of the groups, both written once."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "rule-counts")
+    text_counts(docs, ["_key", "lang", "source"], "_text").write.parquet(path)
+    rated = with_rates(spark.read.parquet(path))
+    bounds_path = scratch_path(spark, "rule-limits")
+    group_limits(rated, reach, min_group).withColumns({"lang": _coded("lang"), "source": _coded("source")}).write.parquet(bounds_path)
+    return rated, spark.read.parquet(bounds_path).withColumnsRenamed({"lang": "_l", "source": "_s"})
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+    """Counts, rates, limits' level and verdict of every document.
+
+    The counts are written once to the shared folder; sketches and verdicts read them from there.
+    """
+    rated, bounds = _measured(_named(docs, key, text, lang, source), reach, min_group)
+    return _limited(rated, bounds, "_key").withColumn("kept", verdict()).withColumnRenamed("_key", key)
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    The limits come from a first pass; a second one counts again beside the whole rows, so texts are
+    not shuffled to meet a verdict and repeated keys do not matter.
+    """
+    named = _named(docs, key, text, lang, source)
+    _, bounds = _measured(named, reach, min_group)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(key).alias("_key"))
+    judged = _limited(with_rates(text_counts(rows, ["_row", "lang", "source", "_key"], "_text")), bounds, "_key")
+    return judged.filter(verdict()).select("_row.*")

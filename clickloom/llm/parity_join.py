@@ -273,3 +273,17 @@ def _across(groups: DataFrame, table: DataFrame, linked: DataFrame, most: int =
     right = held.select("lane", F.col("node").alias("b"), F.col("c").alias("cb"))
     joined = held.withColumnsRenamed({"node": "a", "c": "ca"}).join(right, "lane").filter("a < b AND ca <> cb")
     return joined.select("a", "b").distinct()
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """One document of each component (the least key, then the least text hash), with all its columns.
+
+    Rows are named by key and text hash. Only rows that share both are compared once more.
+    """
+    name = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    classes = _stored(link(docs.select(name.alias("_id"), F.col(text).alias("_text")), "_id", "_text", percent, k), "named-classes")
+    stay = classes.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.count("*").alias("_n"))
+    rows = docs.withColumn("_id", name).join(stay, "_id")
+    once = rows.filter("_n = 1").select(*docs.columns)
+    again = rows.filter("_n > 1").dropDuplicates(["_id"]).select(*docs.columns)
+    return once.unionByName(again)

@@ -18,7 +18,7 @@ additive and needs no scaling.
 
 Cases: a null or empty text has the features of an empty text and gets a score like any other. Rows
 that repeat a key are scored row by row; several labels of one key count by majority. Null keys are
-scored but never learnt from. Without trusted positives every score is 0.5. Empty tables give no rows.
+scored but never learnt from. Without trusted positives every score is 0.5 (``keep`` then keeps all). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -245,3 +245,22 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = BOUND, threshold: float = 0.7) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns.
+
+    After the fit a second pass scores whole rows in place, so texts are not shuffled.
+    """
+    path = scratch_path(docs.sparkSession, "form-features")
+    features(docs, key, text).write.parquet(path)
+    model = fit(docs.sparkSession.read.parquet(path), train_labels(labels, key, label, FOLDS, HELD_OUT), key, bound)
+    if model is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(model.scores(form_features(Texts(part.column(text)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from clickloom.llm import (
     byte_shards,
     crf_toxicity,
     elias_fano,
+    layout_text,
     parity_join,
     pu_quality,
     section_tokens,
@@ -49,6 +50,10 @@ def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens.attribute(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_elias_fano_ids": op2_elias_fano_ids,
     "op3_byte_shards": op3_byte_shards,
     "op4_parity_join": op4_parity_join,
+    "op5_layout_text": op5_layout_text,
     "op6_section_tokens": op6_section_tokens,
     "op7_bpe_verify": op7_bpe_verify,
     "op8_crf_toxicity": op8_crf_toxicity,
