@@ -38,6 +38,7 @@ FOLDS, HELD_OUT = 5, 0
 BOUND = 20_000
 LEXICON = 4_096
 WINDOWS = 12_000
+EVIDENCE = 24.0
 PREFIXES = (4, 5, 6, 7)  # bytes
 KINDS = len(PREFIXES) + 1
 NEAR, LENGTH = 3, 16
@@ -234,9 +235,13 @@ def _lexicon(sample: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     df = sample.select("_text", "_label").mapInArrow(count, "f bigint, t bigint, c bigint")
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
+    # log-likelihood ratio against equal shares: keeps out what is frequent by chance in small samples
+    share = bad / max(bad + good, 1)
+    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("t") + F.col("c")) * F.lit(q)))).otherwise(0.0)
+    ratio = 2 * (part("t", share) + part("c", 1 - share))
     chosen = (
         df.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .filter(F.col("t") >= 4).withColumn("odds", odds).filter("odds >= 1.2")
+        .filter(F.col("t") >= 4).withColumn("odds", odds).filter("odds >= 1.2").filter(ratio >= EVIDENCE)
         .orderBy(F.desc(F.col("t") * F.col("odds")), "f").limit(size).collect()
     )
     keys = np.array([r["f"] for r in chosen], np.int64).view(np.uint64)

@@ -270,7 +270,7 @@ def grid(table: Node) -> list[str]:
                 todo.extend(reversed(item.kids))
             elif item.tag == "tr":
                 rows.append([k for k in item.kids if not isinstance(k, str) and k.seen and k.tag in ("td", "th")])
-                captions.extend(k for k in item.kids if not isinstance(k, str) and k.seen and k.tag not in ("td", "th"))
+                todo.extend(k for k in reversed(item.kids) if isinstance(k, str) or k.tag not in ("td", "th"))
             else:
                 captions.append(item)
     placed, widths = [], {}

@@ -12,9 +12,14 @@ of its set bits.
 * Empty lanes are not joined. A document with more than g empty ones also brings lanes of another
   hash seed (and after four seeds its empty lanes), so that a linked pair still shares two lanes.
 * Equal sets are one node from the start. In each group of equal lanes all members are compared with the
-  least one, the links verified on the whole sets, and their components taken. Only members of a
-  group that are still in different components are compared with one another; in large groups only those
-  that share a second lane, which linked pairs always do. So no link between components is lost.
+  least one, the hub; links are verified on the whole sets, and their components taken.
+* Members of a group that are still in different components may be linked with one another. The symmetric
+  difference is a metric, so both are near the hub or both are far from it. Near members are written as
+  edits (their difference to the hub): as not both link to the hub, they can only link if their edits
+  overlap by a known number, which a prefix join over the rarest edits finds. Thus thousands of
+  copies that all differ too much from one another are not compared pair by pair. Far members share a
+  group through common passages; as linked pairs share two lanes, all far ones where no lane has a near
+  hub, only far members with two such lanes in common are compared. So no link between components is lost.
 
 Cases: null and empty texts have an empty set and are alone. Texts with fewer words than a shingle have
 one shingle, the whole sequence. Repeated rows and keys are equal sets of their own rows; a null key
@@ -25,14 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clickloom.llm.cells import LOWER_CODES, SPACE, Texts, mix, owner, slices, windows
 from clickloom.llm.components import components
 from clickloom.session import scratch_path
 
 SHINGLE, PERCENT = 4, 85
-GROUP = 64
 _SEEDS = 4
 _RATIO = 1.5
 
@@ -176,17 +180,29 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.select("lane", "node").repartition("lane").sortWithinPartitions("lane", "node").mapInArrow(run, "lane bigint, hub bigint, node bigint")
 
 
+def _together(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) beside their whole sets sa and sb."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+
+
+def _both(batch: pa.RecordBatch):
+    """Sorted union with repeats of both sets of each pair, and their sizes."""
+    for x, y in zip(batch.column("sa"), batch.column("sb")):
+        s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        yield np.sort(np.concatenate([s, t]), kind="stable"), len(s), len(t)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                joint = np.sort(np.concatenate([s, t]), kind="stable")
+            for joint, a, b in _both(batch):
                 same = int((joint[1:] == joint[:-1]).sum())
-                keep.append(100 * same >= percent * (len(s) + len(t) - same))
+                keep.append(100 * same >= percent * (a + b - same))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -196,9 +212,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(small.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
         .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     )
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return _together(near, sets).mapInArrow(run, "a bigint, b bigint")
+
+
+def most_differences(n: int, percent: int) -> int:
+    """Largest symmetric difference of a set of size n and any set that it links to."""
+    return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, nh, n, e, linked, far, edits): each member against its hub.
+
+    ``e`` is the symmetric difference. A pair of members that links differs in e by at most d (see
+    :func:`most_differences`), and their d by the threshold at most: if one of them has e <= 3 d, the
+    other has e <= near * d. Far ones have e > 3 d; those in between are both.
+    """
+    near = 4 + 3 * (100 - percent) / percent + 0.1
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for joint, a, b in _both(batch):
+                twin = joint[1:] == joint[:-1]
+                same = int(twin.sum())
+                e, most = a + b - 2 * same, most_differences(b, percent)
+                edits = None
+                if e <= near * most + 4:
+                    alone = np.ones(len(joint), bool)
+                    alone[1:] &= ~twin
+                    alone[:-1] &= ~twin
+                    edits = joint[alone].view(np.int64)
+                rows.append((a, b, e, 100 * same >= percent * (a + b - same), e > 3 * most, edits))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["hub", "node", "nh", "n", "e", "linked", "far", "edits"])
+
+    return _together(pairs, sets).mapInArrow(run, "hub bigint, node bigint, nh bigint, n bigint, e bigint, linked boolean, far boolean, edits array<bigint>")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -223,9 +272,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     pairs = groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     met = groups.select(F.col("hub").alias("node")).unionByName(groups.select("node")).distinct()
     sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node")), "sets")
-    linked = components(_verified(pairs, sets, percent))
-    linked = _stored(linked, "components")
-    again = _across(groups, table, linked)
+    compared = _stored(_compared(pairs, sets, percent), "compared")
+    linked = _stored(components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "components")
+    again = _near(compared, linked, percent).unionByName(_far(groups, compared, linked)).distinct()
     more = _verified(again, sets, percent)
     named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     for side in ("a", "b"):
@@ -259,20 +308,46 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> Da
     return found.join(wanted.select("n", "hi", "lo", "node"), ["n", "hi", "lo"]).select("node", "n", "set").dropDuplicates(["node"])
 
 
-def _across(groups: DataFrame, table: DataFrame, linked: DataFrame, most: int = GROUP) -> DataFrame:
-    """Pairs of members of one lane group, neither its hub, that are in different components so far."""
-    member = groups.join(linked, "node", "left").select("lane", "node", F.coalesce("component", "node").alias("c"))
-    sizes = member.groupBy("lane").agg(F.count("*").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
-    split = _stored(member.join(sizes.select("lane", "s"), "lane"), "split-groups")
-    small = split.filter(F.col("s") <= most).select("lane", "node", "c")
-    # linked pairs share two lanes: large groups are cut by the second one
-    large = split.filter(F.col("s") > most).join(table.select(F.col("rid").alias("node"), "lanes"), "node")
-    large = large.select("lane", "node", "c", F.explode("lanes").alias("other")).filter("other <> lane")
-    finer = large.select(F.xxhash64(F.least("lane", "other"), F.greatest("lane", "other")).alias("lane"), "node", "c")
-    held = small.unionByName(finer.distinct())
-    right = held.select("lane", F.col("node").alias("b"), F.col("c").alias("cb"))
-    joined = held.withColumnsRenamed({"node": "a", "c": "ca"}).join(right, "lane").filter("a < b AND ca <> cb")
-    return joined.select("a", "b").distinct()
+def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of near members of one hub, in different components, whose edits can overlap enough to link.
+
+    A pair links only if its edits share c = (e_x + e_y - d) / 2 elements or more. Edits are put in order of
+    rarity among the members of the hub; two sets that share c elements share one among the first e - c + 1.
+    A member of the hub's component meets only members that do not link to the hub; that bounds its c from
+    below, and for the others e - d does.
+    """
+    named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    rows = compared.filter("edits IS NOT NULL").join(named, F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "node")).drop("_n", "_c")
+    rows = rows.join(named, F.col("hub") == F.col("_n"), "left").withColumn("ch", F.coalesce("_c", "hub")).drop("_n", "_c")
+    split = rows.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("hub")
+    t, u = 100 - percent, 100 + percent
+    most = F.expr(f"({t} * (n + (100 * n) div {percent})) div {u}")
+    least = F.when(F.col("c") == F.col("ch"), F.expr(f"({u} * e + {t} * (nh - n)) div {2 * u}")).otherwise(F.col("e") - most)
+    own = rows.join(split, "hub").withColumn("size", F.col("e") - F.greatest(F.lit(1), least) + 1)
+    each = own.select("hub", "node", "n", "e", "c", "size", F.explode("edits").alias("edit"))
+    count = each.groupBy("hub", "edit").agg(F.count("*").alias("df"))
+    ranked = each.join(count, ["hub", "edit"])
+    order = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "edit"))  # one document's edits
+    kept = _stored(ranked.withColumn("at", order).filter("at <= size AND df > 1").select("hub", "edit", "node", "n", "e", "c", "at"), "prefixes")
+    other = kept.select("hub", "edit", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "e", "c", "at")))
+    # what is left after the first common edit must still hold the overlap
+    left = F.least(F.col("e") - F.col("at"), F.col("e2") - F.col("at2")) + 1
+    enough = 2 * u * left >= u * (F.col("e") + F.col("e2")) - t * (F.col("n") + F.col("n2"))
+    sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    pairs = kept.join(other, ["hub", "edit"]).filter((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & enough & sized)
+    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def _far(groups: DataFrame, compared: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of members far from their hubs, in different components, that share two such lanes."""
+    away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"]).select("lane", "node")
+    away = away.join(linked, "node", "left").select("lane", "node", F.coalesce("component", "node").alias("c"))
+    two = away.join(away.select(F.col("lane").alias("other"), "node"), "node").filter("lane < other")
+    held = _stored(two.select(F.xxhash64("lane", "other").alias("both"), "node", "c"), "far-lanes")
+    several = held.groupBy("both").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("both")
+    held = held.join(several, "both")
+    right = held.select("both", F.col("node").alias("b"), F.col("c").alias("cb"))
+    return held.withColumnsRenamed({"node": "a", "c": "ca"}).join(right, "both").filter("a < b AND ca <> cb").select("a", "b")
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -280,10 +355,10 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     Rows are named by key and text hash. Only rows that share both are compared once more.
     """
-    name = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
-    classes = _stored(link(docs.select(name.alias("_id"), F.col(text).alias("_text")), "_id", "_text", percent, k), "named-classes")
+    named = docs.select(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    classes = _stored(link(named, "_id", "_text", percent, k), "named-classes")
     stay = classes.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.count("*").alias("_n"))
-    rows = docs.withColumn("_id", name).join(stay, "_id")
-    once = rows.filter("_n = 1").select(*docs.columns)
-    again = rows.filter("_n > 1").dropDuplicates(["_id"]).select(*docs.columns)
+    rows = named.select("_id", "_row").join(stay, "_id")
+    once = rows.filter("_n = 1").select("_row.*")
+    again = rows.filter("_n > 1").dropDuplicates(["_id"]).select("_row.*")
     return once.unionByName(again)

@@ -42,7 +42,7 @@ SPLITS = {"line": line_starts, "paragraph": paragraph_starts}
 
 def allocate(ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token, and which tokens cross a border. ``ends`` of tokens, ``starts`` of sections, in bytes."""
-    begin = np.concatenate([[0], ends[:-1]])
+    begin = np.concatenate([[0], ends])[:-1]
     head = np.searchsorted(starts, begin, "right") - 1
     tail = np.searchsorted(starts, ends - 1, "right") - 1
     section, cross = head.copy(), tail > head
