@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.cells import slices, worker_state
+from clickloom.llm.cells import no_cycles, slices, worker_state
 
 MEMO = 150_000
 _BIG = np.int64(1 << 40)
@@ -246,6 +246,10 @@ class Encoder:
 
     def encode(self, texts: list) -> tuple[list[bytes], list[str]]:
         """Ids (little-endian unsigned 32 bit) and decoded text of each text."""
+        with no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list) -> tuple[list[bytes], list[str]]:
         cut = [self.pieces(t) if t else [] for t in texts]
         fresh = {c for p in cut for c in p} - self.known.keys()
         if len(self.known) + len(fresh) > self.memo:

@@ -7,8 +7,10 @@ Null texts count as empty. A word is a run of bytes other than space and 0x09-0x
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,18 @@ def worker_state(name: str) -> types.SimpleNamespace:
     return home.__dict__.setdefault(name, types.SimpleNamespace())
 
 
+@contextmanager
+def no_cycles():
+    """Pause the cycle collector while large memos of plain strings grow; it would scan them for nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """step^i and step^-i modulo 2^64 for i < n."""
     state = worker_state("powers")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clickloom.llm.cells import slices
-from clickloom.llm.pieces import piece_encoder
+from clickloom.llm.pieces import SLICE, piece_encoder
 from clickloom.session import broadcast_if_small
 
 SEGMENT_IDS = 1 << 20
@@ -119,7 +119,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
         tail = np.array([end_id], made.kind).tobytes() if end_id is not None else b""
         keys, ids, held = [], [], 0
         for batch in batches:
-            for piece in slices(batch, "_text"):
+            for piece in slices(batch, "_text", SLICE):
                 for k, found in zip(piece.column("_key").to_pylist(), made.encode(piece.column("_text").to_pylist())):
                     size = len(found) // made.kind.itemsize
                     if keys and held + size > segment_ids:

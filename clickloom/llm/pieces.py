@@ -2,7 +2,9 @@
 
 The file's pre-tokenizer never joins a blank to what stands before it, so a text in which every blank
 is followed by a visible character may be cut before each blank and the pieces encoded on their own.
-Other texts, and those with a special token, are encoded whole by the library.
+Other texts, and those with a special token, are encoded whole by the library. New pieces are cut further
+at single line breaks and between letters and marks, and their parts are encoded by the library in
+long texts, whose tokens are dealt back by their byte lengths.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ import re
 
 import numpy as np
 
-from clickloom.llm.cells import worker_state
+from clickloom.llm.cells import no_cycles, worker_state
 
-MEMO = 200_000
+MEMO = 300_000
+SLICE = 12 << 20  # bytes of text at a time: more repeats per look at the memo
+#: Marks that the pre-tokenizer always parts from letters before them (no apostrophe).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class PieceEncoder:
@@ -28,20 +33,89 @@ class PieceEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.unsafe = re.compile(r" (?:\s|$)")
-        self.known, self.heads = {}, {}
+        self.unsafe, self.white = re.compile(r" (?:\s|$)"), re.compile(r"\s")
+        self.memos, self.olds = {" ": {}, "": {}}, {" ": {}, "": {}}
+        self.sizes = self.lengths()
+        self.line_break = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict, pieces: set, lead: str) -> None:
-        fresh = [p for p in pieces if p not in memo]
-        memo.update(zip(fresh, self._whole([lead + p for p in fresh])))
+    def _joined(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words without white space, encoded as one text; ``lead`` (blank or line break) stands before each.
+
+        A blank belongs to its word; a line break is a token of its own, which is left out.
+        """
+        out = []
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = np.array(self.library.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, self.kind)
+            begins = np.concatenate([[0], np.cumsum([len(w.encode()) + 1 for w in some])])
+            places = np.searchsorted(np.concatenate([[0], np.cumsum(self.sizes[ids])]), begins)
+            skip = int(lead == "\n")
+            raw, width = ids.tobytes(), self.kind.itemsize
+            out += [raw[(a + skip) * width : b * width] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+        return out
+
+    def _learn(self, met: set, lead: str) -> None:
+        """Put pieces with a leading blank, or without, into their memo."""
+        memo, old = self.memos[lead], self.olds[lead]
+        fresh = met - memo.keys()
+        again = fresh & old.keys()
+        memo.update([(p, old[p]) for p in again])
+        fresh -= again
+        if not fresh:
+            return
+        lined, marked, cores = [], [], []
+        for p in fresh:
+            if "\n" in p:
+                lined.append(p)
+            else:
+                core = p.rstrip(MARKS)
+                if core != p and core and core[-1].isalpha():
+                    marked.append((p, core, p[len(core) :]))
+                else:
+                    cores.append(p)
+        if lined:
+            self._learn_lines(lined, lead)
+        cores = list({*cores, *(c for _, c, _ in marked)} - memo.keys())
+        odd = [w for w in cores if self.white.search(w)] if self.white.search("".join(cores)) else []
+        if odd:
+            memo.update(zip(odd, self._whole([lead + w for w in odd])))
+            cores = list(set(cores) - set(odd))
+        memo.update(zip(cores, self._joined(cores, lead or "\n")))
+        tails = {t for *_, t in marked}
+        if lead or not tails <= memo.keys():
+            self._learn_marks(tails)
+        ends = self.memos[""]
+        memo.update([(p, memo[c] + ends[t]) for p, c, t in marked])
+
+    def _learn_marks(self, tails: set) -> None:
+        memo = self.memos[""]
+        new = list(tails - memo.keys())
+        memo.update(zip(new, self._whole(new)))
+
+    def _learn_lines(self, pieces: list[str], lead: str) -> None:
+        """Pieces with line breaks: cut at single breaks, whole where white space meets."""
+        cut, whole = [], []
+        for p in pieces:
+            lines = p.split("\n")
+            (whole if any(not x or x[0].isspace() or x[-1].isspace() for x in lines) else cut).append((p, lines))
+        memo = self.memos[lead]
+        memo.update(zip([p for p, _ in whole], self._whole([lead + p for p, _ in whole])))
+        self._learn({x[0] for _, x in cut}, lead)
+        self._learn({y for _, x in cut for y in x[1:]}, "")
+        rest, gap = self.memos[""], self.line_break
+        memo.update([(p, memo[x[0]] + gap + gap.join([rest[y] for y in x[1:]])) for p, x in cut])
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text (null: none), as little-endian integers of ``self.kind``."""
+        with no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list) -> list[bytes]:
         out = [b""] * len(texts)
         whole, cut = [], []
         for i, t in enumerate(texts):
@@ -58,16 +132,15 @@ class PieceEncoder:
             pieces.update(p[1:])
             heads.add(p[0])
         heads.discard("")
-        if len(self.known) + len(pieces) > self.memo:
-            self.known = {}
-        if len(self.heads) + len(heads) > self.memo:
-            self.heads = {}
-        self.heads[""] = b""
-        self._learn(self.known, pieces, " ")
-        self._learn(self.heads, heads, "")
-        find = self.known.__getitem__
+        for lead, met in ((" ", pieces), ("", heads)):
+            if len(self.memos[lead]) + len(met) > self.memo:
+                # the last generation stays readable; what is met again moves on
+                self.olds[lead], self.memos[lead] = self.memos[lead], {}
+            self._learn(met, lead)
+        find, first = self.memos[" "].__getitem__, self.memos[""]
+        first[""] = b""
         for i, p in cut:
-            out[i] = self.heads[p[0]] + b"".join(map(find, p[1:]))
+            out[i] = first[p[0]] + b"".join(map(find, p[1:]))
         return out
 
     def lengths(self) -> np.ndarray:

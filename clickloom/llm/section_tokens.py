@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from clickloom.llm.cells import Texts, slices
-from clickloom.llm.pieces import piece_encoder
+from clickloom.llm.pieces import SLICE, piece_encoder
 
 
 def line_starts(raw: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def attribute(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
         made = piece_encoder(sent.value)
         lengths = made.lengths()
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 texts = Texts(part.column("_text"))
                 rows, flat = [], []
                 for i, ids in enumerate(made.encode(part.column("_text").to_pylist())):
