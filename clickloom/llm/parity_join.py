@@ -28,9 +28,11 @@ never names a component unless all keys of it are null. An empty table gives no
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clickloom.llm.cells import LOWER_CODES, SPACE, Texts, mix, owner, slices, windows
 from clickloom.llm.components import components
@@ -39,6 +41,7 @@ from clickloom.session import scratch_path
 SHINGLE, PERCENT = 4, 85
 _SEEDS = 4
 _RATIO = 1.5
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shingle_sets(texts: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,12 @@ class Bands:
         self.low = np.array(low)
         most = 2 * (self.low[1:] - 1)
         self.d = (100 - percent) * most // (100 + percent)
-        self.g = np.maximum(1, self.d // 16)
+        # spare lanes: what the smallest sets of a band leave empty by chance, with a margin
+        least, self.g = percent * self.low[:-1] / 100, np.ones(len(self.d), np.int64)
+        for _ in range(60):
+            m = self.d + 2 + self.g
+            empty = m * np.exp(-least / m)
+            self.g = np.maximum(self.g, np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64))
         self.m = np.where(self.d > 0, self.d + 2 + self.g, 0)  # without differences only equal sets link
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +232,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(hub, node, nh, n, e, linked, far, edits): each member against its hub.
 
     ``e`` is the symmetric difference. A pair of members that links differs in e by at most d (see
-    :func:`most_differences`), and their d by the threshold at most: if one of them has e <= 3 d, the
-    other has e <= near * d. Far ones have e > 3 d; those in between are both.
+    :func:`most_differences`), and in d by the threshold at most: if one of them has e <= far * d, the
+    other has e <= near * d. Far ones have e > far * d (about half their size); those in between are both.
     """
-    near = 4 + 3 * (100 - percent) / percent + 0.1
+    far = 0.5 * percent / (100 - percent)
+    near = far * 100 / percent + 1.1
 
     def run(batches):
         for batch in batches:
@@ -237,12 +246,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 same = int(twin.sum())
                 e, most = a + b - 2 * same, most_differences(b, percent)
                 edits = None
-                if e <= near * most + 4:
+                if e <= near * (most + 2) + 2:
                     alone = np.ones(len(joint), bool)
                     alone[1:] &= ~twin
                     alone[:-1] &= ~twin
                     edits = joint[alone].view(np.int64)
-                rows.append((a, b, e, 100 * same >= percent * (a + b - same), e > 3 * most, edits))
+                rows.append((a, b, e, 100 * same >= percent * (a + b - same), e > far * most, edits))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["hub", "node", "nh", "n", "e", "linked", "far", "edits"])
@@ -250,16 +259,37 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _together(pairs, sets).mapInArrow(run, "hub bigint, node bigint, nh bigint, n bigint, e bigint, linked boolean, far boolean, edits array<bigint>")
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files of the writes inside go as soon as each write is done, not when the driver happens to clean up."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _drop(*frames: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id): the least key reachable over links of at least ``percent`` similarity."""
     table = _stored(sketches(docs, key, text, percent, k).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    narrow = table.select("rid", "_key", "n", "hi", "lo")
+    narrow = _stored(table.select("rid", "_key", "n", "hi", "lo"), "prints")
     same = ["n", "hi", "lo"]
     nodes = _stored(
         narrow.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("node"), F.min("_key").alias("least"), F.min_by("_key", "rid").alias("_of"), F.count("*").alias("copies")), "nodes"
@@ -269,13 +299,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     first = table.filter("size(lanes) > 0").select("rid", "lanes").join(later, "rid", "left_anti")
     rows = first.select(F.explode("lanes").alias("lane"), F.col("rid").alias("node"))
     groups = _stored(_groups(rows), "lane-groups")
+    _drop(table)
     pairs = groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     met = groups.select(F.col("hub").alias("node")).unionByName(groups.select("node")).distinct()
     sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node")), "sets")
     compared = _stored(_compared(pairs, sets, percent), "compared")
     linked = _stored(components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "components")
     again = _near(compared, linked, percent).unionByName(_far(groups, compared, linked)).distinct()
-    more = _verified(again, sets, percent)
+    more = _stored(_verified(again, sets, percent), "more-links")
+    _drop(sets, compared, groups)
     named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     for side in ("a", "b"):
         more = more.join(named, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_c", side)).drop("_n", "_c")
@@ -285,6 +317,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         .join(merged, F.col("component") == F.col("_from"), "left").withColumn("component", F.coalesce("_to", "component"))
     )
     final = _stored(final.select(*same, "least", "component"), "classes")
+    _drop(nodes, linked)
     named = final.groupBy("component").agg(F.min("least").alias("component_id"))
     known = final.join(named, "component").select(*same, "component_id")
     out = narrow.join(known, same, "left")
@@ -357,8 +390,10 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     """
     named = docs.select(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
     classes = _stored(link(named, "_id", "_text", percent, k), "named-classes")
-    stay = classes.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.count("*").alias("_n"))
-    rows = named.select("_id", "_row").join(stay, "_id")
-    once = rows.filter("_n = 1").select("_row.*")
-    again = rows.filter("_n > 1").dropDuplicates(["_id"]).select("_row.*")
-    return once.unionByName(again)
+    gone = classes.filter(F.col("_id") != F.col("component_id")).select("_id").distinct()
+    left = named.join(gone, "_id", "left_anti")
+    alike = classes.filter(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id")
+    if alike.isEmpty():
+        return left.select("_row.*")
+    once = left.join(alike, "_id", "left_anti").select("_row.*")
+    return once.unionByName(left.join(alike, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*"))
