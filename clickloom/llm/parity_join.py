@@ -18,8 +18,10 @@ of its set bits.
   edits (their difference to the hub): as not both link to the hub, they can only link if their edits
   overlap by a known number, which a prefix join over the rarest edits finds. Thus thousands of
   copies that all differ too much from one another are not compared pair by pair. Far members share a
-  group through common passages; as linked pairs share two lanes, all far ones where no lane has a near
-  hub, only far members with two such lanes in common are compared. So no link between components is lost.
+  group through common passages. Linked pairs share two lanes, all of them far where none has a near
+  hub, so members with two such lanes meet in a prefix join over the rarest shingles of their sets.
+  Both joins first link to the least member of each group and then compare what is still apart, so
+  no link between components is lost.
 
 Cases: null and empty texts have an empty set and are alone. Texts with fewer words than a shingle have
 one shingle, the whole sequence. Repeated rows and keys are equal sets of their own rows; a null key
@@ -304,18 +306,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     met = groups.select(F.col("hub").alias("node")).unionByName(groups.select("node")).distinct()
     sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node")), "sets")
     compared = _stored(_compared(pairs, sets, percent), "compared")
-    linked = _stored(components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "components")
-    again = _near(compared, linked, percent).unionByName(_far(groups, compared, linked)).distinct()
-    more = _stored(_verified(again, sets, percent), "more-links")
+    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    linked = _stored(components(links), "components")
+    kept = _stored(_near(compared, linked, percent).unionByName(_far(groups, compared, sets, percent)), "prefixes")
+    # first with the least member of each group only, which joins most copies; then what is still apart
+    for star in (True, False):
+        again = _meet(kept, linked, percent, star)
+        links = links.unionByName(_stored(_verified(again, sets, percent), "more-links"))
+        linked = _stored(components(links), "components")
     _drop(sets, compared, groups)
-    named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    for side in ("a", "b"):
-        more = more.join(named, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_c", side)).drop("_n", "_c")
-    merged = components(more).withColumnsRenamed({"node": "_from", "component": "_to"})
-    final = (
-        nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .join(merged, F.col("component") == F.col("_from"), "left").withColumn("component", F.coalesce("_to", "component"))
-    )
+    final = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     final = _stored(final.select(*same, "least", "component"), "classes")
     _drop(nodes, linked)
     named = final.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -342,7 +342,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> Da
 
 
 def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of near members of one hub, in different components, whose edits can overlap enough to link.
+    """Prefixes (key, node, n, e, at) of the edits of near members of one hub that are in different components.
 
     A pair links only if its edits share c = (e_x + e_y - d) / 2 elements or more. Edits are put in order of
     rarity among the members of the hub; two sets that share c elements share one among the first e - c + 1.
@@ -358,29 +358,58 @@ def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     least = F.when(F.col("c") == F.col("ch"), F.expr(f"({u} * e + {t} * (nh - n)) div {2 * u}")).otherwise(F.col("e") - most)
     own = rows.join(split, "hub").withColumn("size", F.col("e") - F.greatest(F.lit(1), least) + 1)
     each = own.select("hub", "node", "n", "e", "c", "size", F.explode("edits").alias("edit"))
-    count = each.groupBy("hub", "edit").agg(F.count("*").alias("df"))
-    ranked = each.join(count, ["hub", "edit"])
-    order = F.row_number().over(Window.partitionBy("hub", "node").orderBy("df", "edit"))  # one document's edits
-    kept = _stored(ranked.withColumn("at", order).filter("at <= size AND df > 1").select("hub", "edit", "node", "n", "e", "c", "at"), "prefixes")
-    other = kept.select("hub", "edit", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "e", "c", "at")))
-    # what is left after the first common edit must still hold the overlap
+    count = each.groupBy("hub", "edit").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("hub", "node")  # one document's edits
+    # those of one member only come first, and meet nothing
+    rank = F.row_number().over(own.orderBy("df", "edit")) + F.col("e") - F.count("*").over(own)
+    ranked = each.join(count, ["hub", "edit"]).withColumn("at", rank).filter("at <= size")
+    return ranked.select(F.xxhash64("hub", "edit").alias("key"), "node", "n", "e", "at")
+
+
+def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Prefixes of the whole sets of members that have two lanes or more with far hubs.
+
+    As for the edits, with the empty set as hub: e is the size, and c at least ``percent`` of it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+            if not found:
+                continue
+            sizes = np.array([len(x) for x in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(found))], names=["node", "n", "edit"])
+
+    away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"])
+    members = away.groupBy("node").agg(F.count("*").alias("lanes")).filter("lanes > 1").select("node")
+    each = sets.join(members, "node").select("node", "set").mapInArrow(run, "node bigint, n bigint, edit bigint")
+    count = each.groupBy("edit").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("df", "edit")) + F.col("n") - F.count("*").over(own)
+    ranked = each.join(count, "edit").withColumn("at", rank).filter(F.expr(f"at <= n - ({percent} * n + 99) div 100 + 1"))
+    return ranked.select(F.xxhash64(F.lit("set"), "edit").alias("key"), "node", "n", F.col("n").alias("e"), "at")
+
+
+def _meet(kept: DataFrame, linked: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs of different components that share a prefix element and can still overlap enough.
+
+    ``star``: only with the least member of each group of equal elements.
+    """
+    t, u = 100 - percent, 100 + percent
+    rows = kept.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    apart = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
+    rows = rows.join(apart, "key")
+    cells = ["node", "n", "e", "at", "c"]
+    if star:
+        other = rows.groupBy("key").agg(F.min(F.struct(*cells)).alias("o")).select("key", *(F.col(f"o.{x}").alias(f"{x}2") for x in cells))
+    else:
+        other = rows.select("key", *(F.col(x).alias(f"{x}2") for x in cells))
+    # what is left after the common element must still hold the overlap
     left = F.least(F.col("e") - F.col("at"), F.col("e2") - F.col("at2")) + 1
     enough = 2 * u * left >= u * (F.col("e") + F.col("e2")) - t * (F.col("n") + F.col("n2"))
     sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    pairs = kept.join(other, ["hub", "edit"]).filter((F.col("node") < F.col("node2")) & (F.col("c") != F.col("c2")) & enough & sized)
-    return pairs.select(F.col("node").alias("a"), F.col("node2").alias("b"))
-
-
-def _far(groups: DataFrame, compared: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of members far from their hubs, in different components, that share two such lanes."""
-    away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"]).select("lane", "node")
-    away = away.join(linked, "node", "left").select("lane", "node", F.coalesce("component", "node").alias("c"))
-    two = away.join(away.select(F.col("lane").alias("other"), "node"), "node").filter("lane < other")
-    held = _stored(two.select(F.xxhash64("lane", "other").alias("both"), "node", "c"), "far-lanes")
-    several = held.groupBy("both").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("both")
-    held = held.join(several, "both")
-    right = held.select("both", F.col("node").alias("b"), F.col("c").alias("cb"))
-    return held.withColumnsRenamed({"node": "a", "c": "ca"}).join(right, "both").filter("a < b AND ca <> cb").select("a", "b")
+    pairs = rows.join(other, "key").filter((F.col("node2") < F.col("node")) & (F.col("c") != F.col("c2")) & enough & sized)
+    return pairs.select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
