@@ -10,8 +10,16 @@ from clickloom.sources.store import as_records
 
 
 def composite_key(*cols: str, sep: str = "_") -> Column:
-    """Display key; group on the columns themselves, since joined text can collide."""
-    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    """Text key of several columns, different for different rows.
+
+    A separator or backslash inside a part is escaped with a backslash, and a null part is ``\\N``.
+    """
+
+    def part(c: str) -> Column:
+        text = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit(sep), F.lit(f"\\{sep}")), F.lit("\\N"))
+
+    return F.concat_ws(sep, *[part(c) for c in cols])
 
 
 def frequency(df: DataFrame, key_cols: list[str], item_col: str) -> DataFrame:
@@ -177,9 +185,11 @@ def training_set(
 ) -> DataFrame:
     """Three logs to ``(row_id, split, label, entity_id, feature, value)`` in one plan.
 
-    The positive and the negatives of one click always fall into the same split.
+    The positive and the negatives of one click always fall into the same split. Log lines that were
+    delivered twice count once; an impression's time is not looked at.
     """
-    joined = with_user_info(impression_clicks(impressions, clicks), users)
+    impressions = impressions.dropDuplicates([c for c in impressions.columns if c != "timestamp"])
+    joined = with_user_info(impression_clicks(impressions, clicks.distinct()), users)
     rows = labeled_clicks(clicked_in_list(joined), negatives, seed)
     rows = hash_split(rows, [F.col("click_key")], train, seed)
     named = {"pos": F.col("position"), **{n: F.col(c) for n, c in USER_FEATURES.items()}}

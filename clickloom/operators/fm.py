@@ -180,13 +180,12 @@ def fit_sgd_averaged(
     alpha: float = 0.1,
     lams: tuple[float, float, float] = (0.0, 0.0, 0.0),
     loss: str = "exp",
-    shards: int | None = None,
+    shards: int = passes.SHARDS,
 ) -> DataFrame:
     """Parallel SGD with model averaging; the state of a shard is bias, weights and factors."""
     if alpha * max(lams) >= 1:
         raise ValueError("alpha * lam must be below 1")
     current = cut_lineage(model if model is not None else initial_model(examples, n_factors))
-    shards = shards or passes.default_shards(examples)
     shard = (hash_int(F.col("row_id")) % shards).cast("int")
     placed = passes.place(examples.withColumn("shard", shard), ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
     zero = F.array(*[F.lit(0.0)] * n_factors)

@@ -161,11 +161,16 @@ def fit_majorized(
                 new = (d * old - g) / (d + F.lit(lam))
             else:
                 new = soft_threshold(old - g / d, F.lit(lam) / d)
+            if reg == "l1" or lam == 0:  # a feature of zeros only has no curvature and stays where it is
+                new = F.when(d > 0, new).otherwise(old)
             joined = w.join(bound, on).join(grads, on)
             moved = cut_lineage(joined.select(*on, new.alias("w"), F.abs(new - old).alias("move")))
             w = moved.select(*on, "w")
             if moved.agg(F.max("move")).first()[0] <= tol:
                 break
+    if weights is not None:  # features without rows: at the optimum of the penalty, or where they were
+        rest = weights.join(w.select(*on), on, "left_anti")
+        w = w.unionByName(rest.select(*on, (F.lit(0.0) if lam > 0 else F.col("w")).alias("w")))
     return w
 
 
@@ -180,14 +185,17 @@ def fit_sgd_averaged(
     lam: float = 0.0,
     reg: str = "l2",
     loss: str = "exp",
-    shards: int | None = None,
+    shards: int = passes.SHARDS,
 ) -> DataFrame:
-    """Parallel SGD: each shard makes one sequential pass, the models are averaged by row count."""
+    """Parallel SGD: each shard makes one sequential pass, the models are averaged by row count.
+
+    ``shards`` is part of the model, so it does not follow the size of the data; give more of them
+    where a pass would take too long.
+    """
     _check_reg(reg)
     if reg == "l2" and alpha * lam >= 1:
         raise ValueError("alpha * lam must be below 1")
     w = cut_lineage(weights.select("feature", "w") if weights is not None else initial_weights(examples))
-    shards = shards or passes.default_shards(examples)
     shard = (hash_int(F.col("row_id")) % shards).cast("int")
     sharded = examples.withColumn("offset", _offset(examples)).withColumn("shard", shard)
     placed = passes.place(sharded, ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
@@ -235,17 +243,17 @@ def fit_sgd_by_key(
     lam: float = 0.0,
     reg: str = "l2",
     loss: str = "exp",
-    feature_rows: int = 20_000_000,
+    shards: int = 1,
 ) -> DataFrame:
     """One sequential SGD pass per entity from ``weights(entity_id, feature, w)``.
 
-    An entity with more feature rows than the bound is split into shards that are averaged, so its
-    size does not decide the run time. Entities without rows keep their weights.
+    With ``shards`` above 1 the rows of every entity are dealt to as many passes, whose models are
+    averaged; one large entity is then not one task. Entities without rows keep their weights.
     """
     _check_reg(reg)
     n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["entity_id", "shard"]
-    sharded = passes.split_groups(examples.withColumn("offset", _offset(examples)), "entity_id", feature_rows)
+    sharded = passes.split_groups(examples.withColumn("offset", _offset(examples)), shards)
     joined = lookup(passes.place(sharded, group, n), weights, ["entity_id", "feature"])
     packed = passes.pack(joined, group, ["row_id", "label", "offset"], {"w": F.lit(0.0)})
     learner = partial(passes.SgdPass, alpha, lam, reg, loss)
@@ -265,14 +273,18 @@ def fit_sgd_by_key(
     return base.unionByName(moved).groupBy("entity_id", "feature").agg(F.sum("part").alias("w"))
 
 
-def token_vectors(examples: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """One sparse 0/1 vector per row over ``vocabulary`` (JVM-side)."""
-    from pyspark.ml.feature import CountVectorizerModel
+def token_vectors(examples: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """One sparse vector per row with the values of its features; ``index(feature, idx)`` gives the places.
 
-    keys = [c for c in ("row_id", "label", "offset") if c in examples.columns]
-    tokens = examples.filter(F.col("value") != 0).groupBy(*keys).agg(F.collect_set("feature").alias("tokens"))
-    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="features", minTF=1.0)
-    return model.setBinary(True).transform(tokens).drop("tokens")
+    Rows whose values are all 0 stay, as empty vectors. A feature listed twice in a row counts by its sum.
+    """
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    keys = [c for c in ("row_id", "label") if c in examples.columns]
+    cells = examples.join(index, "feature").groupBy(*keys, "idx").agg(F.sum("value").alias("value"))
+    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("c"))
+    sparse = F.udf(lambda at, x: Vectors.sparse(size, at, x), VectorUDT())
+    return packed.select(*keys, sparse("c.idx", "c.value").alias("features"))
 
 
 def fit_lbfgs(
@@ -282,21 +294,28 @@ def fit_lbfgs(
     reg: str = "l2",
     tol: float = 1e-6,
     max_features: int = 1_000_000,
+    loss: str = "exp",
 ) -> DataFrame:
-    """L-BFGS (L2) or OWL-QN (L1) through MLlib for one-hot examples; labels of either convention.
+    """L-BFGS (L2) or OWL-QN (L1) through MLlib; the mean log-loss is the same for both label conventions.
 
-    The model and its vocabulary live on the driver, hence the checked feature bound; beyond it
-    use :func:`fit_majorized`, which has the same objective.
+    MLlib gives a feature that has the same value in every row the weight 0. The coefficients live
+    on the driver: more than ``max_features`` features are an error, as are
+    offsets. :func:`fit_majorized` has the same objective without either limit.
     """
     from pyspark.ml.classification import LogisticRegression
 
     _check_reg(reg)
+    if loss not in ("exp", "log"):
+        raise ValueError(f"loss must be 'exp' or 'log', got {loss!r}")
+    if "offset" in examples.columns and not examples.filter("offset <> 0").isEmpty():
+        raise ValueError("lbfgs takes no offsets; use method 'majorized'")
     spark = examples.sparkSession
     index = feature_index(examples)
-    if index.count() > max_features:
-        return fit_majorized(examples.withColumn("label", F.when(F.col("label") > 0, 1.0).otherwise(-1.0)), lam=lam, reg=reg)
+    size = index.count()
+    if size > max_features:
+        raise ValueError(f"{size} features are more than max_features={max_features}; use method 'majorized'")
     names = [r["feature"] for r in index.orderBy("idx").collect()]
-    vectors = token_vectors(examples, names).withColumn("label", F.when(F.col("label") > 0, 1.0).otherwise(0.0)).persist()
+    vectors = token_vectors(examples, index, size).withColumn("label", F.when(F.col("label") > 0, 1.0).otherwise(0.0)).persist()
     try:
         model = LogisticRegression(
             regParam=lam,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.expr import sigmoid
 from clickloom.functions.hashing import hash_weight
-from clickloom.operators import linear
+from clickloom.operators import linear, passes
 from clickloom.operators.layout import by_row, lookup, per_row
 from clickloom.operators.metrics import evaluate
 from clickloom.session import cut_lineage
@@ -121,7 +121,7 @@ def fit_mixed(
     reg: tuple[str, str] = ("l2", "l2"),
     loss: str = "exp",
     inner: int = 10,
-    shards: int | None = None,
+    shards: int = passes.SHARDS,
     validate: DataFrame | None = None,
     history: list | None = None,
 ) -> DataFrame:

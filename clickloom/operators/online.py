@@ -237,18 +237,18 @@ def ftrl_per_key(
     seq: str,
     rates: Rates,
     loss: str = "exp",
-    feature_rows: int = 20_000_000,
+    shards: int = 1,
     partitions: int | None = None,
 ) -> DataFrame:
     """An independent FTRL model per key, one sequential pass in ``seq`` order.
 
-    Rows of a key are streamed, not collected. A key above ``feature_rows`` is split into hashed
-    shards whose models are averaged by rows (see :func:`average_keys`), so one key holding a large
-    part of the data is not one task.
+    Rows of a key are streamed, not collected. With ``shards`` above 1 the rows of every key are dealt
+    to as many passes whose models are averaged by rows (see :func:`average_keys`), so one key
+    holding a large part of the data is not one task.
     """
     n = partitions or int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = examples.withColumn("model_key", F.col(key).cast("string"))
-    placed = passes.place(passes.split_groups(keyed, "model_key", feature_rows), ["model_key", "shard"], n)
+    placed = passes.place(passes.split_groups(keyed, shards), ["model_key", "shard"], n)
     packed = passes.pack(placed, ["model_key", "shard"], ["row_id", seq, "label"], {})
     learner = partial(passes.FtrlPass, rates.alpha, rates.beta, rates.l1, rates.l2, loss)
     return passes.run_pass(

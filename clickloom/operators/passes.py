@@ -21,21 +21,20 @@ def place(examples: DataFrame, group: list[str], partitions: int) -> DataFrame:
     return examples.repartition(partitions, *group)
 
 
-def split_groups(examples: DataFrame, key: str, feature_rows: int) -> DataFrame:
-    """Add ``shard``: a group with more feature rows than the bound is cut into hashed shards."""
-    big = examples.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > feature_rows)
-    shards = F.ceil(F.col("_n") / F.lit(float(feature_rows)))
-    shard = F.coalesce(F.pmod(F.xxhash64("row_id"), shards), F.lit(0)).cast("int")
-    # at most count / feature_rows keys, so the broadcast is bounded and the hot key is not shuffled whole
-    return examples.join(F.broadcast(big), key, "left").withColumn("shard", shard).drop("_n")
+def split_groups(examples: DataFrame, shards: int) -> DataFrame:
+    """Add ``shard``: every group is cut into as many hashed shards, whatever its size.
+
+    The number is part of the model: one shard is a single sequential pass, more are averaged.
+    """
+    return examples.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
 
 
 def pack(joined: DataFrame, group: list[str], keys: list[str], values: dict[str, Column]) -> DataFrame:
     """One row per example: sorted parallel arrays of features, inputs and model values.
 
-    ``joined`` is partitioned on ``group`` and already carries the model columns; ``values`` maps
-    each of them to its default for features the model does not know. Grouping on
-    ``group + keys`` then needs no further shuffle.
+    ``joined`` already carries the model columns; ``values`` maps each of them to its default for
+    features the model does not know. The rows may come from any layout: :func:`run_pass` brings
+    the packed rows of a group together.
     """
     cells = [F.coalesce(F.col(c), default).alias(c) for c, default in values.items()]
     packed = joined.groupBy(*group, *keys).agg(
@@ -64,7 +63,9 @@ def _rows(column: pa.Array):
 def run_pass(packed: DataFrame, group: list[str], order: list[str], inputs: list[str], learner, schema: str) -> DataFrame:
     """Feed each group's rows, in order, to ``learner()``; ``finish(key)`` yields output tuples.
 
-    Arrow batches stream through the task; a batch is turned into Python values column by column.
+    The join with the model may have moved the rows, so the packed rows are exchanged on the group
+    first; a group is then one task's, whatever join Spark chose. Arrow batches stream through the
+    task; a batch is turned into Python values column by column.
     """
     width = len(group)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
@@ -89,13 +90,12 @@ def run_pass(packed: DataFrame, group: list[str], order: list[str], inputs: list
         if state is not None:
             yield batch_of(list(state.finish(current)))
 
-    ordered = packed.sortWithinPartitions(*group, *order)
+    ordered = packed.repartition(*group).sortWithinPartitions(*group, *order)
     return ordered.select(*group, *inputs).mapInArrow(run, schema)
 
 
-def default_shards(examples: DataFrame, feature_rows: int = 5_000_000) -> int:
-    """Four shards, more once a shard would exceed the bound of feature rows."""
-    return max(4, -(-examples.count() // feature_rows))
+#: Shards of a pass with model averaging. A fixed number, since it is part of the model.
+SHARDS = 4
 
 
 def _multiplier(label: float, score: float, loss: str) -> float:

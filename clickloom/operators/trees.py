@@ -6,7 +6,6 @@ row-local expression over the few split nodes; a level needs one aggregation by
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -77,6 +76,12 @@ def _route(node: Column, splits: dict[int, str]) -> Column:
     return F.when(feature.isNull(), node).otherwise(step)
 
 
+def _step(node: Column, table: Column) -> Column:
+    """One level of a fold: as :func:`_route`, with the splits as a map column."""
+    feature = F.try_element_at(table, node)
+    return F.when(feature.isNull(), node).when(F.array_contains("features", feature), node * 2).otherwise(node * 2 + 1)
+
+
 class Tree:
     """Split feature per inner node, value per leaf: at most 2^depth entries."""
 
@@ -84,7 +89,11 @@ class Tree:
         self.levels, self.leaves = levels, leaves
 
     def value(self) -> Column:
-        node = reduce(_route, self.levels, F.lit(ROOT))
+        node = F.lit(ROOT)
+        if self.levels:
+            # a fold over the levels: the expression grows with the depth, not with its power
+            tables = F.array(*[F.create_map(*[F.lit(v) for pair in level.items() for v in pair]) for level in self.levels])
+            node = F.aggregate(tables, node, _step)
         table = F.create_map(*[F.lit(v) for pair in self.leaves.items() for v in pair])
         return F.coalesce(F.try_element_at(table, node), F.lit(0.0))
 

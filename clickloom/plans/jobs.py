@@ -64,9 +64,7 @@ def ranking_job(requests: DataFrame, users: DataFrame, store: ModelStore) -> Dat
 
 def linear_job(train: DataFrame, validate: DataFrame, method: str = "lbfgs", loss: str = "exp", **options) -> tuple[DataFrame, DataFrame]:
     """Train a linear model; returns the weights and one row ``(accuracy, loss, auc)`` on ``validate``."""
-    if method != "lbfgs":
-        options["loss"] = loss
-    weights = linear.fit_linear(train, method, **options)
+    weights = linear.fit_linear(train, method, loss=loss, **options)
     return weights, metrics.evaluate(linear.score(validate, weights), loss)
 
 

@@ -141,3 +141,8 @@ def test_sequence_fixtures(spark, rows):
     assert rows(sequence.is_increasing(placed, "user", "value")) == [("u", True)]
     path = spark.createDataFrame([("u", i, str(i)) for i in range(1, 6)], "user string, ts long, step string")
     assert rows(sequence.path_contains(sequence.positions(path, "user", ["ts"]), "user", "step", ["5", "6"])) == [("u", False)]
+
+
+def test_text_keys_of_different_parts_stay_apart(spark):
+    df = spark.createDataFrame([("a_b", "c"), ("a", "b_c"), ("a", None), ("a", ""), ("a\\", "b"), ("a", "\\b")], "x string, y string")
+    assert df.select(features.composite_key("x", "y").alias("k")).distinct().count() == 6

@@ -119,7 +119,7 @@ def test_sgd_per_entity_equals_separate_passes(spark):
         expected = dense_sgd(x, y, W, 0.3, 0.05, "l2")
         assert [got[f"e{e}"][f] for f in FEATURES] == pytest.approx(list(expected), abs=1e-9)
     assert [got["e3"][f] for f in FEATURES] == pytest.approx(list(W))  # no rows: unchanged
-    split = linear.fit_sgd_by_key(df, start, alpha=0.3, lam=0.05, feature_rows=10)
+    split = linear.fit_sgd_by_key(df, start, alpha=0.3, lam=0.05, shards=3)
     assert split.count() == 20 and split.filter("w is null or isnan(w)").isEmpty()
 
 
@@ -378,3 +378,71 @@ def test_pass_learner_shrinks_lazily():
     assert passes.shrink(0.5, math.log(0.9), "l2") == pytest.approx(0.45)
     assert passes.shrink(-0.5, 0.2, "l1") == pytest.approx(-0.3)
     assert passes.shrink(0.1, 0.2, "l1") == 0.0
+
+
+def _pass_models(spark):
+    """Weights of the three sequential trainers on one data set."""
+    data = make(n=120)
+    df = examples(spark, data).withColumn("entity_id", F.concat(F.lit("e"), F.pmod(F.hash("row_id"), F.lit(3)).cast("string")))
+    start = df.select("entity_id", "feature").distinct().withColumn("w", F.lit(0.1))
+    return [
+        {r["feature"]: r["w"] for r in linear.fit_sgd_averaged(df, iterations=2, alpha=0.3, lam=0.05, shards=4).collect()},
+        {r["feature"]: (r["w"], *r["v"]) for r in fm.fit_sgd_averaged(df, n_factors=2, iterations=2, alpha=0.1, shards=4).collect()},
+        {(r["entity_id"], r["feature"]): r["w"] for r in linear.fit_sgd_by_key(df, start, alpha=0.3, lam=0.05).collect()},
+    ]
+
+
+def test_passes_do_not_depend_on_the_join(spark, monkeypatch):
+    want = _pass_models(spark)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    before = {k: spark.conf.get(k, None) for k in off}
+    monkeypatch.setattr("clickloom.operators.layout.broadcast_if_small", lambda df, n: df)
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        got = _pass_models(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for a, b in zip(got, want):
+        assert a.keys() == b.keys()
+        assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in b)
+
+
+def test_majorized_keeps_features_without_curvature_or_rows(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", 1.0), (2, -1.0, "a", 1.0), (1, 1.0, "zero", 0.0)], "row_id bigint, label double, feature string, value double")
+    start = spark.createDataFrame([("zero", 0.7), ("absent", 0.4)], "feature string, w double")
+    for reg, lam, absent in (("l2", 0.0, 0.4), ("l1", 0.1, 0.0), ("l2", 0.1, 0.0)):
+        got = {r["feature"]: r["w"] for r in linear.fit_majorized(df, start, iterations=3, lam=lam, reg=reg).collect()}
+        assert set(got) == {"a", "zero", "absent"} and got["absent"] == absent
+        assert got["zero"] == pytest.approx(0.0 if (reg, lam) == ("l2", 0.1) else 0.7)
+
+
+def vector_of(weights):
+    return {r["feature"]: r["w"] for r in weights.collect()}
+
+
+def test_lbfgs_uses_values_and_refuses_what_it_cannot_do(spark):
+    rows = [(i, 1.0 if i % 3 else -1.0, *(("ten", 10.0) if i % 4 else ("one", 1.0))) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, label double, feature string, value double")
+    a, b = (vector_of(m) for m in (linear.fit_lbfgs(df, lam=0.1, tol=1e-10), linear.fit_majorized(df, lam=0.1, iterations=60, tol=1e-9)))
+    assert a["ten"] == pytest.approx(b["ten"], abs=1e-4) and a["one"] == pytest.approx(b["one"], abs=1e-4)
+    with pytest.raises(ValueError):
+        linear.fit_lbfgs(df, max_features=0)
+    with pytest.raises(ValueError):
+        linear.fit_lbfgs(df.withColumn("offset", F.lit(1.0)))
+
+
+def test_deep_trees_are_planned_quickly(spark):
+    import time
+
+    levels = [{n: f"f{d}" for n in range(2**d, 2 ** (d + 1))} for d in range(6)]
+    tree = trees.Tree(levels, {n: float(n) for n in range(64, 128)})
+    df = spark.createDataFrame([(["f0", "f2", "f5"],), ([],)], "features array<string>")
+    begin = time.perf_counter()
+    got = [r["v"] for r in df.select(tree.value().alias("v")).collect()]
+    assert time.perf_counter() - begin < 15
+    node = 1
+    for d in range(6):
+        node = 2 * node if f"f{d}" in ("f0", "f2", "f5") else 2 * node + 1
+    assert got == [float(node), 127.0]
