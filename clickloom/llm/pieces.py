@@ -16,8 +16,8 @@ import numpy as np
 
 from clickloom.llm.cells import no_cycles, worker_state
 
-MEMO = 300_000
-SLICE = 12 << 20  # bytes of text at a time: more repeats per look at the memo
+MEMO = 200_000
+SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
 #: Marks that the pre-tokenizer always parts from letters before them (no apostrophe).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
