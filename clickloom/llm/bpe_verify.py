@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from clickloom.llm.cells import no_cycles, slices, worker_state
 
-MEMO = 150_000
+MEMO = 250_000
+SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
 _BIG = np.int64(1 << 40)
 _WIDE = 32  # words of more symbols are merged one by one
 #: The characters that count as white space (Unicode White_Space).
@@ -292,7 +293,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     def run(batches):
         made = encoder(sent.value)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 ids, shown = made.encode(part.column("_text").to_pylist())
                 size = pa.array([len(b) // 4 for b in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), size, pa.array(ids, pa.binary()), pa.array(shown, pa.string())], names=[*cols, "n_tokens", "ids", "decoded"])
