@@ -242,3 +242,65 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(key).alias("_key"))
     judged = _limited(with_rates(text_counts(rows, ["_row", "lang", "source", "_key"], "_text")), bounds, "_key")
     return judged.filter(verdict()).select("_row.*")
+
+
+def oracle(reach: int = REACH, min_group: int = MIN_GROUP) -> str:
+    """DuckDB SQL for :func:`judge` on the table ``documents``: the same counts, sketches, fences and verdicts."""
+    word = r"[^\x20\x09-\x0D]"
+    b, lowest = "CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END", "CASE WHEN b < 32 THEN b ELSE (b % 16 + 16) << (b // 16 - 1) END"
+    rates = ", ".join(f"'{r}'" for r in RATES)
+    spread = "CASE rate " + " ".join(f"WHEN '{r}' THEN {w}" for r, (w, _) in RATES.items()) + " END"
+    ok = " AND ".join(f"(r.rate <> '{r}' OR (v <= hi{' AND v >= lo' if side == 'both' else ''}))" for r, (_, side) in RATES.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT rid, regexp_extract_all(text, '{word}+') AS ws FROM d)),
+tri AS (
+  SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+rep AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w2, w3) AS c FROM tri WHERE w3 IS NOT NULL),
+cover AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE c > 1) GROUP BY rid),
+wc AS (SELECT rid, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY rid),
+ln AS (
+  SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
+    len(regexp_extract_all(text, '[!?]')) AS n_bangs FROM d),
+m AS (
+  SELECT d.rid, doc_id, lang, source, coalesce(wc.n, 0) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+    n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words,
+    len(ls) AS n_lines, n_upper, n_bangs
+  FROM d JOIN ln USING (rid) LEFT JOIN wc USING (rid) LEFT JOIN cover USING (rid)),
+f AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS k FROM m),
+r AS (
+  SELECT rid, lang, source, base_failed, unnest([{rates}]) AS rate,
+    unnest([1000 * n_symbols // k, 1000 * n_bangs // k, 1000 * n_upper // k, 1000 * n_dup_lines // greatest(n_lines, 1),
+      1000 * n_repeat_words // k, 100 * word_chars // k]) AS v FROM f),
+sk AS (SELECT *, {b} AS b FROM r WHERE NOT base_failed),
+lv AS (
+  SELECT 0 AS level, lang, source, rate, b, count(*) AS c FROM sk GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, rate, b, count(*) FROM sk GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, rate, b, count(*) FROM sk GROUP BY ALL),
+up AS (
+  SELECT *, sum(c) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS u,
+    sum(c) OVER (PARTITION BY level, lang, source, rate) AS n FROM lv),
+q AS (
+  SELECT level, lang, source, rate, max(n) AS n, min(CASE WHEN 4 * u >= n THEN {lowest} END) AS q1,
+    min(CASE WHEN 4 * u >= 3 * n THEN {lowest} END) AS q3 FROM up GROUP BY ALL),
+fence AS (
+  SELECT level, lang, source, rate, n, q1 - {reach} * greatest(q3 - q1, {spread}) AS lo, q3 + {reach} * greatest(q3 - q1, {spread}) AS hi FROM q),
+lim AS (
+  SELECT r.rid, r.rate, r.v,
+    CASE WHEN a.n >= {min_group} THEN a.lo WHEN t.n >= {min_group} THEN t.lo ELSE e.lo END AS lo,
+    CASE WHEN a.n >= {min_group} THEN a.hi WHEN t.n >= {min_group} THEN t.hi ELSE e.hi END AS hi
+  FROM r
+  LEFT JOIN fence a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source AND a.rate = r.rate
+  LEFT JOIN fence t ON t.level = 1 AND t.lang IS NOT DISTINCT FROM r.lang AND t.rate = r.rate
+  LEFT JOIN fence e ON e.level = 2 AND e.rate = r.rate),
+ver AS (SELECT rid, bool_and(coalesce({ok}, true)) AS good FROM lim r GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+FROM f JOIN ver USING (rid)
+"""

@@ -426,3 +426,27 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         return left.select("_row.*")
     once = left.join(alike, "_id", "left_anti").select("_row.*")
     return once.unionByName(left.join(alike, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*"))
+
+
+def oracle(percent: int = PERCENT, k: int = SHINGLE) -> str:
+    """DuckDB SQL for :func:`link` on the table ``documents`` with unique ids: an exact join over shared shingles."""
+    gram = " || ' ' || ".join(f"ws[i + {j}]" for j in range(k))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: {gram}) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * same >= {percent} * (a.n + b.n - same)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (
+  SELECT doc_id AS node, doc_id AS r FROM w UNION SELECT node, e.y FROM reach JOIN e ON e.x = reach.r)
+SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""

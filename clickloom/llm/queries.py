@@ -83,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_parity_join": parity_join.oracle(),
+    "op9_adaptive_rules": adaptive_rules.oracle(),
+}
