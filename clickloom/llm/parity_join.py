@@ -304,7 +304,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     _drop(table)
     pairs = groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     met = groups.select(F.col("hub").alias("node")).unionByName(groups.select("node")).distinct()
-    sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node")), "sets")
+    repeats = not narrow.groupBy("_key", *same).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
+    sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node"), repeats), "sets")
     compared = _stored(_compared(pairs, sets, percent), "compared")
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     linked = _stored(components(links), "components")
@@ -324,21 +325,27 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"))
 
 
-def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, n, set) of the wanted nodes, from a second look at the texts of their first rows."""
+def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """(node, n, set) of the wanted nodes, from a second look at the texts of their first rows.
+
+    A text comes with the nodes of its key; fingerprints tell which of them it is. ``repeats``: whether
+    a key and set can stand in several rows.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
                 grams, ptr = shingle_sets(Texts(part.column("_text")), k)
                 hi, lo = _prints(grams, ptr)
+                own = (hi == part.column("hi").to_numpy()) & (lo == part.column("lo").to_numpy())
                 cells = pa.Array.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer((8 * ptr).astype(np.int32).tobytes()), pa.py_buffer(grams.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(ptr)), pa.array(hi), pa.array(lo), cells], names=["n", "hi", "lo", "set"])
+                found = pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(ptr)), cells], names=["node", "n", "set"])
+                yield found.filter(pa.array(own))
 
-    keys = wanted.select(F.col("_of").alias("_k")).distinct()
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(keys, F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
-    found = texts.select("_text").mapInArrow(run, "n bigint, hi bigint, lo bigint, set binary")
-    return found.join(wanted.select("n", "hi", "lo", "node"), ["n", "hi", "lo"]).select("node", "n", "set").dropDuplicates(["node"])
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    named = texts.join(wanted.select("_of", "node", "hi", "lo"), F.col("_key").eqNullSafe(F.col("_of")))
+    found = named.select("_text", "node", "hi", "lo").mapInArrow(run, "node bigint, n bigint, set binary")
+    return found.dropDuplicates(["node"]) if repeats else found
 
 
 def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
