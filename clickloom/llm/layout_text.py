@@ -7,11 +7,12 @@ end tags of outer elements); invisible elements are dropped; what remains is ren
 * white space runs become one blank, but inside ``pre``; ``br`` ends a line; blocks start lines, and paragraphs,
   headings, lists, quotes, ``pre`` and tables also have one blank line around them;
 * items have ``- `` or their number, two blanks further in per level of nesting, and hanging continuation lines;
-* the cells of a column are padded to one width, two blanks apart; ``colspan`` skips columns; a cell with
-  several lines takes several lines of the row.
+* the cells of a column are padded to one width, two blanks apart; ``colspan`` skips columns, ``rowspan`` keeps its
+  columns free in the next rows of the row group; a cell with several lines takes several lines of the row.
 
 Invisible: ``head`` and other elements without display, the ``hidden`` attribute, ``display: none`` and
-``visibility: hidden`` styles, closed ``dialog``, comments. Whatever else is written is kept, navigation included.
+``visibility: hidden`` in the ``style`` attribute (the last declaration counts), closed ``dialog``, comments. The
+values of form controls (``textarea``, ``select``) are left out, too. Whatever else is written is kept, navigation included.
 
 Cases: null and empty pages give an empty text; broken markup (open comments, quotes, tags) never fails: an
 unfinished tag at the end is dropped. Nesting of any depth is handled without recursion. Repeated rows are
@@ -50,19 +51,44 @@ IMPLIED = {
     **{f"h{i}": (tuple(f"h{j}" for j in range(1, 7)), tuple(LINES)) for i in range(1, 7)},
 }
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
-_HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-_SPAN = re.compile(r"""colspan\s*=\s*["']?\s*(\d{1,3})""", re.I)
-_START = re.compile(r"""(?:^|\s)start\s*=\s*["']?\s*(-?\d{1,9})""", re.I)
-_OPEN = re.compile(r"(?:^|\s)open(?:[\s=/]|$)", re.I)
+_ATTR = re.compile(r"""([^ \t\n\r\f/][^ \t\n\r\f/=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f]*)))?""")
+_REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARED = re.compile(r"""(?:[^;"'(]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))++""")
+_NUMBER = re.compile(r"[ \t\n\r\f]*(-?\d{1,9})")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names, in lower case, and values of the attributes of a start tag; of equal names the first counts."""
+    found = {}
+    for name, double, single, bare in _ATTR.findall(raw):
+        value = double or single or bare
+        found.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+    return found
+
+
+def unshown(style: str) -> bool:
+    """Whether a style says ``display: none`` or ``visibility: hidden``; later declarations replace earlier ones."""
+    said = {}
+    for part in _DECLARED.findall(_REMARK.sub("", style)):
+        name, _, value = part.partition(":")
+        name, (value, mark, _) = name.strip().lower(), value.lower().partition("!")
+        if mark or not said.get(name, ("", ""))[1]:
+            said[name] = (value.strip(), mark)
+    return said.get("display", ("",))[0] == "none" or said.get("visibility", ("",))[0] == "hidden"
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "seen", "lines")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.lines = tag, attrs, [], None
-        self.seen = tag not in UNSEEN and not (attrs and _HIDDEN.search(attrs)) and not (tag == "dialog" and not _OPEN.search(attrs))
+        self.tag, self.attrs, self.kids, self.lines = tag, attributes(attrs) if attrs else {}, [], None
+        self.seen = tag not in UNSEEN and "hidden" not in self.attrs and not ("style" in self.attrs and unshown(self.attrs["style"])) and not (tag == "dialog" and "open" not in self.attrs)
+
+    def number(self, name: str, default: int) -> int:
+        """Value of an attribute that is a whole number."""
+        found = _NUMBER.match(self.attrs.get(name, ""))
+        return int(found[1]) if found else default
 
 
 def build(page: str) -> tuple[Node, list[Node]]:
@@ -223,8 +249,7 @@ def flow(node: Node) -> list[str]:
                 if tag in SPACED and not nested:
                     w.gap = True
             if tag in ("ul", "ol", "menu"):
-                begin = _START.search(item.attrs) if tag == "ol" else None
-                counters.append(int(begin[1]) if begin else 1 if tag == "ol" else None)
+                counters.append(item.number("start", 1) if tag == "ol" else None)
             elif tag == "li":
                 if counters and counters[-1] is not None:
                     w.prefix.append(f"{counters[-1]}. ")
@@ -258,37 +283,48 @@ def flow(node: Node) -> list[str]:
 
 def grid(table: Node) -> list[str]:
     """Lines of a table with aligned columns; nested tables have their lines already."""
-    rows, captions, todo = [], [], list(reversed(table.kids))
+    rows, captions, groups = [], [], 0
+    todo = [(k, 0) for k in reversed(table.kids)]  # with the number of their row group, 0 for the table itself
     while todo:
-        item = todo.pop()
+        item, group = todo.pop()
         if isinstance(item, str):
             if item.strip():
                 captions.append(Node("div"))
                 captions[-1].kids.append(item)
         elif item.seen:
             if item.tag in ("thead", "tbody", "tfoot", "form"):
-                todo.extend(reversed(item.kids))
+                if item.tag != "form":
+                    groups += 1
+                    group = groups
+                todo.extend((k, group) for k in reversed(item.kids))
             elif item.tag == "tr":
-                rows.append([k for k in item.kids if not isinstance(k, str) and k.seen and k.tag in ("td", "th")])
-                todo.extend(k for k in reversed(item.kids) if isinstance(k, str) or k.tag not in ("td", "th"))
+                rows.append((group, [k for k in item.kids if not isinstance(k, str) and k.seen and k.tag in ("td", "th")]))
+                todo.extend((k, group) for k in reversed(item.kids) if isinstance(k, str) or k.tag not in ("td", "th"))
             else:
                 captions.append(item)
     placed, widths = [], {}
-    for row in rows:
-        column, cells = 0, []
+    held, last = [], None  # first and next column and end row of the cells that reach into later rows
+    for at, (group, row) in enumerate(rows):
+        held = sorted(h for h in held if h[2] > at) if group == last else []
+        column, cells, k, last = 0, [], 0, group
         for cell in row:
+            while k < len(held) and held[k][0] <= column:
+                column = max(column, held[k][1])
+                k += 1
             lines = [x for x in flow(cell) if x.strip()]
-            span = _SPAN.search(cell.attrs)
-            span = max(1, int(span[1])) if span else 1
+            span = min(max(1, cell.number("colspan", 1)), 1000)
+            down = cell.number("rowspan", 1)
             cells.append((column, lines))
             if span == 1 and lines:
                 widths[column] = max(widths.get(column, 0), *map(_width, lines))
+            if down == 0 or down > 1:  # 0: to the end of the group
+                held.append((column, column + span, at + min(down, 65534) if down else len(rows)))
             column += span
         if any(c[1] for c in cells):
             placed.append(cells)
     out = [line for c in captions for line in flow(c)]
     offset, total = {}, 0
-    for column in range(max((c for row in placed for c, _ in row), default=-1) + 1):
+    for column in sorted({c for row in placed for c, _ in row} | widths.keys()):
         offset[column] = total
         total += widths[column] + 2 if column in widths else 0
     for cells in placed:

@@ -43,6 +43,39 @@ def test_render(page, text):
     assert render(page)[0] == text
 
 
+ATTRIBUTES = [
+    ('<a title="The hidden cost of X">a</a>', "a"),
+    ('<section aria-label="Hidden gems"><p>b</section>', "b"),
+    ('<div class="hidden md:block">c</div>', "c"),
+    ("<div data-state='hidden '>d</div>", "d"),
+    ("<p onclick=\"this.style='display:none'\" data-css='visibility: hidden'>e", "e"),
+    ("<p data-hidden=1 hidden-by=x>f", "f"),
+    ("a<i title='x'hidden>b</i><i HIDDEN=until-found>c</i><i a=b/c hidden/>d</i>e", "ae"),
+    ("a<i style='color:red; DISPLAY:none!important;display:block'>b</i><i style=display:none>c</i>d", "ad"),
+    ("a<i style='--x-display:none'>b</i><i style='display:none;display:block'>c</i><i style='/*display:none*/'>d</i>", "abcd"),
+    ("<i style='background:url(x;display:none)'>a</i><i style='content:\"; display:none\"'>b</i>", "ab"),
+    ("<dialog title='now open '>a</dialog><dialog open>b</dialog>", "b"),
+    ("<ol title='start=7'><li>a</ol>", "1. a"),
+    ("<table><tr><td title='colspan=2'>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b  c\n   d  e\nf  g  h"),
+    ("<table><tr><td>1<td>2<td>3<td>4<tr><td>a<td rowspan=2 colspan=2>b<td>cc<tr><td>d<td>e</table>", "1  2  3  4\na  b     cc\nd        e"),
+    ("<table><tr><td rowspan=2>a<tr><td rowspan=2>bb<tr><td>c<td>d</table>", "a\n   bb\nc      d"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><thead><tr><td rowspan=9>a<td>b</thead><tr><td>c<td>d</table>", "a  b\nc  d"),
+]
+
+
+@pytest.mark.parametrize("page,text", ATTRIBUTES)
+def test_attributes_count_by_name(page, text):
+    assert render(page)[0] == text
+
+
+def test_long_attributes_and_spans():
+    assert render("<p style='" + "(" * 300_000 + "'>a")[0] == "a"
+    assert render("<p " + "a=' " * 300_000 + "'>a")[0] == "a"
+    assert render("<table>" + "<tr><td rowspan=65534 colspan=1000>a" * 1000 + "</table>")[1] == 1000
+
+
 def test_depth_and_length():
     assert render("<div>" * 50_000 + "x")[0] == "x"
     assert render("<table><tr><td>" * 2000 + "x")[0] == "x"
