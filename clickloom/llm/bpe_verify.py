@@ -10,7 +10,8 @@ and y the first part of b, a merge (x, y) of rank r would have crossed the borde
 taken into its parent and not after y is taken into its own (of equal ranks the left place comes first).
 
 The vocabulary file (BPE with a word-end suffix, NFC, lower case, white space dropped) is read on the
-driver and broadcast; words already seen are kept per Python worker in a memo of bounded size.
+driver and broadcast; words already seen are kept per Python worker in memos that are bounded in bytes. Long words
+and long runs without white space are kept for one slice of texts only.
 
 Cases: null and empty texts have no ids and decode to an empty text. Special tokens that occur in a
 text are matched first, as in the file. Repeated rows are encoded alike. Keys may be null. Very long words are
@@ -29,9 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.cells import no_cycles, slices, worker_state
+from clickloom.llm.cells import no_cycles, settle, slices, worker_state
 
 MEMO = 250_000
+MEMO_BYTES = 96 << 20  # of one generation of runs, and of the words; keys and dict entries included
 SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
 _BIG = np.int64(1 << 40)
 _WIDE = 32  # words of more symbols are merged one by one
@@ -51,10 +53,10 @@ def byte_chars() -> list[str]:
 class Encoder:
     """Tables of one vocabulary file and the memo of words."""
 
-    def __init__(self, text: str, memo: int = MEMO):
+    def __init__(self, text: str, memo: int = MEMO, memo_bytes: int = MEMO_BYTES):
         spec = json.loads(text)
         model = spec["model"]
-        self.suffix, self.memo = model["end_of_word_suffix"] or "", memo
+        self.suffix, self.memo, self.memo_bytes = model["end_of_word_suffix"] or "", memo, memo_bytes
         self.ids = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.special.values()]) + 1
@@ -80,7 +82,9 @@ class Encoder:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known, self.shown, self.old_known, self.old_shown, self.word_ids = {}, {}, {}, {}, {}
+        self.known, self.shown, self.old_known, self.old_shown = {}, {}, {}, {}
+        self.word_ids, self.word_shown = {}, {}
+        self.counted = self.held = self.words_counted = self.words_held = 0  # entries of the memos, and their bytes
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if not len(self.pair_keys):
@@ -215,19 +219,21 @@ class Encoder:
         """Put the chunks (runs without white space) into the memo."""
         chunks = list(chunks)
         split = [self.words.findall(c) for c in chunks]
-        if len(self.word_ids) > self.memo:
-            self.word_ids = {}
-        known, table, texts = self.word_ids, self.chars, self.texts
+        known, seen, table, texts = self.word_ids, self.word_shown, self.chars, self.texts
         new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in known]
         shapes = [w if w.isascii() and w.isprintable() else "".join([table[b] for b in w.encode()]) for w in new]
         for w, ids in zip(new, self.encode_words(shapes)[0]):
-            known[w] = (pack(f"<{len(ids)}I", *ids), " ".join([texts[t] for t in ids]))
+            known[w], seen[w] = pack(f"<{len(ids)}I", *ids), " ".join([texts[t] for t in ids])
         for c, s in zip(chunks, split):
             if len(s) == 1:
-                self.known[c], self.shown[c] = known[s[0]]
+                self.known[c], self.shown[c] = known[s[0]], seen[s[0]]
             else:
-                self.known[c] = b"".join([known[w][0] for w in s])
-                self.shown[c] = " ".join([known[w][1] for w in s])
+                self.known[c] = b"".join([known[w] for w in s])
+                self.shown[c] = " ".join([seen[w] for w in s])
+        self.words_held += settle([known, seen], self.words_counted)
+        self.words_counted = len(known)
+        if self.words_counted > self.memo or self.words_held > self.memo_bytes:
+            self.word_ids, self.word_shown, self.words_counted, self.words_held = {}, {}, 0, 0
 
     def pieces(self, text: str) -> list:
         """Chunks of a text in order; a special token is an int."""
@@ -254,8 +260,7 @@ class Encoder:
         cut = [self.pieces(t) if t else [] for t in texts]
         fresh = {c for p in cut for c in p} - self.known.keys()
         if len(self.known) + len(fresh) > self.memo:
-            # the last generation stays readable; what is met again moves on
-            self.old_known, self.old_shown, self.known, self.shown = self.known, self.shown, {}, {}
+            self._turn()
             fresh = {c for p in cut for c in p}
         for c in fresh & self.old_known.keys():
             self.known[c], self.shown[c] = self.old_known[c], self.old_shown[c]
@@ -265,7 +270,18 @@ class Encoder:
             fresh.discard(s)
         self.learn(fresh)
         known, shown = self.known.__getitem__, self.shown.__getitem__
-        return [b"".join(map(known, p)) for p in cut], [" ".join(map(shown, p)) for p in cut]
+        out = [b"".join(map(known, p)) for p in cut], [" ".join(map(shown, p)) for p in cut]
+        self.held += settle([self.known, self.shown], self.counted)
+        self.counted = len(self.known)
+        if self.held > self.memo_bytes:
+            self._turn()
+        return out
+
+    def _turn(self) -> None:
+        """Begin a new generation; the last one stays readable unless it is too large, and what is met again moves on."""
+        small = self.held <= 2 * self.memo_bytes
+        self.old_known, self.old_shown = (self.known, self.shown) if small else ({}, {})
+        self.known, self.shown, self.counted, self.held = {}, {}, 0, 0
 
     def decode(self, ids) -> str:
         """Text of ids: tokens joined by blanks, as the file has no decoder."""

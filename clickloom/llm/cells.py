@@ -11,12 +11,15 @@ import gc
 import sys
 import types
 from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+LONG = 64  # characters; longer texts are not kept in memos
+_SLOT = 100  # bytes of an entry of a dict besides its key and value
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 #: Bytes of letter runs: A-Z, a-z, 0-9 and every byte of a non-ASCII character.
@@ -59,6 +62,19 @@ def no_cycles():
             gc.enable()
 
 
+def settle(memos: list[dict], counted: int) -> int:
+    """Drop long texts from what was put into memos of equal keys after their first ``counted`` entries; bytes of the rest."""
+    new = list(islice(memos[0], counted, None))
+    size, of = 0, sys.getsizeof
+    for key in new:
+        if isinstance(key, str) and len(key) > LONG:
+            for m in memos:
+                del m[key]
+        else:
+            size += of(key) + sum([_SLOT + of(m[key]) for m in memos])
+    return size
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """step^i and step^-i modulo 2^64 for i < n."""
     state = worker_state("powers")

@@ -1,33 +1,47 @@
-"""Encoding with a byte-level tokenizer file, with a bounded memo of blank-separated pieces.
+"""Encoding with a byte-level tokenizer file, with a memo of blank-separated pieces that is bounded in bytes.
 
 The file's pre-tokenizer never joins a blank to what stands before it, so a text in which every blank
 is followed by a visible character may be cut before each blank and the pieces encoded on their own.
 Other texts, and those with a special token, are encoded whole by the library. New pieces are cut further
 at single line breaks and between letters and marks, and their parts are encoded by the library in
-long texts, whose tokens are dealt back by their byte lengths.
+long texts, whose tokens are dealt back by their byte lengths. Long pieces are kept for one slice of texts only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-from clickloom.llm.cells import no_cycles, worker_state
+from clickloom.llm.cells import no_cycles, settle, worker_state
 
 MEMO = 200_000
+MEMO_BYTES = 48 << 20  # of one generation of one memo, keys and dict entries included
 SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
 #: Marks that the pre-tokenizer always parts from letters before them (no apostrophe).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def groups(texts: list[str], count: int = 20_000, size: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, some at a time: at most ``count`` with up to ``size`` characters, or one."""
+    at = room = 0
+    for i, t in enumerate(texts):
+        room += len(t)
+        if i > at and (i - at == count or room > size):
+            yield texts[at:i]
+            at, room = i, len(t)
+    if texts:
+        yield texts[at:]
+
+
 class PieceEncoder:
-    def __init__(self, text: str, memo: int = MEMO):
+    def __init__(self, text: str, memo: int = MEMO, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memo = Tokenizer.from_str(text), memo
+        self.library, self.memo, self.memo_bytes = Tokenizer.from_str(text), memo, memo_bytes
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
@@ -35,13 +49,12 @@ class PieceEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.unsafe, self.white = re.compile(r" (?:\s|$)"), re.compile(r"\s")
         self.memos, self.olds = {" ": {}, "": {}}, {" ": {}, "": {}}
+        self.counted, self.held = {" ": 0, "": 0}, {" ": 0, "": 0}  # entries of the memos, and their bytes
         self.sizes = self.lengths()
         self.line_break = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for some in groups(texts) for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
 
     def _joined(self, words: list[str], lead: str) -> list[bytes]:
         """Ids of words without white space, encoded as one text; ``lead`` (blank or line break) stands before each.
@@ -49,8 +62,7 @@ class PieceEncoder:
         A blank belongs to its word; a line break is a token of its own, which is left out.
         """
         out = []
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for some in groups(words):
             ids = np.array(self.library.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, self.kind)
             begins = np.concatenate([[0], np.cumsum([len(w.encode()) + 1 for w in some])])
             places = np.searchsorted(np.concatenate([[0], np.cumsum(self.sizes[ids])]), begins)
@@ -134,15 +146,25 @@ class PieceEncoder:
         heads.discard("")
         for lead, met in ((" ", pieces), ("", heads)):
             if len(self.memos[lead]) + len(met) > self.memo:
-                # the last generation stays readable; what is met again moves on
-                self.olds[lead], self.memos[lead] = self.memos[lead], {}
+                self._turn(lead)
+        for lead, met in ((" ", pieces), ("", heads)):
             self._learn(met, lead)
         find, first = self.memos[" "].__getitem__, self.memos[""]
         first[""] = b""
         for i, p in cut:
             out[i] = first[p[0]] + b"".join(map(find, p[1:]))
+        for lead, memo in self.memos.items():
+            self.held[lead] += settle([memo], self.counted[lead])
+            self.counted[lead] = len(memo)
+            if self.held[lead] > self.memo_bytes:
+                self._turn(lead)
         return out
 
+    def _turn(self, lead: str) -> None:
+        """Begin a new generation; the last one stays readable unless it is too large, and what is met again moves on."""
+        self.olds[lead] = self.memos[lead] if self.held[lead] <= 2 * self.memo_bytes else {}
+        self.memos[lead], self.counted[lead], self.held[lead] = {}, 0, 0
+
     def lengths(self) -> np.ndarray:
         """UTF-8 bytes that each id stands for."""
         sizes = np.zeros(self.size, np.int64)

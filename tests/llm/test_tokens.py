@@ -1,6 +1,7 @@
 """Encoders, id files and section counts against the tokenizers library."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -84,6 +85,42 @@ def test_long_and_missing_texts(words, pieces):
     assert np.frombuffer(pieces.encode([long])[0], "<u2").tolist() == BYTE_LIB.encode(long, add_special_tokens=False).ids
 
 
+def memo_size(*memos):
+    return sum(sys.getsizeof(k) + (sys.getsizeof(v) if isinstance(v, (bytes, str)) else sum(map(sys.getsizeof, v))) for m in memos for k, v in m.items())
+
+
+def unspaced(n, size, seed=0):
+    """Long documents without white space: one sentence of distinct characters or one base64-like run each."""
+    rnd = random.Random(seed)
+    han, base = [chr(c) for c in range(0x4E00, 0x9000)], "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    return ["".join(rnd.choices(base if i % 2 else han, k=size)) for i in range(n)]
+
+
+def test_memos_are_bounded_in_bytes_on_unspaced_texts():
+    with open(WORD, encoding="utf-8") as f, open(BYTE, encoding="utf-8") as g:
+        words, pieces = bpe_verify.Encoder(f.read()), PieceEncoder(g.read())
+    for seed in range(4):
+        docs = unspaced(100, 1000, seed)
+        assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(docs)[0]] == [e.ids for e in WORD_LIB.encode_batch(docs, add_special_tokens=False)]
+        assert [np.frombuffer(b, pieces.kind).tolist() for b in pieces.encode(docs)] == [e.ids for e in BYTE_LIB.encode_batch(docs, add_special_tokens=False)]
+    assert memo_size(pieces.memos[" "], pieces.memos[""], pieces.olds[" "], pieces.olds[""]) < 100_000
+    assert memo_size(words.known, words.shown, words.old_known, words.old_shown) < 100_000
+    assert max(map(len, [*words.word_ids, *words.known, *pieces.memos[""]]), default=0) <= 64
+
+
+def test_generations_turn_by_bytes():
+    budget = 100_000
+    with open(WORD, encoding="utf-8") as f, open(BYTE, encoding="utf-8") as g:
+        words, pieces = bpe_verify.Encoder(f.read(), memo_bytes=budget), PieceEncoder(g.read(), memo_bytes=budget)
+    for seed in range(8):
+        docs = [" ".join(unspaced(50, 20, 10 * seed + i)) for i in range(8)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(docs)[0]] == [e.ids for e in WORD_LIB.encode_batch(docs, add_special_tokens=False)]
+        assert [np.frombuffer(b, pieces.kind).tolist() for b in pieces.encode(docs)] == [e.ids for e in BYTE_LIB.encode_batch(docs, add_special_tokens=False)]
+        assert memo_size(pieces.memos[" "], pieces.memos[""]) <= 2 * budget
+        assert memo_size(words.known, words.shown) <= budget and memo_size(words.word_ids) <= budget
+        assert memo_size(words.old_known, words.old_shown) <= 2 * budget
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 1 << 34), max_size=200))
 def test_elias_fano(values):
