@@ -9,6 +9,8 @@ from clickloom.operators.features import USER_FEATURES, name_value
 from clickloom.operators.mixed import FIXED
 
 REQUEST = ["user_id", "list_session_id", "timestamp"]
+#: What tells requests apart: one user, session and time can have several lists. The digest keeps long lists out of shuffles.
+DISTINCT = [*REQUEST, "list_key"]
 
 
 def user_features(users: DataFrame) -> DataFrame:
@@ -16,10 +18,14 @@ def user_features(users: DataFrame) -> DataFrame:
     return name_value(users, ["user_id"], {n: F.col(c) for n, c in USER_FEATURES.items()})
 
 
+def keyed(requests: DataFrame) -> DataFrame:
+    return requests.select(*REQUEST, F.sha2("feat_list", 256).alias("list_key"), "feat_list")
+
+
 def candidate_scores(requests: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(request..., pos, candidate, probability)``; one row per distinct candidate of a list.
+    """``(request..., list_key, pos, candidate, probability)``; one row per distinct candidate of a list.
 
-    Users without a profile have no rows. The fixed part is summed once per user; a candidate
+    A request that is repeated with the same list is scored once; its fields may be null. Users without a profile have no rows. The fixed part is summed once per user; a candidate
     without a model of its own gets the fixed part only.
     """
     fixed = weights.filter(F.col("model_key") == FIXED).select("feature", F.col("w").alias("wf"))
@@ -29,8 +35,8 @@ def candidate_scores(requests: DataFrame, features: DataFrame, weights: DataFram
         .agg(F.sum(F.coalesce("wf", F.lit(0.0))).alias("fixed"), F.collect_set("feature").alias("features"))
     )
     candidates = F.array_distinct(F.split("feat_list", ","))
-    listed = requests.join(per_user, "user_id").select(
-        *REQUEST, "fixed", "features", F.posexplode(candidates).alias("pos", "candidate")
+    listed = keyed(requests).dropDuplicates(DISTINCT).join(per_user, "user_id").select(
+        *DISTINCT, "fixed", "features", F.posexplode(candidates).alias("pos", "candidate")
     )
     own = weights.filter(F.col("model_key") != FIXED).select(
         F.col("model_key").alias("candidate"), "feature", F.col("w").alias("wr")
@@ -38,22 +44,23 @@ def candidate_scores(requests: DataFrame, features: DataFrame, weights: DataFram
     cells = listed.withColumn("feature", F.explode("features")).drop("features")
     scored = cells.join(own, ["candidate", "feature"], "left")
     total = F.first("fixed") + F.sum(F.coalesce("wr", F.lit(0.0)))
-    return scored.groupBy(*REQUEST, "pos", "candidate").agg(sigmoid(total).alias("probability"))
+    return scored.groupBy(*DISTINCT, "pos", "candidate").agg(sigmoid(total).alias("probability"))
 
 
 def rank_candidates(requests: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(request..., ranked_list, ranked)``: probability descending, then list position.
+    """``(request..., ranked_list, ranked)``: probability descending, then list position; one row per row of ``requests``.
 
     Without a fixed model, or for a user without a profile, the list comes back unchanged.
     """
     best = F.sort_array(F.collect_list(F.struct((-F.round("probability", 9)).alias("p"), "pos", "candidate")))
     lists = (
         candidate_scores(requests, features, weights)
-        .groupBy(*REQUEST)
+        .groupBy(*[F.col(c).alias(f"_{c}") for c in DISTINCT])
         .agg(F.concat_ws(",", F.transform(best, lambda c: c["candidate"])).alias("by_score"))
     )
     has_model = weights.filter(F.col("model_key") == FIXED).limit(1).agg(F.count("*") > 0).scalar()
-    joined = requests.select(*REQUEST, "feat_list").join(lists, REQUEST, "left")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DISTINCT]
+    joined = keyed(requests).join(lists, same, "left")
     joined = joined.withColumn("ranked", has_model & F.col("by_score").isNotNull())
     return joined.select(
         *REQUEST, F.when(F.col("ranked"), F.col("by_score")).otherwise(F.col("feat_list")).alias("ranked_list"), "ranked"

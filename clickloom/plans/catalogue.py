@@ -656,6 +656,13 @@ def rank_candidates(spark, sf_dir):
     return rank.rank_candidates(tables.requests(spark, sf_dir), users, published_model(spark, sf_dir))
 
 
+@query
+def rank_repeated_requests(spark, sf_dir):
+    users = rank.user_features(tables.user_info(spark, sf_dir))
+    ranked = rank.rank_candidates(tables.repeated_requests(spark, sf_dir), users, published_model(spark, sf_dir))
+    return ranked.withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
 @query
 def candidate_scores(spark, sf_dir):
     users = rank.user_features(tables.user_info(spark, sf_dir))

@@ -372,6 +372,17 @@ own AS (SELECT o.user_id, o.list_session_id, o.timestamp, o.feat_id_list, o.pos,
   FROM numbered o JOIN uf USING (user_id) LEFT JOIN lm ON lm.model_key = o.candidate AND lm.feature = uf.feature GROUP BY ALL),
 pb AS (SELECT own.*, 1 / (1 + exp(-(fixed + rnd))) AS p FROM own JOIN fx USING (user_id))"""
 ORACLES["candidate_scores"] = f"""WITH {RANK} SELECT list_session_id, CAST(pos AS BIGINT) AS pos, candidate, {r('p')} AS probability FROM pb"""
+REPEATED = RANK.replace("rq AS (SELECT *, string_split(feat_id_list, ',') AS ids FROM imp),", """asked AS (SELECT user_id, list_session_id, timestamp, feat_id_list FROM imp
+  UNION ALL SELECT user_id, list_session_id, timestamp, feat_id_list FROM imp
+  UNION ALL SELECT user_id, list_session_id, timestamp, array_to_string(list_reverse(string_split(feat_id_list, ',')), ',') FROM imp
+  UNION ALL SELECT user_id, NULL, NULL, feat_id_list FROM imp),
+rq AS (SELECT *, string_split(feat_id_list, ',') AS ids FROM (SELECT DISTINCT * FROM asked)),""")
+REPEATED = REPEATED.replace("PARTITION BY user_id, list_session_id, timestamp ORDER BY i", "PARTITION BY user_id, list_session_id, timestamp, feat_id_list ORDER BY i")
+ORACLES["rank_repeated_requests"] = f"""WITH {REPEATED}, best AS (SELECT user_id, list_session_id, timestamp, feat_id_list,
+  string_agg(candidate, ',' ORDER BY round(p, 9) DESC, pos) AS ranked_list FROM pb GROUP BY ALL)
+SELECT a.user_id, a.list_session_id, CAST(a.timestamp AS VARCHAR) AS timestamp, coalesce(ranked_list, a.feat_id_list) AS ranked_list, ranked_list IS NOT NULL AS ranked
+FROM asked a LEFT JOIN best b ON a.user_id = b.user_id AND a.feat_id_list = b.feat_id_list
+  AND a.list_session_id IS NOT DISTINCT FROM b.list_session_id AND a.timestamp IS NOT DISTINCT FROM b.timestamp"""
 ORACLES["rank_candidates"] = f"""WITH {RANK} SELECT user_id, list_session_id, timestamp,
   string_agg(candidate, ',' ORDER BY round(p, 9) DESC, pos) AS ranked_list, true AS ranked FROM pb GROUP BY user_id, list_session_id, timestamp"""
 

@@ -194,6 +194,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impressions(spark, sf_dir).withColumnRenamed("feat_id_list", "feat_list")
 
 
+def repeated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request twice, with its list turned round under the same key, and without session and time."""
+    rows = requests(spark, sf_dir).select("user_id", "list_session_id", "timestamp", "feat_list")
+    turned = F.concat_ws(",", F.reverse(F.split("feat_list", ",")))
+    nulls = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("list_session_id", "timestamp")}
+    return rows.union(rows).union(rows.withColumn("feat_list", turned)).union(rows.withColumns(nulls))
+
+
 def request_rows(views: DataFrame) -> DataFrame:
     """One ranking request per view event (with ``parts``); works on a stream, too."""
     rows = with_session(views)

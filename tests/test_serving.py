@@ -35,6 +35,18 @@ def test_without_a_fixed_model_lists_stay(spark):
     assert ranked(spark, [("u", "a,b")], [("b", "age_1", 1.0)]) == [("a,b", False)]
 
 
+def test_requests_of_one_key_stay_apart(spark, rows):
+    weights = [("", "age_1", 0.0), ("1", "age_1", 1.0), ("2", "age_1", 2.0), ("3", "age_1", 3.0)]
+    lists = [("u", "s", 1, "1,2"), ("u", "s", 1, "2,3"), ("u", "s", 1, "1,2"), ("u", None, 1, "1,3"), ("u", "s", None, "1,3"), ("u", "s", 1, None), (None, "s", 1, "1,2")]
+    requests, model = spark.createDataFrame(lists, REQUEST), spark.createDataFrame(weights, WEIGHTS)
+    got = rows(rank.rank_candidates(requests, users(spark), model), "user_id", "list_session_id", "timestamp", "ranked_list", "ranked")
+    want = [("u", "s", 1, "2,1", True), ("u", "s", 1, "3,2", True), ("u", "s", 1, "2,1", True), ("u", None, 1, "3,1", True), ("u", "s", None, "3,1", True), ("u", "s", 1, None, False), (None, "s", 1, "1,2", False)]
+    assert got == sorted(want, key=str)
+    scored = rank.candidate_scores(requests, users(spark), model).filter("timestamp = 1 AND list_session_id = 's'")
+    sigmoid = lambda x: pytest.approx(1 / (1 + 2.718281828459045**-x))
+    assert rows(scored, "candidate", "probability") == [("1", sigmoid(1)), ("2", sigmoid(2)), ("2", sigmoid(2)), ("3", sigmoid(3))]
+
+
 def test_pagerank_fixture(spark):
     links = {"0": "123", "1": "24", "2": "35", "3": "28", "4": "356", "5": "0", "6": "23", "7": "8", "8": "32", "9": "3467"}
     edges = spark.createDataFrame([(s, d) for s, ds in links.items() for d in ds], "src string, dst string")
