@@ -17,6 +17,7 @@ from clickloom.llm import (
     parity_join,
     pu_quality,
     section_tokens,
+    spectrum_whitening,
     string_tiling,
 )
 from clickloom.session import scratch_path
@@ -71,6 +72,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_elias_fano_ids": op2_elias_fano_ids,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_toxicity": op8_crf_toxicity,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
+    "op13_spectrum_whitening": op13_spectrum_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_parity_join": parity_join.oracle(),
