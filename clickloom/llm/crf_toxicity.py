@@ -361,7 +361,7 @@ def tag(docs: DataFrame, model: Field | None, key: str = "doc_id", text: str = "
                 new = np.ones(len(hit), bool)
                 new[1:] = (hit[1:] != hit[:-1] + 1) | (doc[1:] != doc[:-1])
                 head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(hit)) - 1
+                tail = np.append(head[1:], len(hit))[: len(head)] - 1  # none where nothing is toxic
                 base = t.offs[doc[head]]
                 cells = pa.StructArray.from_arrays(
                     [pa.array(start[hit[head]] - base), pa.array(end[hit[tail]] - base), pa.array(np.maximum.reduceat(p[hit], head) if len(head) else np.zeros(0))], fields=list(spans.value_type)
