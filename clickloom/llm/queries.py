@@ -19,6 +19,7 @@ from clickloom.llm import (
     section_tokens,
     spectrum_whitening,
     string_tiling,
+    turn_repair,
 )
 from clickloom.session import scratch_path
 
@@ -72,6 +73,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum_whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_toxicity": op8_crf_toxicity,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
+    "op11_turn_repair": op11_turn_repair,
     "op13_spectrum_whitening": op13_spectrum_whitening,
 }
 ORACLES: dict[str, str] = {
