@@ -11,6 +11,7 @@ from clickloom.llm import (
     adaptive_rules,
     bpe_verify,
     byte_shards,
+    context_tree,
     crf_toxicity,
     elias_fano,
     layout_text,
@@ -77,6 +78,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum_whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_string_tiling": op10_string_tiling,
     "op11_turn_repair": op11_turn_repair,
+    "op12_context_tree": op12_context_tree,
     "op13_spectrum_whitening": op13_spectrum_whitening,
 }
 ORACLES: dict[str, str] = {
