@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid, soft_threshold
 from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
-from clickloom.operators.features import feature_index
 from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
+from clickloom.operators.lbfgs import fit_lbfgs
 from clickloom.session import BROADCAST_ROWS, cut_lineage
 
 REGULARIZERS = ("l1", "l2")
@@ -273,64 +273,6 @@ def fit_sgd_by_key(
     return base.unionByName(moved).groupBy("entity_id", "feature").agg(F.sum("part").alias("w"))
 
 
-def token_vectors(examples: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """One sparse vector per row with the values of its features; ``index(feature, idx)`` gives the places.
-
-    Rows whose values are all 0 stay, as empty vectors. A feature listed twice in a row counts by its sum.
-    """
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    keys = [c for c in ("row_id", "label") if c in examples.columns]
-    cells = examples.join(index, "feature").groupBy(*keys, "idx").agg(F.sum("value").alias("value"))
-    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("c"))
-    sparse = F.udf(lambda at, x: Vectors.sparse(size, at, x), VectorUDT())
-    return packed.select(*keys, sparse("c.idx", "c.value").alias("features"))
-
-
-def fit_lbfgs(
-    examples: DataFrame,
-    iterations: int = 100,
-    lam: float = 0.0,
-    reg: str = "l2",
-    tol: float = 1e-6,
-    max_features: int = 1_000_000,
-    loss: str = "exp",
-) -> DataFrame:
-    """L-BFGS (L2) or OWL-QN (L1) through MLlib; the mean log-loss is the same for both label conventions.
-
-    MLlib gives a feature that has the same value in every row the weight 0. The coefficients live
-    on the driver: more than ``max_features`` features are an error, as are
-    offsets. :func:`fit_majorized` has the same objective without either limit.
-    """
-    from pyspark.ml.classification import LogisticRegression
-
-    _check_reg(reg)
-    if loss not in ("exp", "log"):
-        raise ValueError(f"loss must be 'exp' or 'log', got {loss!r}")
-    if "offset" in examples.columns and not examples.filter("offset <> 0").isEmpty():
-        raise ValueError("lbfgs takes no offsets; use method 'majorized'")
-    spark = examples.sparkSession
-    index = feature_index(examples)
-    size = index.count()
-    if size > max_features:
-        raise ValueError(f"{size} features are more than max_features={max_features}; use method 'majorized'")
-    names = [r["feature"] for r in index.orderBy("idx").collect()]
-    vectors = token_vectors(examples, index, size).withColumn("label", F.when(F.col("label") > 0, 1.0).otherwise(0.0)).persist()
-    try:
-        model = LogisticRegression(
-            regParam=lam,
-            elasticNetParam=1.0 if reg == "l1" else 0.0,
-            fitIntercept=False,
-            standardization=False,
-            maxIter=iterations,
-            tol=tol,
-        ).fit(vectors)
-    finally:
-        vectors.unpersist()
-    weights = [float(v) for v in model.coefficients.toArray()]
-    return spark.createDataFrame(list(zip(names, weights)), "feature string, w double")
-
-
 def fit_linear(examples: DataFrame, method: str = "lbfgs", **options) -> DataFrame:
     """Train by ``sgd`` (averaged), ``lbfgs``, ``gradient`` or ``majorized``."""
     methods = {"sgd": fit_sgd_averaged, "lbfgs": fit_lbfgs, "gradient": fit_gradient, "majorized": fit_majorized}

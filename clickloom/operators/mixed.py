@@ -124,11 +124,12 @@ def fit_mixed(
     shards: int = passes.SHARDS,
     validate: DataFrame | None = None,
     history: list | None = None,
+    tol: float = 1e-6,
 ) -> DataFrame:
     """Block coordinate descent: fixed effect, then all random effects, ``iterations`` times.
 
-    ``method`` per block: ``sgd`` (sequential passes, averaged) or ``majorized`` (``inner`` exact
-    majorisation steps, the convex objective L-BFGS would minimise). ``history`` receives one metrics
+    ``method`` per block: ``sgd`` (sequential passes, averaged), ``majorized`` (``inner`` exact
+    majorisation steps) or ``lbfgs`` (up to ``inner`` quasi-Newton steps on the same objective, down to ``tol``). ``history`` receives one metrics
     row per iteration on ``validate``.
     """
     rows_of = cut_lineage(entity_rows(examples))
@@ -139,11 +140,15 @@ def fit_mixed(
             data = _with_offset(arranged, random, ["entity_id", "feature"])
             if method[0] == "sgd":
                 fixed = linear.fit_sgd_averaged(data, fixed, 1, alpha[0], lam[0], reg[0], loss, shards)
+            elif method[0] == "lbfgs":
+                fixed = linear.fit_lbfgs(data, fixed, inner, lam[0], reg[0], tol, loss, placed=True)
             else:
                 fixed = linear.fit_majorized(data, fixed, inner, lam[0], reg[0], loss, placed=True)
             data = _with_offset(arranged, fixed, ["feature"])
             if method[1] == "sgd":
                 random = linear.fit_sgd_by_key(data, random, alpha[1], lam[1], reg[1], loss)
+            elif method[1] == "lbfgs":
+                random = linear.fit_lbfgs(data, random, inner, lam[1], reg[1], tol, loss, ("entity_id", "feature"), rows_of, placed=True)
             else:
                 random = linear.fit_majorized(
                     data, random, inner, lam[1], reg[1], loss, ("entity_id", "feature"), rows_of, placed=True

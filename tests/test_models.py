@@ -422,15 +422,75 @@ def vector_of(weights):
     return {r["feature"]: r["w"] for r in weights.collect()}
 
 
-def test_lbfgs_uses_values_and_refuses_what_it_cannot_do(spark):
+def test_lbfgs_uses_values(spark):
     rows = [(i, 1.0 if i % 3 else -1.0, *(("ten", 10.0) if i % 4 else ("one", 1.0))) for i in range(60)]
     df = spark.createDataFrame(rows, "row_id bigint, label double, feature string, value double")
     a, b = (vector_of(m) for m in (linear.fit_lbfgs(df, lam=0.1, tol=1e-10), linear.fit_majorized(df, lam=0.1, iterations=60, tol=1e-9)))
     assert a["ten"] == pytest.approx(b["ten"], abs=1e-4) and a["one"] == pytest.approx(b["one"], abs=1e-4)
-    with pytest.raises(ValueError):
-        linear.fit_lbfgs(df, max_features=0)
-    with pytest.raises(ValueError):
-        linear.fit_lbfgs(df.withColumn("offset", F.lit(1.0)))
+
+
+def slope(w, x, y, offset, lam):
+    """Gradient of the mean loss with L2 penalty."""
+    return -(x * (y / (1 + np.exp(y * (x @ w + offset))))[:, None]).mean(axis=0) + lam * w
+
+
+@pytest.mark.parametrize("reg,loss", [("l2", "log"), ("l1", "exp")])
+def test_lbfgs_with_offsets_is_optimal(spark, reg, loss):
+    data = make(n=150)
+    x, y = dense(data)
+    offset = np.sin(np.arange(150))
+    df = examples(spark, data).withColumn("offset", F.sin(F.col("row_id").cast("double")))
+    if loss == "log":
+        df = df.withColumn("label", (F.col("label") + 1) / 2)
+    assert [r["row_id"] for r in df.select("row_id").distinct().orderBy("row_id").collect()] == list(range(150))
+    history = []
+    w = vector(linear.fit_lbfgs(df, lam=0.03, reg=reg, tol=1e-8, loss=loss, history=history))
+    g = slope(w, x, y, offset, 0.03 if reg == "l2" else 0.0)
+    if reg == "l2":
+        assert np.abs(g).max() < 1e-7
+    else:  # zero coefficients have slopes within the penalty, the others meet it
+        assert (np.abs(g[w == 0]) <= 0.03 + 1e-7).all() and np.allclose(g[w != 0], -0.03 * np.sign(w[w != 0]), atol=1e-7)
+    values = [v for _, v in history]
+    assert values == sorted(values, reverse=True) and len(values) < 40
+
+
+def test_lbfgs_products_equal_dense_two_loops():
+    from clickloom.operators.lbfgs import Products
+
+    rnd = np.random.default_rng(4)
+    products, s, y = Products(3), [], []
+    for _ in range(6):
+        ds, g = rnd.normal(size=7), rnd.normal(size=7)
+        dy = ds * rnd.uniform(0.5, 2, 7)
+        basis = [*s, *y]
+        products.push([ds @ b for b in basis], [dy @ b for b in basis], ds @ ds, ds @ dy, dy @ dy, [g @ b for b in basis], g @ ds, g @ dy, g @ g)
+        s, y = [*s, ds][-3:], [*y, dy][-3:]
+        q = -g
+        alphas = []
+        for a, b in zip(s[::-1], y[::-1]):
+            alphas.append((a @ q) / (a @ b))
+            q = q - alphas[-1] * b
+        q = q * (s[-1] @ y[-1]) / (y[-1] @ y[-1])
+        for a, b, alpha in zip(s, y, alphas[::-1]):
+            q = q + (alpha - (b @ q) / (a @ b)) * a
+        assert np.allclose(products.direction() @ np.array([*s, *y, g]), q)
+
+
+def test_lbfgs_per_entity_and_warm_start(spark):
+    data = make(n=90)
+    df = examples(spark, data)
+    rows = mixed.entity_rows(df)
+    both = linear.fit_lbfgs(df, lam=0.2, keys=("entity_id", "feature"), normalizer=rows, tol=1e-8, broadcast_rows=1)
+    got = {(r["entity_id"], r["feature"]): r["w"] for r in both.collect()}
+    for e in range(3):
+        part = [d for d in data if d[2] == f"e{e}"]
+        x, y = dense(part)
+        w = np.array([got.get((f"e{e}", f), 0.0) for f in FEATURES])
+        assert np.abs(slope(w, x, y, 0.0, 0.2)).max() < 1e-6
+    start = both.filter("entity_id = 'e0'").unionByName(spark.createDataFrame([("e9", "a", 2.0)], "entity_id string, feature string, w double"))
+    again = linear.fit_lbfgs(df, start, lam=0.2, keys=("entity_id", "feature"), normalizer=rows, tol=1e-8)
+    warm = {(r["entity_id"], r["feature"]): r["w"] for r in again.collect()}
+    assert warm.pop(("e9", "a")) == 0.0 and warm == pytest.approx(got, abs=1e-5)
 
 
 def test_deep_trees_are_planned_quickly(spark):
