@@ -374,7 +374,20 @@ def lr_sgd_avg(spark, sf_dir):
 
 @query
 def lr_lbfgs(spark, sf_dir):
-    return linear.fit_lbfgs(tables.event_examples(spark, sf_dir), lam=0.01)
+    out = linear.fit_lbfgs(tables.event_examples(spark, sf_dir), lam=0.01, tol=1e-8)
+    return out.select("feature", tidy(F.col("w"), 3).alias("w"))
+
+
+@query
+def lr_lbfgs_values(spark, sf_dir):
+    out = linear.fit_lbfgs(tables.valued_examples(spark, sf_dir), lam=0.01, loss="log", tol=1e-8)
+    return out.select("feature", tidy(F.col("w"), 3).alias("w"))
+
+
+@query
+def lr_owlqn_values(spark, sf_dir):
+    out = linear.fit_lbfgs(tables.valued_examples(spark, sf_dir), lam=0.002, reg="l1", loss="log", tol=1e-8)
+    return out.select("feature", tidy(F.col("w"), 3).alias("w"))
 
 
 # factorization machines
@@ -550,6 +563,13 @@ def mixed_fit_sgd(spark, sf_dir):
     return model.select("model_key", "feature", tidy(F.col("w")).alias("w"))
 
 
+@query
+def mixed_fit_lbfgs(spark, sf_dir):
+    examples = tables.event_examples(spark, sf_dir)
+    model = mixed.fit_mixed(examples, iterations=2, method=("lbfgs", "lbfgs"), lam=(0.1, 1.0), inner=50)
+    return model.select("model_key", "feature", tidy(F.col("w"), 3).alias("w"))
+
+
 # trees
 
 

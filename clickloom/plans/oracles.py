@@ -241,6 +241,39 @@ w1 AS (SELECT feature, (d * w - g / {N}) / (d + 0.01) AS w FROM w0 JOIN d USING
 {next_scores('w1', 's1')}, {next_grads('s1', 'g1')}
 SELECT feature, {r(f'(d * w - g / {N}) / (d + 0.01)')} AS w FROM w1 JOIN d USING (feature) JOIN g1 USING (feature)"""
 
+#: Rows of equal features, values, offset and label (-1/+1) as one row with its number, over numbered features.
+VALUED = BASE + f""", vx AS (
+  SELECT event_id AS row_id, CASE WHEN value > 35 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label,
+    (event_id % 5 - 2) * CAST(0.1 AS DOUBLE) AS o, ['hour_' || CAST(hour(ts) AS VARCHAR), 'number'] AS f, [CAST(1 AS DOUBLE), {K} / CAST(100 AS DOUBLE)] AS v
+  FROM events)"""
+PLAIN = BASE + """, vx AS (SELECT row_id, label, CAST(0 AS DOUBLE) AS o, [f1, f2, f3] AS f, [CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE)] AS v FROM base)"""
+
+
+def minimised(source: str, lam: float, reg: str, rounds: int) -> str:
+    """The minimum of mean loss and penalty by so many majorisation steps, each of them exact for a separable bound."""
+    new = f"(d * w - g) / (d + {lam})" if reg == "l2" else soft("(w - g / d)", f"{lam} / d")
+    return f"""WITH RECURSIVE {source},
+names AS MATERIALIZED (SELECT f, row_number() OVER (ORDER BY f) AS i FROM (SELECT DISTINCT unnest(f) AS f FROM vx)),
+cells AS (SELECT row_id, label, o, i, v FROM (SELECT row_id, label, o, unnest(f) AS f, unnest(v) AS v FROM vx) JOIN names USING (f)),
+packed AS (SELECT label, o, list(i ORDER BY i) AS i, list(v ORDER BY i) AS v FROM cells GROUP BY row_id, label, o),
+pat AS MATERIALIZED (SELECT label, o, i, v, count(*) AS c FROM packed GROUP BY ALL),
+total AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM vx),
+curve AS MATERIALIZED (SELECT i, sum(c * x * s) / (4 * any_value(n)) AS d FROM (SELECT unnest(i) AS i, unnest(v) AS x, list_sum(v) AS s, c FROM pat), total GROUP BY i),
+it AS (
+  SELECT 0 AS t, (SELECT list(CAST(0 AS DOUBLE) ORDER BY i) FROM names) AS ws
+  UNION ALL
+  SELECT t + 1, list({new} ORDER BY i) FROM (
+    SELECT t, i, any_value(w) AS w, sum(m * x) / any_value(n) AS g, any_value(d) AS d FROM (
+      SELECT t, i, ws[i] AS w, x, m FROM (
+        SELECT t, ws, unnest(i) AS i, unnest(v) AS x, -label / (1 + exp(label * (list_inner_product(list_select(ws, i), v) + o))) * c AS m FROM it, pat WHERE t < {rounds}))
+    JOIN curve USING (i), total GROUP BY t, i) GROUP BY t)
+SELECT f AS feature, {r('ws[i]', 3)} AS w FROM it, names WHERE t = {rounds}"""
+
+
+ORACLES["lr_lbfgs"] = minimised(PLAIN, 0.01, "l2", 400)
+ORACLES["lr_lbfgs_values"] = minimised(VALUED, 0.01, "l2", 400)
+ORACLES["lr_owlqn_values"] = minimised(VALUED, 0.002, "l1", 600)
+
 FM0 = EX + f""", m0 AS (SELECT feature, {hash_weight('feature')} AS w, {hash_weight("feature || '|0'")} AS v0,
   {hash_weight("feature || '|1'")} AS v1 FROM (SELECT DISTINCT feature FROM ex)),
 fs AS (SELECT row_id, label, sum(w) AS lin, sum(v0) AS s0, sum(v1) AS s1, sum(v0 * v0) AS q0, sum(v1 * v1) AS q1
@@ -492,11 +525,11 @@ g{tag} AS MATERIALIZED (SELECT {on}, sum(-label / (1 + exp(label * s))) AS g, co
 {nxt} AS MATERIALIZED (SELECT {on}, (c * 0.75 / {rows} * w - g / {rows}) / (c * 0.75 / {rows} + {lam}) AS w FROM {now} JOIN g{tag} USING ({on}){sizes})"""
 
 
-def mixed_round(i: int, inner: int) -> str:
+def mixed_round(i: int, inner: int, lam: tuple = (0.001, 0.1)) -> str:
     parts = [f"of{i} AS MATERIALIZED (SELECT row_id, sum(w) AS o FROM ex JOIN r{i}_0 USING (entity_id, feature) GROUP BY row_id)"]
-    parts += [mixed_inner("fixed", f"f{i}_{j}", f"f{i}_{j + 1}", f"of{i}", 0.001, f"f{i}{j}") for j in range(inner)]
+    parts += [mixed_inner("fixed", f"f{i}_{j}", f"f{i}_{j + 1}", f"of{i}", lam[0], f"f{i}{j}") for j in range(inner)]
     parts += [f"oq{i} AS MATERIALIZED (SELECT row_id, sum(w) AS o FROM ex JOIN f{i}_{inner} USING (feature) GROUP BY row_id)"]
-    parts += [mixed_inner("random", f"r{i}_{j}", f"r{i}_{j + 1}", f"oq{i}", 0.1, f"r{i}{j}") for j in range(inner)]
+    parts += [mixed_inner("random", f"r{i}_{j}", f"r{i}_{j + 1}", f"oq{i}", lam[1], f"r{i}{j}") for j in range(inner)]
     parts += [f"f{i + 1}_0 AS (SELECT * FROM f{i}_{inner})", f"r{i + 1}_0 AS (SELECT * FROM r{i}_{inner})"]
     return ", ".join(parts)
 
@@ -505,6 +538,10 @@ ORACLES["mixed_fit"] = f"""WITH {MX}, ne AS (SELECT entity_id, count(*) AS n FRO
 f0_0 AS (SELECT * FROM w0), r0_0 AS (SELECT * FROM wr), {mixed_round(0, 3)}, {mixed_round(1, 3)}
 SELECT '' AS model_key, feature, {r('w')} AS w FROM f2_0 UNION ALL SELECT entity_id, feature, {r('w')} FROM r2_0"""
 
+ORACLES["mixed_fit_lbfgs"] = f"""WITH {MX}, ne AS (SELECT entity_id, count(*) AS n FROM base GROUP BY entity_id),
+f0_0 AS (SELECT * FROM w0), r0_0 AS (SELECT * FROM wr), {mixed_round(0, 30, (0.1, 1.0))}, {mixed_round(1, 30, (0.1, 1.0))}
+SELECT '' AS model_key, feature, {r('w', 3)} AS w FROM f2_0 UNION ALL SELECT entity_id, feature, {r('w', 3)} FROM r2_0"""
+
 
 def tree_level(t: int, level: int) -> str:
     """Split every node of x{t}_{level} by its best feature."""

@@ -20,18 +20,22 @@ def _k() -> Column:
     return F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
 
 
-def event_rows(events: DataFrame) -> DataFrame:
+def event_rows(events: DataFrame, features: Column | None = None) -> DataFrame:
     """One labeled row per event with its attributes."""
     return events.select(
         F.col("event_id").alias("row_id"),
         F.when(F.col("value") > LABEL_CUT, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("label"),
         F.col("user_id").cast("string").alias("entity_id"),
         "ts",
-        F.array(
-            F.concat(F.lit("type_"), F.col("event_type")),
-            F.concat(F.lit("hour_"), F.hour("ts").cast("string")),
-            F.concat(F.lit("k_"), F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as bigint) div 10").cast("string")),
-        ).alias("features"),
+        (_attributes() if features is None else features).alias("features"),
+    )
+
+
+def _attributes() -> Column:
+    return F.array(
+        F.concat(F.lit("type_"), F.col("event_type")),
+        F.concat(F.lit("hour_"), F.hour("ts").cast("string")),
+        F.concat(F.lit("k_"), F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as bigint) div 10").cast("string")),
     )
 
 
@@ -42,6 +46,23 @@ def event_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def valued_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event examples with 0/1 labels, real values and an offset: the hour, and the number in ``props`` as a share of 100."""
+    rows = event_rows(table(spark, sf_dir, "events").withColumn("k", _k()), _hour_and_number())
+    return rows.select(
+        "row_id",
+        F.when(F.col("label") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
+        "entity_id",
+        ((F.col("row_id") % 5 - 2) * F.lit(0.1)).alias("offset"),
+        F.inline("features"),
+    )
+
+
+def _hour_and_number() -> Column:
+    hour = F.struct(F.concat(F.lit("hour_"), F.hour("ts").cast("string")).alias("feature"), F.lit(1.0).alias("value"))
+    return F.array(hour, F.struct(F.lit("number").alias("feature"), (F.col("k") / F.lit(100.0)).alias("value")))
+
+
 def dated_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event examples with ``half``: 0 before the 16th of the month, 1 after, for two batches."""
     return event_rows(table(spark, sf_dir, "events")).select(

@@ -34,7 +34,7 @@ def normal(frame):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(ORACLES) == {"lr_lbfgs", "gbt_ctr"}
+    assert set(QUERIES) - set(ORACLES) == {"gbt_ctr"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
