@@ -10,6 +10,7 @@ from clickloom.functions.expr import pointwise_loss, sigmoid, tidy
 from clickloom.functions.hashing import hash_weight
 from clickloom.functions.quarantine import quarantine
 from clickloom.operators import (
+    dimsum,
     features,
     fm,
     graph,
@@ -262,6 +263,21 @@ def embedding_cosine_topk(spark, sf_dir):
     return near.select("vec_id", "neighbour", tidy(F.col("sim")).alias("sim"), "rank")
 
 
+@query
+def embedding_dimsum(spark, sf_dir):
+    entries = dimsum.vector_entries(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    out = dimsum.column_similarities(entries, gamma=4.0)
+    return out.select("col_a", "col_b", tidy(F.col("sim")).alias("sim"))
+
+
+@query
+def embedding_dimsum_error(spark, sf_dir):
+    entries = dimsum.vector_entries(tables.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    exact, estimate = dimsum.column_similarities(entries), dimsum.column_similarities(entries, gamma=4.0)
+    out = dimsum.estimate_error(exact, estimate, threshold=0.05)
+    return out.select(tidy(F.col("mae")).alias("mae"), tidy(F.col("largest")).alias("largest"), "pairs", "similar", "found")
+
+
 # evaluation
 
 

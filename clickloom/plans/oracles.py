@@ -188,6 +188,17 @@ ORACLES["embedding_transpose"] = """WITH cells AS (SELECT vec_id AS j, CAST(gene
 SELECT i, j // 256 AS block, min(j) AS first_j, string_agg(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS micro_values
 FROM cells GROUP BY i, j // 256"""
 
+DIMSUM = f"""cells AS (SELECT * FROM (SELECT vec_id AS r, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE v <> 0),
+norms AS (SELECT c, sqrt(sum(v * v)) AS n, least(1, sqrt(4) / sqrt(sum(v * v))) AS p FROM cells GROUP BY c),
+kept AS (SELECT r, c, v / n / p AS x FROM cells JOIN norms USING (c) WHERE {hash_int("r || '|' || c")} / CAST(4294967296 AS DOUBLE) < p),
+est AS (SELECT a.c AS col_a, b.c AS col_b, sum(a.x * b.x) AS sim FROM kept a JOIN kept b ON a.r = b.r AND a.c < b.c GROUP BY a.c, b.c)"""
+ORACLES["embedding_dimsum"] = f"WITH {DIMSUM} SELECT col_a, col_b, {r('sim')} AS sim FROM est"
+ORACLES["embedding_dimsum_error"] = f"""WITH {DIMSUM}, full_ AS (SELECT a.c AS col_a, b.c AS col_b, sum(a.v * b.v) / (any_value(na.n) * any_value(nb.n)) AS sim
+  FROM cells a JOIN cells b ON a.r = b.r AND a.c < b.c JOIN norms na ON na.c = a.c JOIN norms nb ON nb.c = b.c GROUP BY a.c, b.c),
+e AS (SELECT f.sim, abs(f.sim - coalesce(est.sim, 0)) AS off, est.sim AS guess FROM full_ f LEFT JOIN est USING (col_a, col_b))
+SELECT {r('avg(off)')} AS mae, {r('max(off)')} AS largest, count(*) AS pairs, count(*) FILTER (WHERE abs(sim) >= 0.05) AS similar,
+  count(*) FILTER (WHERE abs(sim) >= 0.05 AND guess IS NOT NULL) AS found FROM e"""
+
 LINES = """ls AS (SELECT CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label,
   round(l_extendedprice * (1 - l_discount) / CAST(50000 AS DOUBLE) - 1, 4) AS score FROM lineitem)"""
 

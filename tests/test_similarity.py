@@ -75,3 +75,25 @@ def test_transpose(spark, rows):
     assert rows(out) == [(0, 0, 0, [1.0, 3.0]), (0, 1, 2, [5.0]), (1, 0, 0, [2.0, 4.0]), (1, 1, 2, [6.0])]
     coo = matrix.to_coordinates(df, "i", "x")
     assert rows(matrix.transpose_coordinates(matrix.transpose_coordinates(coo))) == rows(coo)
+
+
+def test_sampled_column_products(spark):
+    import numpy as np
+
+    from clickloom.operators import dimsum
+
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(400, 6)) + rnd.normal(size=(400, 1))
+    x[:, 5] = 0.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    entries = dimsum.vector_entries(df, "id", "v")
+    exact = {(r["col_a"], r["col_b"]): r["sim"] for r in dimsum.column_similarities(entries).collect()}
+    n = np.linalg.norm(x[:, :5], axis=0)
+    want = (x[:, :5].T @ x[:, :5]) / np.outer(n, n)
+    assert exact == pytest.approx({(i, j): want[i, j] for i in range(5) for j in range(i + 1, 5)})
+    guess = dimsum.column_similarities(entries, gamma=200.0)
+    report = dimsum.estimate_error(dimsum.column_similarities(entries), guess, 0.3).first()
+    assert 0 < report["mae"] < 0.1 and report["pairs"] == 10 == report["similar"] == report["found"]
+    sure = {(r["col_a"], r["col_b"]): r["sim"] for r in dimsum.column_similarities(entries, threshold=0.001).collect()}
+    assert sure == pytest.approx(exact)  # so much oversampling keeps every entry
+    assert dimsum.column_similarities(entries.limit(0)).count() == 0
