@@ -71,8 +71,8 @@ def _mask_pairs(left: DataFrame, right: DataFrame, masks: list[Mask], attributes
     return met.withColumn("shared", F.bit_count("agree"))
 
 
-def similar_profiles(table: DataFrame, attributes: int = 8, min_shared: int = 6) -> DataFrame:
-    """All pattern pairs ``a < b`` with cosine >= min_shared / attributes.
+def similar_profiles(table: DataFrame, min_shared: int, attributes: int = 8) -> DataFrame:
+    """All pattern pairs ``a < b`` with cosine >= min_shared / attributes; 1 gives all pairs with a cosine above zero.
 
     ``(profile_a, profile_b, shared, sim, users_a, users_b)``. User pairs are this table joined with
     the users of each pattern; they are left factored because that product is quadratic in the
@@ -191,7 +191,7 @@ def sampled_masks(attributes: int, size: int, tables: int) -> list[Mask]:
 
 
 def approx_similar_profiles(
-    table: DataFrame, attributes: int = 8, min_shared: int = 6, mask_size: int = 6, tables: int = 8
+    table: DataFrame, min_shared: int, attributes: int = 8, mask_size: int = 6, tables: int = 8
 ) -> DataFrame:
     """Bit-sampling LSH: only pairs that agree on one of a few sampled masks are compared.
 

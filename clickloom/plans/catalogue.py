@@ -30,6 +30,7 @@ from clickloom.operators.online import Rates
 from clickloom.plans import standins as tables
 from clickloom.session import cut_lineage, scratch_path
 from clickloom.sources import store, text
+from clickloom.sources.buckets import BucketStore
 from clickloom.streaming import features as stream_features
 from clickloom.streaming.learner import StateTable, learner
 from clickloom.streaming.source import run_available, table_stream
@@ -77,6 +78,14 @@ def enable_frequency_map(spark, sf_dir):
     return maps.select("key", "chunk", F.concat_ws(",", shown).alias("fields"))
 
 
+@query
+def frequency_map_chunked(spark, sf_dir):
+    lines = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey")
+    maps = store.records_to_maps(features.frequency_records(lines, ["l_returnflag"], "l_suppkey", "SUPPLIERS", 1), chunks=16)
+    shown = F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return maps.select("key", "chunk", F.concat_ws(",", shown).alias("fields"))
+
+
 @query
 def category_frequency_customers(spark, sf_dir):
     orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -222,11 +231,19 @@ def _patterns(spark, sf_dir):
 
 @query
 def profile_cosine_pairs(spark, sf_dir):
-    pairs = similarity.similar_profiles(_patterns(spark, sf_dir))
+    pairs = similarity.similar_profiles(_patterns(spark, sf_dir), min_shared=6)
     names = [profile.pattern_text(F.col(c)).alias(c) for c in ("profile_a", "profile_b")]
     return pairs.select(*names, "shared", "sim", "users_a", "users_b")
 
 
+@query
+def profile_cosine_all(spark, sf_dir):
+    """All pairs of profiles that share an attribute, counted and summed up per profile."""
+    pairs = similarity.both_directions(similarity.similar_profiles(_patterns(spark, sf_dir), min_shared=1))
+    sums = pairs.groupBy("profile_a").agg(F.count("*").alias("pairs"), F.sum("shared").alias("shared"), F.sum("users_b").alias("users"))
+    return sums.withColumn("profile_a", profile.pattern_text(F.col("profile_a")))
+
+
 @query
 def profile_neighbours_directed(spark, sf_dir):
     pairs = similarity.both_directions(similarity.similar_profiles(_patterns(spark, sf_dir), min_shared=7))
@@ -242,8 +259,8 @@ def profile_dot_topk(spark, sf_dir):
 @query
 def approx_cosine_mae(spark, sf_dir):
     patterns = _patterns(spark, sf_dir)
-    exact = similarity.similar_profiles(patterns)
-    approx = similarity.approx_similar_profiles(patterns)
+    exact = similarity.similar_profiles(patterns, min_shared=6)
+    approx = similarity.approx_similar_profiles(patterns, min_shared=6)
     error = similarity.similarity_error(exact, approx)
     return error.select(tidy(F.col("mae")).alias("mae"), "pairs", "found")
 
@@ -663,6 +680,18 @@ def kv_lookup(spark, sf_dir):
     return store.lookup_records(keys, store.upsert_records(*_record_batches(spark, sf_dir)))
 
 
+@query
+def kv_compacted_lookup(spark, sf_dir):
+    """Eight batches, merged on the way, then the records of every customer."""
+    kv = BucketStore(spark, scratch_path(spark, "kv_compacted"), buckets=8, fan=3)
+    events = tables.table(spark, sf_dir, "events")
+    for part in range(8):
+        some = events.filter(F.dayofmonth("ts") % 8 == part)
+        kv.upsert(features.frequency_records(some, ["user_id"], "event_type", "FREQ", part), str(part))
+    customers = tables.table(spark, sf_dir, "customer")
+    return kv.lookup(customers.select(F.concat(F.lit("FREQ:"), F.col("c_custkey").cast("string")).alias("key")))
+
+
 def model_versions(examples: DataFrame) -> DataFrame:
     """Two published versions: all models first, then the fixed effect and the entities whose key hash
     is in the lower half again, with their weights halved."""

@@ -18,8 +18,8 @@ def enable_frequency_job(shows: DataFrame, store: RecordStore, version: int) ->
     return store.upsert(records, str(version))
 
 
-def similarity_job(profiles: DataFrame, path: str, min_shared: int = 6) -> tuple[DataFrame, DataFrame]:
-    """All similar profiles, both directions, and the users of each profile, as two tables.
+def similarity_job(profiles: DataFrame, path: str, min_shared: int) -> tuple[DataFrame, DataFrame]:
+    """All profiles that share ``min_shared`` attributes (1: any), both directions, and the users of each profile, as two tables.
 
     Returns ``(pairs, members)``; :func:`similarity.similar_users` joins them for given users.
     """

@@ -175,6 +175,8 @@ ORACLES["profile_cosine_pairs"] = f"""WITH {PT} SELECT pa AS profile_a, pb AS pr
   shared / CAST(8 AS DOUBLE) AS sim, ua AS users_a, ub AS users_b FROM pp WHERE shared >= 6 AND ca < cb"""
 ORACLES["profile_neighbours_directed"] = f"""WITH {PT} SELECT pa AS profile_a, CAST(sum(ub) AS BIGINT) AS near_users,
   max(shared) / CAST(8 AS DOUBLE) AS best_sim FROM pp WHERE shared >= 7 GROUP BY pa"""
+ORACLES["profile_cosine_all"] = f"""WITH {PT} SELECT pa AS profile_a, count(*) AS pairs, CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(ub) AS BIGINT) AS users
+FROM pp WHERE shared >= 1 GROUP BY pa"""
 ORACLES["profile_dot_topk"] = f"""WITH {LV}, up AS (SELECT x.user_id, y.user_id AS neighbour,
     {' + '.join(f'CAST(x.a{i} = y.a{i} AS BIGINT)' for i in range(8))} AS shared FROM lv x JOIN lv y ON x.user_id <> y.user_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY shared DESC, neighbour) AS rank FROM up WHERE shared > 0)
@@ -395,6 +397,12 @@ ORACLES["kv_upsert"] = f"WITH {REC} SELECT key, field, value, version FROM lates
 ORACLES["kv_lookup"] = f"""WITH {REC} SELECT k.key, field, value, field IS NOT NULL AS found
 FROM (SELECT 'FREQ:' || c_custkey AS key FROM customer) k LEFT JOIN latest USING (key)"""
 
+ORACLES["kv_compacted_lookup"] = """WITH rec AS (SELECT 'FREQ:' || user_id AS key, event_type AS field, day(ts) % 8 AS v, count(*) AS n FROM events GROUP BY ALL),
+latest AS (SELECT key, field, CAST(arg_max(n, v) AS VARCHAR) AS value FROM rec GROUP BY key, field)
+SELECT k.key, field, value, field IS NOT NULL AS found FROM (SELECT 'FREQ:' || c_custkey AS key FROM customer) k LEFT JOIN latest USING (key)"""
+ORACLES["frequency_map_chunked"] = f"""WITH c AS (SELECT 'SUPPLIERS:' || l_returnflag AS key, CAST(l_suppkey AS VARCHAR) AS field, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT key, {hash_int('field')} % 16 AS chunk, string_agg(field || '=' || n, ',' ORDER BY field) AS fields FROM c GROUP BY ALL"""
+
 
 def versions(source: str) -> str:
     again = f"{hash_weight('''model_key || '|again' ''')} < 0"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickloom.functions.hashing import hash_int
 from clickloom.session import list_dirs, table_exists
 
 RECORD_COLUMNS = ["key", "field", "value", "version"]
@@ -42,22 +43,15 @@ def lookup_records(keys: DataFrame, records: DataFrame) -> DataFrame:
     return keys.join(found, "key", "left").fillna(False, ["found"])
 
 
-def records_to_maps(records: DataFrame, max_fields: int = 10_000) -> DataFrame:
-    """``(key, chunk, fields MAP)``.
+def records_to_maps(records: DataFrame, chunks: int = 1) -> DataFrame:
+    """``(key, chunk, fields MAP)``: every key's fields are dealt to ``chunks`` maps by a hash of the field; empty ones have no row.
 
-    A key with at most ``max_fields`` fields is one row (chunk 0). A larger one is split over
-    ``ceil(n / max_fields)`` rows by a hash of the field, so no task ever holds all of a hot key.
+    The number is fixed for all keys, so the shape of a record does not depend on its size; choose it for the largest key,
+    whose maps are then as many tasks'.
     """
-    sizes = records.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > max_fields)
-    parts = F.ceil(F.col("n") / F.lit(max_fields))
-    chunk = F.coalesce(F.pmod(F.xxhash64("field"), parts), F.lit(0)).cast("bigint")
+    chunk = F.pmod(hash_int(F.col("field")), F.lit(chunks)).cast("bigint")
     entries = F.sort_array(F.collect_list(F.struct("field", "value")))
-    return (
-        records.join(sizes, "key", "left")
-        .withColumn("chunk", chunk)
-        .groupBy("key", "chunk")
-        .agg(F.map_from_entries(entries).alias("fields"))
-    )
+    return records.groupBy("key", chunk.alias("chunk")).agg(F.map_from_entries(entries).alias("fields"))
 
 
 class RecordStore:

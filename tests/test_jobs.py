@@ -24,7 +24,7 @@ def test_frequency_job(spark, rows):
 def test_similarity_jobs(spark, rows):
     people = [(1, 1, 0, 2, 1, 1, 50, 50, 5.0), (2, 1, 0, 2, 1, 1, 50, 50, 15.0), (3, 1, 0, 2, 1, 2, 150, 50, 5.0)]
     profiles = spark.createDataFrame(people, PROFILE)
-    pairs, members = jobs.similarity_job(profiles, scratch_path(spark, "pairs"))
+    pairs, members = jobs.similarity_job(profiles, scratch_path(spark, "pairs"), min_shared=6)
     everyone = profiles.select("user_id")
     got = rows(similarity.similar_users(everyone, members, pairs))
     assert got == [(1, 2, 0.875), (1, 3, 0.75), (2, 1, 0.875), (3, 1, 0.75)]

@@ -60,7 +60,7 @@ def test_user_level_entries_and_error(spark):
         if v != u and shared(table[u], table[v]) >= 6
     }
     assert got == want
-    approx = similarity.approx_similar_profiles(base)
+    approx = similarity.approx_similar_profiles(base, min_shared=6)
     found = {(r[0], r[1], r[2]) for r in approx.collect()}
     full = {(r["profile_a"], r["profile_b"], r["sim"]) for r in exact.collect()}
     assert found <= full and len(found) == approx.count()

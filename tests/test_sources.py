@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.session import scratch_path
+from clickloom.sources.buckets import BucketStore
 from clickloom.sources import logs, params, store, text
 
 LINES = [
@@ -95,12 +96,55 @@ def test_record_store_replay_and_missing_key(spark, rows):
     assert rows(kv.compact_to(scratch_path(spark, "kv")).read(), "key", "value") == [("k", "5")]
 
 
-def test_wide_keys_are_split_into_chunks(spark):
+def test_keys_are_split_into_chunks(spark):
     data = [("hot", f"f{i}", str(i), 1) for i in range(100)] + [("cold", "f", "1", 1)]
-    maps = store.records_to_maps(spark.createDataFrame(data, RECORD), max_fields=30).collect()
+    maps = store.records_to_maps(spark.createDataFrame(data, RECORD), chunks=4).collect()
     hot = [m for m in maps if m["key"] == "hot"]
-    assert len(hot) == 4 and sum(len(m["fields"]) for m in hot) == 100
-    assert [m["chunk"] for m in maps if m["key"] == "cold"] == [0]
+    assert sorted(m["chunk"] for m in hot) == [0, 1, 2, 3] and sum(len(m["fields"]) for m in hot) == 100
+    assert len([m for m in maps if m["key"] == "cold"]) == 1
+
+
+def test_bucket_store_merges_runs(spark, rows):
+    kv = BucketStore(spark, scratch_path(spark, "buckets"), buckets=4, fan=2)
+    keys = spark.createDataFrame([("k1",), ("none",), (None,), ("k1",)], "key string")
+    assert kv.read().count() == 0 and rows(kv.lookup(keys), "key", "found") == [("k1", False), ("k1", False), ("none", False), (None, False)]
+    for batch in range(9):
+        data = [(f"k{i}", f"f{batch % 3}", f"{batch}", batch) for i in range(6)]
+        assert kv.upsert(spark.createDataFrame(data, RECORD), str(batch))
+        assert not kv.upsert(spark.createDataFrame(data[:1], RECORD), str(batch))
+    assert [level for _, level, _ in kv.runs()] == [3, 0]  # 8 + 1 batches
+    assert sorted(b for _, _, held in kv.runs() for b in held) == [str(b) for b in range(9)]
+    want = [(f"k{i}", f"f{f}", f"{6 + f}") for i in range(6) for f in range(3)]
+    assert rows(kv.read(), "key", "field", "value") == sorted(want)
+    found = kv.lookup(keys)
+    assert rows(found, "key", "field", "value", "found")[:3] == sorted([("k1", f"f{f}", f"{6 + f}", True) for f in range(3)] * 2)[:3]
+    assert found.count() == 8
+    assert kv.vacuum() > 0 and kv.vacuum() == 0 and kv.read().count() == 18
+
+
+def test_bucket_lookup_reads_one_bucket_and_few_runs(spark):
+    kv = BucketStore(spark, scratch_path(spark, "buckets"), buckets=8, fan=3)
+    for batch in range(14):
+        kv.upsert(spark.createDataFrame([(f"k{i}", "f", str(batch), batch) for i in range(40)], RECORD), str(batch))
+    assert len(kv.runs()) <= 2 * 3  # fewer than fan runs on each of log(14) levels
+    found = kv.lookup(spark.createDataFrame([("k7",)], "key string"))
+    assert [(r["field"], r["value"]) for r in found.collect()] == [("f", "13")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "In(key" in plan.replace("EqualTo(key", "In(key")
+    read = kv._open([r[0] for r in kv.runs()]).filter("key = 'k7'").select(F.input_file_name().alias("f"), "bucket").distinct()
+    assert read.select("bucket").distinct().count() == 1
+
+
+def test_bucket_store_ignores_what_was_not_committed(spark):
+    kv = BucketStore(spark, scratch_path(spark, "buckets"), buckets=2)
+    kv.upsert(spark.createDataFrame([("k", "f", "1", 1)], RECORD), "1")
+    kv._write(spark.createDataFrame([("k", "f", "2", 2)], RECORD))  # a writer that died before its manifest
+    assert [r["value"] for r in kv.read().collect()] == ["1"]
+    assert kv.upsert(spark.createDataFrame([], RECORD), "2") and [r["value"] for r in kv.read().collect()] == ["1"]
+    assert kv.upsert(spark.createDataFrame([("k", "f", "3", 3)], RECORD), "3")
+    assert [r["value"] for r in kv.read().collect()] == ["3"] and kv.vacuum() == 3
+    with pytest.raises(ValueError):
+        BucketStore(spark, "x", fan=1)
 
 
 def test_latest_model_is_per_entity(spark, rows):
