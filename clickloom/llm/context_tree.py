@@ -26,7 +26,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -35,9 +34,10 @@ from clickloom.llm.cells import LOWER, LOWER_CODES, SPACE, Texts, mix, slices, w
 from clickloom.llm.labelled import held_out
 from clickloom.session import scratch_path
 
-DEPTH = 6  # bytes of context, 3 to 6
-BLOCK = 32 << 20  # bytes of text in a block, or one longer text
-PART = 8 << 20  # positions of a block at a time
+DEPTH = 5  # bytes of context, 3 to 6
+BLOCK = 12 << 20  # bytes of text in a block, or one longer text
+PART = 1 << 20  # positions of a block at a time
+WORD_PART = 1 << 20  # bytes of text whose words are hashed at a time, or one longer text
 FOLDS, HELD_OUT = 7, 2
 END = 255
 TOP = 2  # depth of the nodes that are summed over the buckets
@@ -74,18 +74,25 @@ class Symbols:
         self.scored[self.base[1:] - 1] = True
 
     def parts(self):
-        """(keys, texts of the keys), some positions at a time. A key has the context's bytes, the last one first, then the byte."""
+        """(keys, their span for :meth:`texts`), some positions at a time. A key has the context's bytes, the last one first, then the byte."""
+        turned = np.append(self.data[::-1], np.zeros(8, np.uint8))
         for at in range(self.depth, len(self.data), PART):
             to = min(at + PART, len(self.data))
-            keys = self.data[at - 1 : to - 1].astype(np.uint64)
-            for j in [*range(2, self.depth + 1), 0]:
-                keys <<= np.uint64(8)
-                keys |= self.data[at - j : to - j]
-            which = np.flatnonzero(self.scored[at:to])
-            if len(which):
-                first, last = np.searchsorted(self.base, [at, to - 1], "right") - 1
-                bounds = np.searchsorted(which + at, self.base[first : last + 2])
-                yield keys[which], np.repeat(np.arange(first, last + 1), np.diff(bounds))
+            # eight bytes from each place on, most significant first: in the turned data a byte comes before its context
+            words = np.ndarray((to - at,), ">u8", turned.data, len(self.data) - to + 1, (1,))
+            keys = words.astype(np.uint64)
+            keys >>= np.uint64(64 - 8 * self.depth)
+            keys <<= np.uint64(8)
+            keys |= turned[len(self.data) - to : len(self.data) - at]
+            if self.scored[at:to].any():
+                yield keys[::-1][self.scored[at:to]], (at, to)
+
+    def texts(self, span: tuple[int, int]) -> np.ndarray:
+        """Text of each key of a part."""
+        at, to = span
+        first, last = np.searchsorted(self.base, [at, to - 1], "right") - 1
+        text = np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(np.clip(self.base[first : last + 2], at, to)))
+        return text[self.scored[at:to]]
 
 
 def merged(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +120,17 @@ def gram_buckets(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
 
 
 def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """63-bit hash of each word, and the texts' ranges of words."""
-    start, end, ptr = texts.runs(~SPACE)
-    return texts.hashes(start, end, LOWER_CODES) >> np.uint64(1), ptr
+    """63-bit hash of each word, and the texts' ranges of words; hashed a few megabytes of texts at a time."""
+    hashes, counts, at = [], [], 0
+    while at < texts.n:
+        to = max(at + 1, int(np.searchsorted(texts.offs, texts.offs[at] + WORD_PART, "right")) - 1)
+        some = object.__new__(Texts)
+        some.n, some.offs, some.raw = to - at, texts.offs[at : to + 1] - texts.offs[at], texts.raw[texts.offs[at] : texts.offs[to]]
+        start, end, ptr = some.runs(~SPACE)
+        hashes.append(some.hashes(start, end, LOWER_CODES) >> np.uint64(1))
+        counts.append(np.diff(ptr))
+        at = to
+    return np.concatenate(hashes), np.append(0, np.cumsum(np.concatenate(counts)))
 
 
 def _dealt(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +225,7 @@ def gather(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             for part in slices(batch, "_x", BLOCK):
                 texts = Texts(part.column("_x"))
                 train = ~part.column("_held").to_numpy(zero_copy_only=False)
-                pairs = [counted(keys, train[text]) for keys, text in Symbols(texts, depth).parts()]
-                keys, n = merged(pairs) if len(pairs) > 1 else pairs[0]
+                keys, n = _pairs(texts, train, depth)
                 out = list(_rows(GRAMS, block, keys, n, gram_buckets(keys, depth, buckets)))
                 h, ptr = words(texts)
                 if len(h):
@@ -234,6 +248,12 @@ def gather(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
 PARTS_NAMES = [c.split()[0] for c in PARTS.split(", ")]
 
 
+def _pairs(texts: Texts, train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    symbols = Symbols(texts, depth)
+    found = [counted(keys, train[symbols.texts(span)]) for keys, span in symbols.parts()]
+    return merged(found) if len(found) > 1 else found[0]
+
+
 def _rows(kind: int, block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray):
     order, bucket = _dealt(keys, bucket)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -350,11 +370,6 @@ def answers(parts: DataFrame, model: DataFrame, mixed: DataFrame, depth: int) ->
     return placed.mapInArrow(run, "block bigint, kind int, bucket int, values binary")
 
 
-def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of keys in the different ``known`` ones; all are there."""
-    return pc.index_in(pa.array(keys), value_set=pa.array(known)).to_numpy()
-
-
 def _spread(keys: np.ndarray, bucket: np.ndarray, values: list[np.ndarray], kind) -> np.ndarray:
     """Values of rising keys from those that came bucket by bucket."""
     out = np.empty(len(keys), kind)
@@ -363,9 +378,32 @@ def _spread(keys: np.ndarray, bucket: np.ndarray, values: list[np.ndarray], kind
     return out
 
 
-def _unique(pieces: list[np.ndarray]) -> np.ndarray:
-    found = [np.unique(p) for p in pieces]
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the different keys, and these."""
+    found = pa.array(keys).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
+
+
+def _pair_sums(texts: Texts, depth: int, buckets: int, values: list[np.ndarray]) -> np.ndarray:
+    """Summed log10 probabilities of each text's pairs."""
+    symbols, total = Symbols(texts, depth), np.zeros(texts.n)
+    parts = [(span, *_coded(keys)) for keys, span in symbols.parts()]
+    known = np.unique(np.concatenate([own for _, _, own in parts]))
+    logs = _spread(known, gram_buckets(known, depth, buckets), values, np.float64)
+    for span, place, own in parts:
+        total += np.bincount(symbols.texts(span), weights=logs[np.searchsorted(known, own)][place], minlength=texts.n)
+    return total
+
+
+def _word_sums(texts: Texts, buckets: int, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text its words and the end, the words that training texts have, and the sum of log10(c + 1) over the words."""
+    h, ptr = words(texts)
+    place, own = _coded(h)
+    known = np.sort(own)
+    c = _spread(known, (known % np.uint64(buckets)).astype(np.int64), values, np.int64)
+    c = c[np.searchsorted(known, own)][place]
+    text = np.repeat(np.arange(texts.n), np.diff(ptr))
+    return np.diff(ptr) + 1, np.bincount(text[c > 0], minlength=texts.n), np.bincount(text, weights=np.log10(c + 1.0), minlength=texts.n)
 
 
 SCORES = "n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double"
@@ -391,19 +429,9 @@ def per_text(parts: DataFrame, answered: DataFrame, depth: int, buckets: int, en
                 texts.offs = unpack(batch.column(4)[i].as_py(), np.int64)
                 texts.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(5)[i].as_py()), np.uint8)
                 texts.n = len(texts.offs) - 1
-                symbols, score = Symbols(texts, depth), np.zeros(texts.n)
-                known = _unique([keys for keys, _ in symbols.parts()])
-                logs = _spread(known, gram_buckets(known, depth, buckets), held[GRAMS], np.float64)
-                for keys, text in symbols.parts():
-                    score += np.bincount(text, weights=logs[_places(keys, known)], minlength=texts.n)
-                h, ptr = words(texts)
-                known = np.unique(h)
-                c = _spread(known, (known % np.uint64(buckets)).astype(np.int64), held[WORDS], np.int64)
-                c = c[_places(h, known)] if len(h) else c
-                text = np.repeat(np.arange(texts.n), np.diff(ptr))
-                tokens = np.diff(ptr) + 1
-                seen = np.bincount(text[c > 0], minlength=texts.n) + int(end_count > 0)
-                base = np.bincount(text, weights=np.log10(c + 1.0), minlength=texts.n) + math.log10(end_count + 1)
+                score = _pair_sums(texts, depth, buckets, held[GRAMS])
+                tokens, seen, base = _word_sums(texts, buckets, held[WORDS])
+                seen, base = seen + int(end_count > 0), base + math.log10(end_count + 1)
                 lists = [batch.column(j).slice(i, 1).flatten() for j in (6, 7)]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array(np.diff(texts.offs)), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(score)], names=names)
                 held = {GRAMS: [], WORDS: []}

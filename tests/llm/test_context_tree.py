@@ -105,6 +105,7 @@ def test_layout_changes_nothing(spark, monkeypatch):
     want = read(ct.score(docs))
     monkeypatch.setattr(ct, "BLOCK", 20_000)
     monkeypatch.setattr(ct, "PART", 7_001)
+    monkeypatch.setattr(ct, "WORD_PART", 5_000)
     got = read(ct.score(docs.repartition(6), buckets=3))
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
