@@ -10,8 +10,8 @@ and y the first part of b, a merge (x, y) of rank r would have crossed the borde
 taken into its parent and not after y is taken into its own (of equal ranks the left place comes first).
 
 The vocabulary file (BPE with a word-end suffix, NFC, lower case, white space dropped) is read on the
-driver and broadcast; words already seen are kept per Python worker in memos that are bounded in bytes. Long words
-and long runs without white space are kept for one slice of texts only.
+driver and broadcast. Slices of texts are cut into runs without ASCII white space on their byte buffer; runs already seen are found by hash in a memo
+per Python worker that is bounded in bytes. Long ones are kept for one slice of texts only.
 
 Cases: null and empty texts have no ids and decode to an empty text. Special tokens that occur in a
 text are matched first, as in the file. Repeated rows are encoded alike. Keys may be null. Very long words are
@@ -30,11 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.cells import no_cycles, settle, slices, worker_state
+from clickloom.llm.cells import SPACE, Texts, no_cycles, owner, settle, slices, worker_state
+from clickloom.llm.runs import RunMemo, holding
 
 MEMO = 250_000
 MEMO_BYTES = 96 << 20  # of one generation of runs, and of the words; keys and dict entries included
-SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
+SLICE = 4 << 20  # bytes of text at a time
+RUN_BYTES = 48 << 20  # of the memo of runs
+_FEW = 8 << 20  # bytes of the memos below it, which only meet what is new there
 _BIG = np.int64(1 << 40)
 _WIDE = 32  # words of more symbols are merged one by one
 #: The characters that count as white space (Unicode White_Space).
@@ -83,6 +86,7 @@ class Encoder:
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known, self.shown, self.old_known, self.old_shown = {}, {}, {}, {}
+        self.runs = RunMemo([np.dtype("<u4"), np.dtype(np.uint8)], RUN_BYTES)
         self.word_ids, self.word_shown = {}, {}
         self.counted = self.held = self.words_counted = self.words_held = 0  # entries of the memos, and their bytes
 
@@ -277,6 +281,23 @@ class Encoder:
             self._turn()
         return out
 
+    def _valued(self, texts: list[str], leads=None) -> list[list[bytes]]:
+        """Ids and shown text of each run; a blank follows what is shown."""
+        ids, shown = self._encode(texts)
+        return [ids, [f"{s} ".encode() if s else b"" for s in shown]]
+
+    def encode_slice(self, texts: Texts) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids, and bytes of the decoded text, of all texts one after the other, each with its number in every text."""
+        whole = holding(texts, [s.encode() for s in self.special])
+        start, end, ptr = texts.runs(~SPACE)
+        doc = owner(ptr)
+        cut = ~whole[doc]
+        with no_cycles():
+            ids, (shown, size) = self.runs.gather(texts, start[cut], end[cut], doc[cut], None, np.flatnonzero(whole), self._valued, self._valued)
+        keep = np.ones(len(shown), bool)
+        keep[np.cumsum(size)[size > 0] - 1] = False  # no blank after the last one
+        return ids, (shown[keep], size - (size > 0))
+
     def _turn(self) -> None:
         """Begin a new generation; the last one stays readable unless it is too large, and what is met again moves on."""
         small = self.held <= 2 * self.memo_bytes
@@ -293,10 +314,15 @@ def encoder(text: str) -> Encoder:
     state = worker_state("bpe_verify")
     mark = hash(text)
     if getattr(state, "mark", None) != mark:
-        state.mark, state.made = mark, Encoder(text)
+        state.mark, state.made = mark, Encoder(text, memo_bytes=_FEW)
     return state.made
 
 
+def cells_of(data: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Array of texts or binaries whose bytes follow each other in ``data``."""
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
     """(key, kept columns, n_tokens, ids, decoded) of every text; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -310,9 +336,9 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         made = encoder(sent.value)
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
-                ids, shown = made.encode(part.column("_text").to_pylist())
-                size = pa.array([len(b) // 4 for b in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), size, pa.array(ids, pa.binary()), pa.array(shown, pa.string())], names=[*cols, "n_tokens", "ids", "decoded"])
+                (ids, count), (shown, size) = made.encode_slice(Texts(part.column("_text")))
+                columns = [*(part.column(c) for c in cols), pa.array(count), cells_of(ids, 4 * count, pa.large_binary()).cast(pa.binary()), cells_of(shown, size, pa.large_string()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*cols, "n_tokens", "ids", "decoded"])
 
     kinds = dict(docs.select(*cols).dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), "n_tokens bigint, ids binary, decoded string"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clickloom.llm.cells import slices
+from clickloom.llm.cells import Texts, slices
 from clickloom.llm.pieces import SLICE, piece_encoder
 from clickloom.session import broadcast_if_small
 
@@ -120,8 +120,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
         keys, ids, held = [], [], 0
         for batch in batches:
             for piece in slices(batch, "_text", SLICE):
-                for k, found in zip(piece.column("_key").to_pylist(), made.encode(piece.column("_text").to_pylist())):
-                    size = len(found) // made.kind.itemsize
+                flat, sizes = made.encode_slice(Texts(piece.column("_text")))
+                ends = np.cumsum(sizes)
+                for k, size, end in zip(piece.column("_key").to_pylist(), sizes.tolist(), ends.tolist()):
+                    found = flat[end - size : end].tobytes()
                     if keys and held + size > segment_ids:
                         yield _segment(part, seg, keys, ids, made.kind.itemsize)
                         keys, ids, held, seg = [], [], 0, seg + 1

@@ -15,11 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from clickloom.llm.cells import no_cycles, settle, worker_state
+from clickloom.llm.cells import Texts, no_cycles, owner, settle, worker_state
+from clickloom.llm.runs import RunMemo, holding
 
 MEMO = 200_000
 MEMO_BYTES = 48 << 20  # of one generation of one memo, keys and dict entries included
-SLICE = 8 << 20  # bytes of text at a time: more repeats per look at the memo
+SLICE = 4 << 20  # bytes of text at a time
+RUN_BYTES = 32 << 20  # of the memo of runs
+_FEW = 4 << 20  # bytes of the memos below it, which only meet what is new there
+_NO_BLANK = np.arange(256) != 32
+#: Bytes that begin no visible character after a blank (ASCII white space), and first bytes of those that may not.
+_WHITE_NEXT = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_MAYBE_WHITE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 #: Marks that the pre-tokenizer always parts from letters before them (no apostrophe).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -50,6 +57,7 @@ class PieceEncoder:
         self.unsafe, self.white = re.compile(r" (?:\s|$)"), re.compile(r"\s")
         self.memos, self.olds = {" ": {}, "": {}}, {" ": {}, "": {}}
         self.counted, self.held = {" ": 0, "": 0}, {" ": 0, "": 0}  # entries of the memos, and their bytes
+        self.runs = RunMemo([self.kind], RUN_BYTES)
         self.sizes = self.lengths()
         self.line_break = self._whole(["\n"])[0]
 
@@ -160,6 +168,29 @@ class PieceEncoder:
                 self._turn(lead)
         return out
 
+    def _whole_only(self, texts: Texts) -> np.ndarray:
+        """Texts that can't be cut before each blank: a blank before white space or at the end, or a special token."""
+        out = holding(texts, [s.encode() for s in self.special])
+        blank = texts.raw == 32
+        after = np.append(texts.raw[1:], np.uint8(32)) if len(texts.raw) else texts.raw.copy()
+        after[texts.offs[1:][texts.offs[1:] > texts.offs[:-1]] - 1] = 32
+        out |= texts.sums(blank & _WHITE_NEXT[after]) > 0
+        for i in np.flatnonzero(~out & (texts.sums(blank & _MAYBE_WHITE[after]) > 0)).tolist():
+            out[i] = self.unsafe.search(texts.raw[texts.offs[i] : texts.offs[i + 1]].tobytes().decode()) is not None
+        return out
+
+    def encode_slice(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their number in each text."""
+        whole = self._whole_only(texts)
+        start, end, ptr = texts.runs(_NO_BLANK)
+        doc = owner(ptr)
+        cut = ~whole[doc]
+        start, end, doc = start[cut], end[cut], doc[cut]
+        lead = start > texts.offs[doc]  # a blank stands before it
+        learn = lambda runs, leads: [self.encode([" " + r if b else r for r, b in zip(runs, leads.tolist())])]
+        with no_cycles():
+            return self.runs.gather(texts, start, end, doc, lead, np.flatnonzero(whole), learn, lambda some: [self._whole(some)])[0]
+
     def _turn(self, lead: str) -> None:
         """Begin a new generation; the last one stays readable unless it is too large, and what is met again moves on."""
         self.olds[lead] = self.memos[lead] if self.held[lead] <= 2 * self.memo_bytes else {}
@@ -178,5 +209,5 @@ def piece_encoder(text: str) -> PieceEncoder:
     state = worker_state("pieces")
     mark = hash(text)
     if getattr(state, "mark", None) != mark:
-        state.mark, state.made = mark, PieceEncoder(text)
+        state.mark, state.made = mark, PieceEncoder(text, memo_bytes=_FEW)
     return state.made

@@ -65,9 +65,10 @@ def attribute(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             for part in slices(batch, "_text", SLICE):
                 texts = Texts(part.column("_text"))
                 rows, flat = [], []
-                for i, ids in enumerate(made.encode(part.column("_text").to_pylist())):
+                flat_ids, sizes = made.encode_slice(texts)
+                for i, (size, to) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist())):
                     raw = texts.raw[texts.offs[i] : texts.offs[i + 1]]
-                    ends = np.cumsum(lengths[np.frombuffer(ids, made.kind)])
+                    ends = np.cumsum(lengths[flat_ids[to - size : to]])
                     starts = cut(raw)
                     section, cross = allocate(ends, starts)
                     flat.append((starts, np.append(starts[1:], len(raw)), np.bincount(section, minlength=len(starts))))

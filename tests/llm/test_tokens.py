@@ -51,6 +51,33 @@ def test_word_encoder(words, text):
     assert shown == WORD_LIB.decode(want, skip_special_tokens=False) == words.decode(want)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
+def test_slices_of_texts(words, pieces, some):
+    texts = Texts(pa.array(some, pa.string()))
+    (ids, count), (shown, size) = words.encode_slice(texts)
+    flat, sizes = pieces.encode_slice(texts)
+    at = lambda data, n, i: data[n[:i].sum() : n[: i + 1].sum()]
+    for i, t in enumerate(some):
+        want = WORD_LIB.encode(t or "", add_special_tokens=False).ids
+        assert at(ids, count, i).tolist() == want
+        assert at(shown, size, i).tobytes().decode() == WORD_LIB.decode(want, skip_special_tokens=False)
+        assert at(flat, sizes, i).tolist() == BYTE_LIB.encode(t or "", add_special_tokens=False).ids
+
+
+def test_run_memo_is_bounded_and_exact():
+    with open(WORD, encoding="utf-8") as f, open(BYTE, encoding="utf-8") as g:
+        words, pieces = bpe_verify.Encoder(f.read()), PieceEncoder(g.read())
+    words.runs.budget = pieces.runs.budget = 30_000
+    for seed in range(6):
+        docs = [*(" ".join(unspaced(50, 20, 10 * seed + i)) for i in range(6)), *unspaced(4, 900, seed), "", "two  blanks"]
+        texts = Texts(pa.array(docs))
+        want = [e.ids for e in WORD_LIB.encode_batch(docs, add_special_tokens=False)]
+        assert words.encode_slice(texts)[0][0].tolist() == sum(want, [])
+        assert pieces.encode_slice(texts)[0].tolist() == sum([e.ids for e in BYTE_LIB.encode_batch(docs, add_special_tokens=False)], [])
+        assert words.runs.held < 100_000 and pieces.runs.held < 100_000
+
+
 def test_speculation_and_exact_merging_agree(words):
     rnd = random.Random(4)
     found = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
