@@ -14,6 +14,7 @@ from clickloom.operators import (
     features,
     fm,
     graph,
+    histtrees,
     linear,
     matrix,
     metrics,
@@ -648,6 +649,25 @@ def boosted_fit(spark, sf_dir):
     return scored.select("row_id", "label", tidy(F.col("score")).alias("score"))
 
 
+@query
+def hist_best_split(spark, sf_dir):
+    """Best split of every numeric column at the root, with the side of missing values."""
+    log = tables.numeric_log(spark, sf_dir)
+    rows = histtrees.binned(log, tables.NUMBERS, histtrees.cut_points(log, tables.NUMBERS, bins=16))
+    rows = rows.withColumn("bias", trees.prior(rows).select("bias").scalar())
+    placed = rows.select(F.lit(trees.ROOT).alias("node"), trees.residual(F.col("label"), F.col("bias")).alias("residual"), "bins")
+    best = histtrees.best_splits(histtrees.split_gains(histtrees.histogram(placed)), ["node", "col"])
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("col", "bin")]
+    return best.select(*whole, "missing_left", "n", "n_left", tidy(F.col("gain")).alias("gain"))
+
+
+@query
+def ctr_boosted(spark, sf_dir):
+    log = tables.numeric_log(spark, sf_dir)
+    model = histtrees.fit(log, tables.NUMBERS, iterations=2, depth=3, rate=0.5, bins=16)
+    return histtrees.predict(log, model).select("row_id", "label", tidy(F.col("score")).alias("score"))
+
+
 @query
 def gbt_ctr(spark, sf_dir):
     from clickloom.plans.ctr import ctr_report

@@ -649,3 +649,48 @@ st AS (SELECT CAST(0 AS BIGINT) AS t, grp, feature, w, v0, v1 FROM (SELECT * FRO
 last AS (SELECT grp, max(i) AS t FROM ord GROUP BY grp)
 SELECT feature, {r('sum(w * t) / sum(t)')} AS w, {r('sum(v0 * t) / sum(t)')} AS v0, {r('sum(v1 * t) / sum(t)')} AS v1
 FROM st JOIN last USING (grp, t) GROUP BY feature"""
+
+
+# trees on numeric columns
+
+NUMBERS = ("price", "balance", "month")
+SHARES = [i / 16 for i in range(1, 16)]
+BINNED = f"""nlog AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label,
+    CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN c_acctbal >= 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance, CAST(month(o_orderdate) AS DOUBLE) AS month
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+cuts AS (SELECT {', '.join(f'list_distinct(quantile_disc({c}, {SHARES})) AS q_{c}' for c in NUMBERS)} FROM nlog),
+odds AS (SELECT ln(p / (1 - p)) AS bias FROM (SELECT avg(CAST(label > 0 AS INTEGER)) AS p FROM nlog)),
+ht0 AS MATERIALIZED (SELECT row_id, label, bias AS f, [{', '.join(f'CASE WHEN {c} IS NULL THEN -1 ELSE len([c for c in q_{c} if c < {c}]) END' for c in NUMBERS)}] AS b FROM nlog, cuts, odds)"""
+LEFT = "(CASE WHEN b[col + 1] = -1 THEN missing_left ELSE b[col + 1] <= bin END)"
+
+
+def hist_gains(rows: str, tag: str) -> str:
+    """Gains of all splits of the rows (node, res, b)."""
+    gain = "nl_s * nl_s / nl + (ts - nl_s) * (ts - nl_s) / (tn - nl) - ts * ts / tn"
+    return f"""hh{tag} AS MATERIALIZED (SELECT node, col, bin, sum(res) AS s, count(*) AS n FROM (SELECT node, res, unnest([0, 1, 2]) AS col, unnest(b) AS bin FROM {rows}) GROUP BY ALL),
+hw{tag} AS (SELECT node, col, bin, sum(CASE WHEN bin >= 0 THEN s ELSE 0 END) OVER (PARTITION BY node, col ORDER BY bin) AS ls, sum(CASE WHEN bin >= 0 THEN n ELSE 0 END) OVER (PARTITION BY node, col ORDER BY bin) AS ln,
+    sum(CASE WHEN bin < 0 THEN s ELSE 0 END) OVER (PARTITION BY node, col) AS ms, sum(CASE WHEN bin < 0 THEN n ELSE 0 END) OVER (PARTITION BY node, col) AS mn,
+    sum(s) OVER (PARTITION BY node, col) AS ts, sum(n) OVER (PARTITION BY node, col) AS tn FROM hh{tag}),
+hc{tag} AS (SELECT node, col, bin, missing_left, ts, tn, ls + CASE WHEN missing_left THEN ms ELSE 0 END AS nl_s, ln + CASE WHEN missing_left THEN mn ELSE 0 END AS nl
+  FROM hw{tag}, (SELECT unnest([true, false]) AS missing_left) WHERE bin >= 0),
+hg{tag} AS (SELECT node, col, bin, missing_left, tn AS n, nl AS n_left, {gain} AS gain FROM hc{tag} WHERE nl > 0 AND nl < tn)"""
+
+
+def hist_best(by: str, tag: str) -> str:
+    return f"""hb{tag} AS MATERIALIZED (SELECT * FROM hg{tag} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY -round(gain, 9), col, bin, NOT missing_left) = 1)"""
+
+
+def hist_tree(t: int, depth: int, rate: float) -> str:
+    parts = [f"hn{t}_0 AS MATERIALIZED (SELECT row_id, label, f, b, 1 AS node, label / (1 + exp(label * f)) AS res FROM ht{t})"]
+    for d in range(depth):
+        tag = f"{t}_{d}"
+        parts += [hist_gains(f"hn{tag}", tag), hist_best("node", tag)]
+        parts += [f"""hn{t}_{d + 1} AS MATERIALIZED (SELECT row_id, label, f, b, CASE WHEN gain IS NULL OR gain <= 1e-9 THEN node WHEN {LEFT} THEN 2 * node ELSE 2 * node + 1 END AS node, res
+  FROM hn{tag} LEFT JOIN hb{tag} USING (node))"""]
+    parts += [f"""ht{t + 1} AS MATERIALIZED (SELECT row_id, label, f + {rate} * avg(res) OVER (PARTITION BY node) AS f, b FROM hn{t}_{depth})"""]
+    return ", ".join(parts)
+
+
+ORACLES["hist_best_split"] = f"""WITH {BINNED}, hn AS (SELECT 1 AS node, label / (1 + exp(label * f)) AS res, b FROM ht0), {hist_gains('hn', '')}, {hist_best('node, col', '')}
+SELECT CAST(col AS BIGINT) AS col, CAST(bin AS BIGINT) AS bin, missing_left, CAST(n AS BIGINT) AS n, CAST(n_left AS BIGINT) AS n_left, {r('gain')} AS gain FROM hb"""
+ORACLES["ctr_boosted"] = f"""WITH {BINNED}, {hist_tree(0, 3, 0.5)}, {hist_tree(1, 3, 0.5)} SELECT row_id, label, {r('f')} AS score FROM ht2"""

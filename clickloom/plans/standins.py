@@ -191,6 +191,21 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NUMBERS = ["price", "balance", "month"]
+
+
+def numeric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click log with numeric columns: labels -1/+1, and no balance where it is negative."""
+    balance = F.col("balance_text").cast("double")
+    return click_log(spark, sf_dir).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("click") == 1, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("label"),
+        F.col("price_text").cast("double").alias("price"),
+        F.when(balance >= 0, balance).alias("balance"),
+        F.col("month").cast("double").alias("month"),
+    )
+
+
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows from lineitem: returned or not, scored by the net price."""
     net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
