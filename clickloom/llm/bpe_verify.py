@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.cells import SPACE, Texts, no_cycles, owner, settle, slices, worker_state
-from clickloom.llm.runs import RunMemo, holding
+from clickloom.llm.cells import SPACE, Texts, no_cycles, settle, slices, worker_state
+from clickloom.llm.runs import RunMemo, holding, listed, parted
 
 MEMO = 250_000
 MEMO_BYTES = 96 << 20  # of one generation of runs, and of the words; keys and dict entries included
@@ -281,19 +281,35 @@ class Encoder:
             self._turn()
         return out
 
-    def _valued(self, texts: list[str], leads=None) -> list[list[bytes]]:
+    def _valued(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and shown text of each run; a blank follows what is shown."""
         ids, shown = self._encode(texts)
-        return [ids, [f"{s} ".encode() if s else b"" for s in shown]]
+        return [listed(ids, "<u4"), listed([f"{s} ".encode() if s else b"" for s in shown], np.uint8)]
+
+    def _learn_runs(self, texts: Texts, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`_valued`, for runs of which most are one word of ASCII letters."""
+        raw = texts.raw.tobytes()
+        runs = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        plain = [r.isascii() and r.isalpha() for r in runs]
+        words = [r.lower() for r, ok in zip(runs, plain) if ok]
+        new = dict.fromkeys(words)
+        shown = self.texts
+        for w, ids in zip(new, self.encode_words(list(new))[0]):
+            new[w] = pack(f"<{len(ids)}I", *ids), (" ".join([shown[t] for t in ids]) + " ").encode()
+        found = iter([new[w] for w in words])
+        rest = [r for r, ok in zip(runs, plain) if not ok]
+        ids, texts_shown = self._encode(rest) if rest else ([], [])
+        others = iter([(i, f"{s} ".encode() if s else b"") for i, s in zip(ids, texts_shown)])
+        values = [next(found) if ok else next(others) for ok in plain]
+        return [listed([v[0] for v in values], "<u4"), listed([v[1] for v in values], np.uint8)]
 
     def encode_slice(self, texts: Texts) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Ids, and bytes of the decoded text, of all texts one after the other, each with its number in every text."""
         whole = holding(texts, [s.encode() for s in self.special])
-        start, end, ptr = texts.runs(~SPACE)
-        doc = owner(ptr)
+        start, end, doc = parted(texts, *texts.runs(~SPACE)[:2])
         cut = ~whole[doc]
         with no_cycles():
-            ids, (shown, size) = self.runs.gather(texts, start[cut], end[cut], doc[cut], None, np.flatnonzero(whole), self._valued, self._valued)
+            ids, (shown, size) = self.runs.gather(texts, start[cut], end[cut], doc[cut], np.zeros(int(cut.sum()), bool), np.flatnonzero(whole), self._learn_runs, self._valued)
         keep = np.ones(len(shown), bool)
         keep[np.cumsum(size)[size > 0] - 1] = False  # no blank after the last one
         return ids, (shown[keep], size - (size > 0))

@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from clickloom.llm.cells import Texts, no_cycles, owner, settle, worker_state
-from clickloom.llm.runs import RunMemo, holding
+from clickloom.llm.cells import Texts, no_cycles, settle, worker_state
+from clickloom.llm.runs import RunMemo, holding, listed, parted, ragged
 
 MEMO = 200_000
 MEMO_BYTES = 48 << 20  # of one generation of one memo, keys and dict entries included
 SLICE = 4 << 20  # bytes of text at a time
 RUN_BYTES = 32 << 20  # of the memo of runs
 _FEW = 4 << 20  # bytes of the memos below it, which only meet what is new there
+_JOINED = 1 << 20  # bytes of runs that are encoded as one text
 _NO_BLANK = np.arange(256) != 32
 #: Bytes that begin no visible character after a blank (ASCII white space), and first bytes of those that may not.
 _WHITE_NEXT = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
@@ -182,14 +183,34 @@ class PieceEncoder:
     def encode_slice(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their number in each text."""
         whole = self._whole_only(texts)
-        start, end, ptr = texts.runs(_NO_BLANK)
-        doc = owner(ptr)
+        start, end, doc = parted(texts, *texts.runs(_NO_BLANK)[:2])
         cut = ~whole[doc]
         start, end, doc = start[cut], end[cut], doc[cut]
-        lead = start > texts.offs[doc]  # a blank stands before it
-        learn = lambda runs, leads: [self.encode([" " + r if b else r for r, b in zip(runs, leads.tolist())])]
+        lead = (start > texts.offs[doc]) & (texts.raw[start - 1] == 32)  # a blank stands before it
+        whole_ids = lambda some: [listed(self._whole(some), self.kind)]
+        return self.runs.gather(texts, start, end, doc, lead, np.flatnonzero(whole), self._learn_runs, whole_ids)[0]
+
+    def _learn_runs(self, texts: Texts, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of runs. Those after a blank are encoded together with their blanks: the pre-tokenizer cuts before each of them."""
+        size = np.zeros(len(start), np.int64)
+        led = np.flatnonzero(lead)
+        begin, bytes_ = start[led] - 1, end[led] - start[led] + 1
+        ids, at = [], np.concatenate([[0], np.cumsum(bytes_)])
+        cuts = [*dict.fromkeys(np.searchsorted(at, np.arange(0, at[-1], _JOINED)).tolist()), len(led)] if len(led) else []
+        for a, b in zip(cuts, cuts[1:]):
+            text = ragged(texts.raw, begin[a:b], bytes_[a:b]).tobytes().decode()
+            ids.append(np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind))
+        flat = np.concatenate(ids) if ids else np.empty(0, self.kind)
+        ends = np.searchsorted(np.cumsum(self.sizes[flat]), at[1:]) + 1
+        size[led] = np.diff(ends, prepend=0)
+        heads = np.flatnonzero(~lead)
+        if not len(heads):
+            return [(flat, size)]
         with no_cycles():
-            return self.runs.gather(texts, start, end, doc, lead, np.flatnonzero(whole), learn, lambda some: [self._whole(some)])[0]
+            own, size[heads] = listed(self.encode([texts.raw[a:b].tobytes().decode() for a, b in zip(start[heads].tolist(), end[heads].tolist())]), self.kind)
+        out, where = np.empty(len(flat) + len(own), self.kind), np.repeat(lead, size)
+        out[where], out[~where] = flat, own
+        return [(out, size)]
 
     def _turn(self, lead: str) -> None:
         """Begin a new generation; the last one stays readable unless it is too large, and what is met again moves on."""

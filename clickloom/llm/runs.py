@@ -18,24 +18,22 @@ from clickloom.llm.cells import LONG, Texts, mix
 _LEAD = np.uint64(0xD1B54A32D192ED03)  # odd: tells apart runs by what stands before them
 
 
+def united(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Different values of two rising arrays."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 def ragged(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The parts of ``pool`` one after the other."""
     total = int(size.sum())
     return pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
-class Values:
-    """Parts of one array that grows."""
-
-    def __init__(self, kind):
-        self.pool = np.empty(0, kind)
-
-    def add(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(values), self.pool.dtype)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.pool.dtype.itemsize
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, data])
-        return begin, size
+def listed(values: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values one after the other, and the size of each."""
+    kind = np.dtype(kind)
+    return np.frombuffer(b"".join(values), kind), np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
 
 
 class RunMemo:
@@ -47,66 +45,85 @@ class RunMemo:
 
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.values = [Values(k) for k in self.kinds]
+        self.pools = [np.empty(0, k) for k in self.kinds]
         self.parts = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in self.kinds]  # begin and size of each key's value
 
     @property
     def held(self) -> int:
-        return sum(v.pool.nbytes for v in self.values) + len(self.keys) * 8 * (1 + 2 * len(self.kinds))
+        return sum(p.nbytes for p in self.pools) + len(self.keys) * 8 * (1 + 2 * len(self.kinds))
 
-    def gather(self, texts: Texts, start: np.ndarray, end: np.ndarray, doc: np.ndarray, lead: np.ndarray | None, whole: np.ndarray, learn: Callable, learn_whole: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
+    def gather(self, texts: Texts, start: np.ndarray, end: np.ndarray, doc: np.ndarray, lead: np.ndarray, whole: np.ndarray, learn: Callable, learn_whole: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
         """(values of all texts, number of each text's) per kind.
 
-        ``start, end, doc`` are the runs in order, ``whole`` the texts without runs that are taken as they are. ``learn(runs, leads)`` and
-        ``learn_whole(texts)`` give a list of bytes per kind.
+        ``start, end, doc`` are the runs in order, ``lead`` says what stands before them, and ``whole`` are the texts without runs that are taken as they
+        are. ``learn(texts, start, end, lead)`` and ``learn_whole(list of str)`` give values and sizes per kind.
         """
         if self.held > self.budget:
             self._clear()
-        text = lambda a, b: texts.raw[a:b].tobytes().decode()
-        long = np.flatnonzero(end - start > LONG)
-        short = np.flatnonzero(end - start <= LONG)
-        h = texts.hashes(start[short], end[short])
-        if lead is not None:
-            h = mix(h + lead[short].astype(np.uint64) * _LEAD)
+        rare = end - start > LONG
+        short, long = np.flatnonzero(~rare), np.flatnonzero(rare)
+        h = mix(texts.hashes(start[short], end[short]) + lead[short].astype(np.uint64) * _LEAD)
         coded = pa.array(h).dictionary_encode()
         code, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         at = np.searchsorted(self.keys, own)
-        new = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != own)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != own) if len(self.keys) else np.arange(len(own))
+        if len(self.keys):
+            new = united(new, np.flatnonzero(at == len(self.keys)))
         if len(new):
             first = np.empty(len(own), np.int64)
-            first[code[::-1]] = short[::-1]  # a run with each code
-            picked = first[new]
-            found = learn([text(a, b) for a, b in zip(start[picked].tolist(), end[picked].tolist())], None if lead is None else lead[picked])
-            keys = np.concatenate([self.keys, own[new]])
+            first[code[::-1]] = short[::-1]  # the first run of each code
+            picked = np.sort(first[new])
+            fresh = own[code[np.searchsorted(short, picked)]]
+            keys = np.concatenate([self.keys, fresh])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
-            for k, (values, got) in enumerate(zip(self.values, found)):
-                begin, size = values.add(got)
+            for k, (values, size) in enumerate(learn(texts, start[picked], end[picked], lead[picked])):
+                begin = len(self.pools[k]) + np.cumsum(size) - size
+                self.pools[k] = np.concatenate([self.pools[k], values])
                 self.parts[k] = tuple(np.concatenate(x)[order] for x in zip(self.parts[k], (begin, size)))
             at = np.searchsorted(self.keys, own)
-        rare = [[] for _ in self.kinds]
+        extra = []
         if len(long):
-            rare = learn([text(a, b) for a, b in zip(start[long].tolist(), end[long].tolist())], None if lead is None else lead[long])
+            extra.append(learn(texts, start[long], end[long], lead[long]))
         if len(whole):
-            rare = [a + b for a, b in zip(rare, learn_whole([text(texts.offs[i], texts.offs[i + 1]) for i in whole.tolist()]))]
+            extra.append(learn_whole([texts.raw[texts.offs[i] : texts.offs[i + 1]].tobytes().decode() for i in whole.tolist()]))
         place = np.empty(len(start) + len(whole), np.int64)
-        place[short] = at[code] if len(short) else at[:0]
+        if len(short):
+            place[short] = at[code]
         place[np.append(long, len(start) + np.arange(len(whole)))] = len(self.keys) + np.arange(len(long) + len(whole))
         owner = np.append(doc, whole)
-        order = np.argsort(owner, kind="stable")
+        if len(whole):
+            order = np.argsort(owner, kind="stable")
+            place, owner = place[order], owner[order]
         out = []
-        for values, parts, got in zip(self.values, self.parts, rare):
-            pool, (begin, size) = values.pool, parts
-            if got:
-                extra = Values(pool.dtype)
-                more = extra.add(got)
-                begin, size = np.append(begin, len(pool) + more[0]), np.append(size, more[1])
-                pool = np.concatenate([pool, extra.pool])
-            begin, size = begin[place[order]], size[place[order]]
-            out.append((ragged(pool, begin, size), np.bincount(owner[order], weights=size, minlength=texts.n).astype(np.int64)))
+        for k, (pool, (begin, size)) in enumerate(zip(self.pools, self.parts)):
+            for values, sizes in (e[k] for e in extra):
+                begin, size = np.append(begin, len(pool) + np.cumsum(sizes) - sizes), np.append(size, sizes)
+                pool = np.concatenate([pool, values])
+            size = size[place]
+            out.append((ragged(pool, begin[place], size), np.bincount(owner, weights=size, minlength=texts.n).astype(np.int64)))
         return out
 
 
+def _classes() -> np.ndarray:
+    out = np.zeros(256, np.int8)
+    for k, chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"0123456789", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), start=1):
+        out[list(chars)] = k
+    return out
+
+
+#: ASCII letters, digits and marks; 0: the apostrophe (of contractions), controls and bytes of other characters.
+_CLASS = _classes()
+
+
+def parted(texts: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut where ASCII letters, digits and marks meet, which pre-tokenizers always part; start, end and text of each."""
+    kind = _CLASS[texts.raw]
+    meet = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    start, end = united(start, meet), united(end, meet)
+    return start, end, np.searchsorted(texts.offs, start, "right") - 1
+
+
 def holding(texts: Texts, marks: list[bytes]) -> np.ndarray:
     """Whether each text holds one of the marks."""
     out, data = np.zeros(texts.n, bool), texts.raw.tobytes() if marks else b""

@@ -75,7 +75,7 @@ def test_run_memo_is_bounded_and_exact():
         want = [e.ids for e in WORD_LIB.encode_batch(docs, add_special_tokens=False)]
         assert words.encode_slice(texts)[0][0].tolist() == sum(want, [])
         assert pieces.encode_slice(texts)[0].tolist() == sum([e.ids for e in BYTE_LIB.encode_batch(docs, add_special_tokens=False)], [])
-        assert words.runs.held < 100_000 and pieces.runs.held < 100_000
+        assert words.runs.held < 200_000 and pieces.runs.held < 200_000  # the budget and what one slice brings
 
 
 def test_speculation_and_exact_merging_agree(words):
