@@ -32,7 +32,7 @@ from clickloom.plans import standins as tables
 from clickloom.session import cut_lineage, scratch_path
 from clickloom.sources import store, text
 from clickloom.sources.buckets import BucketStore
-from clickloom.streaming import features as stream_features
+from clickloom.streaming import features as stream_features, keyed
 from clickloom.streaming.learner import StateTable, learner
 from clickloom.streaming.source import run_available, table_stream
 
@@ -811,6 +811,32 @@ def stream_ftrl(spark, sf_dir):
     return _state_rows(state.latest())
 
 
+@query
+def stream_ftrl_per_key(spark, sf_dir):
+    path = _folder(spark, "stream_per_key")
+    kv = BucketStore(spark, f"{path}/models", buckets=8)
+    rows = tables.event_rows(_event_stream(spark, sf_dir)).withColumn("values", F.transform("features", lambda f: F.lit(1.0)))
+    changes = keyed.ftrl_by_key(rows, "entity_id", "row_id", LINEAR_RATES["linear"])
+    run_available(changes.writeStream.outputMode("update").foreachBatch(keyed.model_sink(kv)), f"{path}/checkpoint")
+    return online.average_keys(keyed.models(kv)).select("model_key", "feature", tidy(F.col("w")).alias("w"))
+
+
+@query
+def stream_training_rows(spark, sf_dir):
+    """Both logs delivered twice; lists that may still be clicked are not released."""
+    path = _folder(spark, "stream_training")
+    events = tables.with_session(_event_stream(spark, sf_dir)).withColumn("at", F.col("ts").cast("timestamp"))
+    twice = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    keys = ["list_session_id", "user_id"]
+    views = twice.filter("event_type = 'view'").select(*keys, F.date_trunc("day", "at").alias("shown_at"))
+    hits = twice.filter("event_type = 'click'").select(*keys, F.col("event_id").alias("click_id"), F.col("at").alias("clicked_at"))
+    rows = stream_features.training_rows(views, hits, keys, "click_id", within="24 hours")
+    writer = rows.select(*keys, "click_id", "label").writeStream.format("parquet").option("path", f"{path}/rows")
+    run_available(writer.outputMode("append"), f"{path}/checkpoint")
+    out = spark.read.schema("list_session_id string, user_id long, click_id long, label double").parquet(f"{path}/rows")
+    return out.withColumn("click_id", F.coalesce(F.col("click_id").cast("string"), F.lit("")))
+
+
 @query
 def stream_frequency(spark, sf_dir):
     path = _folder(spark, "stream_frequency")

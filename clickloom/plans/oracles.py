@@ -461,6 +461,13 @@ FROM events GROUP BY ALL"""
 ORACLES["stream_imp_click"] = """WITH e AS (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS list_session_id, user_id, event_id, event_type FROM events)
 SELECT list_session_id, user_id, event_id AS click_id FROM e WHERE event_type = 'click'
 AND list_session_id IN (SELECT list_session_id FROM e WHERE event_type = 'view')"""
+ORACLES["stream_training_rows"] = """WITH e AS (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS list_session_id, user_id, event_id, event_type, ts, date_trunc('day', ts) AS d FROM events),
+v AS (SELECT DISTINCT list_session_id, user_id, d FROM e WHERE event_type = 'view'),
+c AS (SELECT list_session_id, user_id, event_id AS click_id FROM e WHERE event_type = 'click'),
+seen AS (SELECT least((SELECT CAST(max(d) AS TIMESTAMP) FROM v), (SELECT CAST(max(ts) AS TIMESTAMP) FROM e WHERE event_type = 'click')) - INTERVAL 1 DAY AS mark)
+SELECT list_session_id, user_id, CAST(click_id AS VARCHAR) AS click_id, CAST(1 AS DOUBLE) AS label FROM v JOIN c USING (list_session_id, user_id)
+UNION ALL SELECT list_session_id, user_id, '', CAST(0 AS DOUBLE) FROM v, seen
+WHERE d + INTERVAL 1 DAY < mark AND list_session_id NOT IN (SELECT list_session_id FROM c)"""
 STREAM_RQ = """rq AS (SELECT uid AS user_id, e.sid || '_' || e.event_id AS list_session_id, t AS timestamp, string_split(feat_id_list, ',') AS ids
   FROM (SELECT user_id || '_' || strftime(ts, '%Y%m%d') AS sid, CAST(user_id AS VARCHAR) AS uid, event_id,
     CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t FROM events WHERE event_type = 'view') e JOIN lists USING (sid)),"""
@@ -651,6 +658,8 @@ SELECT feature, {r('sum(w * t) / sum(t)')} AS w, {r('sum(v0 * t) / sum(t)')} AS
 FROM st JOIN last USING (grp, t) GROUP BY feature"""
 
 
+ORACLES["stream_ftrl_per_key"] = ORACLES["ftrl_per_user"]
+
 # trees on numeric columns
 
 NUMBERS = ("price", "balance", "month")

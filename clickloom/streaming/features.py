@@ -65,3 +65,22 @@ def join_impressions_clicks(
     for k in keys:
         joined = joined.drop(F.col(f"c.{k}"))
     return joined
+
+
+def training_rows(
+    impressions: DataFrame, clicks: DataFrame, keys: list[str], click_id: str, within: str = "1 hour", lateness: str = "1 day"
+) -> DataFrame:
+    """Labeled rows from two logs that may deliver a row more than once: label 1 for each click on a list, 0 for a list without one.
+
+    Repeated deliveries are dropped as long as they come within ``lateness`` of each other. A list without a click is
+    released once the watermark says that no click within ``within`` can come any more. Needs ``keys``, ``shown_at``, ``clicked_at`` as
+    :func:`join_impressions_clicks`.
+    """
+    shown = impressions.withWatermark("shown_at", lateness).dropDuplicatesWithinWatermark([*keys, "shown_at"]).alias("i")
+    clicked = clicks.withWatermark("clicked_at", lateness).dropDuplicatesWithinWatermark([click_id]).alias("c")
+    condition = (F.col("clicked_at") >= F.col("shown_at")) & (F.col("clicked_at") <= F.col("shown_at") + F.expr(f"INTERVAL {within}"))
+    for k in keys:
+        condition = condition & (F.col(f"i.{k}") == F.col(f"c.{k}"))
+    joined = shown.join(clicked, condition, "left_outer")
+    label = F.when(F.col(click_id).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+    return joined.select(*[F.col(f"i.{k}") for k in keys], "shown_at", click_id, label.alias("label"))
