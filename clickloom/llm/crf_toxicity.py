@@ -2,11 +2,11 @@
 
 1. A bounded sample of labelled documents (``bound`` rows) is written once. From it comes a lexicon of
    features (whole words and word beginnings) that are far more frequent in toxic than in clean
-   documents: at most ``lexicon`` of them.
+   documents: all that pass a test of significance.
 2. Tokens of toxic sample documents that carry a telling feature are labelled toxic, all others clean.
    Windows of tokens around lexicon hits are the training sequences of the field: weights for lexicon
    features, a bias, transitions between the two tags and start weights, fitted by gradient steps on
-   the log-likelihood.
+   the log-likelihood, which take all windows in turn.
 3. Every document is tagged: forward and backward messages give the probability of the toxic tag at
    each token, in blocks of the whole batch (products of 2 x 2 matrices per block, then one scan over
    the blocks), so the result is exact and no document is cut.
@@ -19,7 +19,8 @@ not inputs of a score.
 
 Cases: null and empty texts have no tokens, no spans and the score of a document without toxic tokens.
 Repeated rows are scored row by row; several labels of a key count by majority (1 in a tie). Null keys
-are scored, never learnt from. Without labels of both classes every score is 0. Empty tables give no rows.
+are scored, never learnt from. Without labels of both classes, or where no feature passes the test (few labelled rows), every score
+is 0 and there are no spans. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +37,7 @@ from clickloom.session import scratch_path
 
 FOLDS, HELD_OUT = 5, 0
 BOUND = 20_000
-LEXICON = 4_096
-WINDOWS = 12_000
+BATCH = 12_000  # windows of a gradient step
 EVIDENCE = 24.0
 PREFIXES = (4, 5, 6, 7)  # bytes
 KINDS = len(PREFIXES) + 1
@@ -171,10 +171,15 @@ def fit_field(lexicon: Lexicon, ids: np.ndarray, tags: np.ndarray, mask: np.ndar
     size = len(lexicon.keys)
     theta = np.zeros(size + 1 + 1 + 4 + 2)
     theta[size + 1] = -2.0
-    n, length = tags.shape
-    lens = mask.sum(axis=1)
+    every, length = tags.shape
+    turn = np.random.default_rng(8).permutation(every)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, steps + 1):
+    all_ids, all_tags, all_mask = ids, tags, mask
+    for t in range(1, max(steps, -(-every // BATCH)) + 1):
+        if every > BATCH or t == 1:
+            some = turn[np.arange((t - 1) * BATCH, (t - 1) * BATCH + min(BATCH, every)) % every]
+            ids, tags, mask = all_ids[some], all_tags[some], all_mask[some]
+            lens, n = mask.sum(axis=1), len(some)
         w = theta[: size + 1].copy()
         w[size] = 0.0
         trans, start = np.exp(theta[size + 2 : size + 6].reshape(2, 2)), np.exp(theta[size + 6 :])
@@ -195,9 +200,8 @@ def fit_field(lexicon: Lexicon, ids: np.ndarray, tags: np.ndarray, mask: np.ndar
             b[i] = cur
         post = f * b
         post /= post.sum(axis=2, keepdims=True)
-        g = np.zeros_like(theta)
         error = (post[:, :, 1].T - tags) * mask
-        np.add.at(g, ids.ravel(), np.repeat(error.ravel(), ids.shape[2]))
+        g = np.bincount(ids.ravel(), weights=np.repeat(error.ravel(), ids.shape[2]), minlength=len(theta))
         g[size] = 0.0
         g[size + 1] = error.sum()
         pair = f[:-1, :, :, None] * trans[None, None] * (emit[1:] * b[1:])[:, :, None, :]
@@ -216,7 +220,7 @@ def fit_field(lexicon: Lexicon, ids: np.ndarray, tags: np.ndarray, mask: np.ndar
     return Field(lexicon, w, float(theta[size + 1]), theta[size + 2 : size + 6].reshape(2, 2), theta[size + 6 :])
 
 
-def _lexicon(sample: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Telling features and their log odds, from document frequencies of the sample."""
 
     def count(batches):
@@ -242,14 +246,14 @@ def _lexicon(sample: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     chosen = (
         df.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .filter(F.col("t") >= 4).withColumn("odds", odds).filter("odds >= 1.2").filter(ratio >= EVIDENCE)
-        .orderBy(F.desc(F.col("t") * F.col("odds")), "f").limit(size).collect()
-    )
+        .collect()
+    )  # fmt: skip  # bounded by the words of the sample
     keys = np.array([r["f"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r["odds"] for r in chosen])[order]
 
 
-def _windows(sample: DataFrame, lexicon: Lexicon, telling: np.ndarray, bound: int):
+def _windows(sample: DataFrame, lexicon: Lexicon, telling: np.ndarray):
     """Training sequences: windows around lexicon hits, tagged by telling features and the document's label."""
     size = len(lexicon.keys)
     strong = np.append(telling, False)
@@ -269,18 +273,17 @@ def _windows(sample: DataFrame, lexicon: Lexicon, telling: np.ndarray, bound: in
                         continue
                     a, b = max(int(first[h]), h - NEAR), min(int(last[h]), h - NEAR + LENGTH)
                     done = b - NEAR - 1 if b < last[h] else b - 1
-                    rows.append((ids[a:b].ravel().tolist(), tag[a:b].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int8()))], names=["ids", "tags"])
+                    rows.append((ids[a:b].astype("<i4").tobytes(), tag[a:b].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in range(2)], names=["ids", "tags"])
 
     path = scratch_path(sample.sparkSession, "crf-windows")
-    sample.select("_text", "_label").mapInArrow(run, "ids array<int>, tags array<tinyint>").write.parquet(path)
-    found = sample.sparkSession.read.parquet(path).withColumn("_h", F.xxhash64("ids", "tags", F.monotonically_increasing_id()))
-    table = thinned(found, "_h", bound, "windows").toArrow()
-    tags, mask = np.zeros((table.num_rows, LENGTH)), np.zeros((table.num_rows, LENGTH), bool)
+    sample.select("_text", "_label").mapInArrow(run, "ids binary, tags binary").write.parquet(path)
+    table = sample.sparkSession.read.parquet(path).toArrow()  # bounded by the sample
+    tags, mask = np.zeros((table.num_rows, LENGTH), np.float32), np.zeros((table.num_rows, LENGTH), bool)
     ids = np.full((table.num_rows, LENGTH, KINDS), size, np.int32)
     for i, (a, b) in enumerate(zip(table.column("ids").to_pylist(), table.column("tags").to_pylist())):
-        tags[i, : len(b)], mask[i, : len(b)] = b, True
-        ids[i, : len(b)] = np.reshape(a, (-1, KINDS))
+        tags[i, : len(b)], mask[i, : len(b)] = np.frombuffer(b, np.int8), True
+        ids[i, : len(b)] = np.frombuffer(a, "<i4").reshape(-1, KINDS)
     return ids, tags, mask
 
 
@@ -305,7 +308,7 @@ def _tag(texts: Texts, model: Field):
     return start, end, ptr, p
 
 
-def fit(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", bound: int = BOUND, lexicon: int = LEXICON, windows: int = WINDOWS) -> Field | None:
+def fit(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", bound: int = BOUND) -> Field | None:
     """Fit lexicon, field and document map on about ``bound`` labelled documents.
 
     The ids of the sample are broadcast (their number is bounded), so texts are not shuffled.
@@ -315,11 +318,11 @@ def fit(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "tex
     path = scratch_path(spark, "crf-sample")
     docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(ids, "_key").write.parquet(path)
     sample = spark.read.parquet(path)
-    keys, odds = _lexicon(sample, lexicon)
+    keys, odds = _lexicon(sample)
     if len(keys) == 0:
         return None
     found = Lexicon(keys)
-    sequences = _windows(sample, found, odds >= 1.5, windows)
+    sequences = _windows(sample, found, odds >= 1.5)
     if not len(sequences[0]):
         return None
     model = fit_field(found, *sequences)

@@ -85,3 +85,25 @@ def test_odd_tables(spark, tiny):
     assert by[None][0]["spans"][0]["start"] == 2
     assert crf.score_documents(tiny, labels.filter("toxic = 0")).select("score").distinct().collect()[0][0] == 0
     assert crf.score_documents(tiny.limit(0), labels).count() == 0
+
+
+def test_clean_slices_and_few_labels(spark, table, tiny):
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(120)], "doc_id bigint, toxic int")
+    model = crf.fit(tiny, crf.train_labels(labels, "doc_id", "toxic", crf.FOLDS, crf.HELD_OUT))
+    clean = table([(i, "nothing to see here") for i in range(80)]).coalesce(1)
+    rows = crf.tag(clean, model).collect()
+    assert len(rows) == 80 and all(r["spans"] == [] and r["score"] < 0.5 for r in rows)
+    one = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    assert crf.score_documents(tiny, one).agg({"score": "max"}).first()[0] == 0
+
+
+def test_small_steps_use_all_windows(monkeypatch):
+    rnd = np.random.default_rng(5)
+    lexicon = crf.Lexicon(np.arange(1, 4))
+    ids = rnd.integers(0, 4, (600, 6, crf.KINDS)).astype(np.int32)
+    tags = (ids == 0).any(axis=2).astype(float)
+    mask = np.ones((600, 6), bool)
+    full = crf.fit_field(lexicon, ids, tags, mask)
+    monkeypatch.setattr(crf, "BATCH", 100)
+    parts = crf.fit_field(lexicon, ids, tags, mask)
+    assert np.corrcoef(full.weights, parts.weights)[0, 1] > 0.99 and parts.weights.argmax() == 0
