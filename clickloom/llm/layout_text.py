@@ -50,7 +50,8 @@ IMPLIED = {
     **{t: (("tr", "td", "th", "caption", "thead", "tbody", "tfoot"), ("table",)) for t in ("thead", "tbody", "tfoot")},
     **{f"h{i}": (tuple(f"h{j}" for j in range(1, 7)), tuple(LINES)) for i in range(1, 7)},
 }
-_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
+#: A quote opens a value only right after the equals sign of an attribute.
+_TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*"|'[^']*'|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+)?+)?+)*+)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^ \t\n\r\f/][^ \t\n\r\f/=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f]*)))?""")
 _REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _DECLARED = re.compile(r"""(?:[^;"'(]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))++""")

@@ -44,6 +44,10 @@ def test_render(page, text):
 
 
 ATTRIBUTES = [
+    ("<p data-x=don't>one</p><p>two</p><p data-y=it's>three</p>", "one\n\ntwo\n\nthree"),
+    ('<div class="a"">Hello <b class="x">you</b> <i title="q"">z</i> end', "Hello you z end"),
+    ('<i title=a"b>x</i><i "stray" \'>y</i><i title = "p>q" /alt=\'>\'>z</i>', "xyz"),
+    ('<i title="open>a</i> b <i alt=\'>c</i>', "a b c"),
     ('<a title="The hidden cost of X">a</a>', "a"),
     ('<section aria-label="Hidden gems"><p>b</section>', "b"),
     ('<div class="hidden md:block">c</div>', "c"),
