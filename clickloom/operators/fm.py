@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid
 from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
+from clickloom.operators.history import note, observed
 from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
 from clickloom.operators.linear import count_rows
 from clickloom.session import BROADCAST_ROWS, cut_lineage
@@ -96,18 +97,19 @@ def _scored(joined: DataFrame, bias: Column, n_factors: int, loss: str) -> DataF
     return sums.withColumn("score", score).withColumn("m", multiplier(F.col("label"), score, loss))
 
 
-def _gradients(scored: DataFrame, n_factors: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def _gradients(scored: DataFrame, n_factors: int, keep: tuple[str, ...] = (), loss: str | None = None) -> DataFrame:
     """``(feature, gw, gv, rows)`` summed over the data; the bias row sums the multipliers.
 
-    A row's multiplier is spread over its features so that the bias needs no second pass.
+    A row's multiplier is spread over its features so that the bias needs no second pass; with ``loss`` its loss is, too (``part``).
     """
+    part = [F.sum(pointwise_loss(F.col("label"), F.col("score"), loss) / F.col("nnz")).alias("part")] if loss else []
     x = F.col("value")
     per_factor = [F.sum(F.col("m") * x * (F.col(f"s{k}") - _vx(k))).alias(f"g{k}") for k in range(n_factors)]
     features = scored.groupBy(*keep, "feature").agg(
-        F.sum(F.col("m") * x).alias("gw"), *per_factor, F.sum(F.col("m") / F.col("nnz")).alias("gb"), F.count("*").alias("rows")
+        F.sum(F.col("m") * x).alias("gw"), *per_factor, F.sum(F.col("m") / F.col("nnz")).alias("gb"), F.count("*").alias("rows"), *part
     )
     return features.select(
-        *keep, "feature", "gw", F.array(*[F.col(f"g{k}") for k in range(n_factors)]).alias("gv"), "gb", "rows"
+        *keep, "feature", "gw", F.array(*[F.col(f"g{k}") for k in range(n_factors)]).alias("gv"), "gb", "rows", *(["part"] if loss else [])
     )
 
 
@@ -156,16 +158,19 @@ def fit_gradient(
     lams: tuple[float, float, float] = (0.0, 0.0, 0.0),
     loss: str = "exp",
     broadcast_rows: int = BROADCAST_ROWS,
+    history: list | None = None,
 ) -> DataFrame:
-    """Full-batch gradient descent on the mean loss, step ``alpha / sqrt(t)``."""
+    """Full-batch gradient descent on the mean loss, step ``alpha / sqrt(t)``; ``history`` receives ``(iteration, mean loss before the step)``."""
     with by_row(examples.withColumn("nnz", per_row(F.lit(1.0)))) as arranged:
         current = cut_lineage(model if model is not None else initial_model(arranged, n_factors))
         rows = count_rows(arranged)
         join = ModelLookup(arranged, ["feature"], broadcast_rows // max(1, n_factors))
         for t in range(1, iterations + 1):
             scored = _scored(join.join(current), F.lit(_bias(current)), n_factors, loss)
-            grads = _gradients(scored, n_factors)
+            grads = _gradients(scored, n_factors, loss=loss if history is not None else None)
+            grads, seen = observed(grads, F.sum("part") / F.lit(float(rows)), history)
             current = cut_lineage(update(current, grads, alpha / t**0.5, lams, 1.0 / rows))
+            note(history, t, seen)
     return current
 
 

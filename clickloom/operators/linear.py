@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid, soft_threshold
 from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
+from clickloom.operators.history import note, observed
 from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
 from clickloom.operators.lbfgs import fit_lbfgs
 from clickloom.session import BROADCAST_ROWS, cut_lineage
@@ -54,10 +55,15 @@ def gradient(examples: DataFrame, weights: DataFrame, loss: str = "exp") -> Data
     return _gradient_of(lookup(examples, weights.select("feature", "w"), ["feature"]), loss)
 
 
-def _gradient_of(joined: DataFrame, loss: str, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
+def _gradient_of(joined: DataFrame, loss: str, keys: tuple[str, ...] = ("feature",), with_loss: bool = False) -> DataFrame:
+    """Summed gradient per key; ``with_loss`` adds ``part``: a row's loss, shared by its features, so that all parts make up the loss."""
     scored = _row_scores(joined)
     m = multiplier(F.col("label"), F.col("score"), loss)
-    return scored.groupBy(*keys).agg(F.sum(m * F.col("value")).alias("grad"), F.count("*").alias("rows"))
+    sums = [F.sum(m * F.col("value")).alias("grad"), F.count("*").alias("rows")]
+    if with_loss:
+        scored = scored.withColumn("_share", per_row(F.lit(1.0)))
+        sums.append(F.sum(pointwise_loss(F.col("label"), F.col("score"), loss) / F.col("_share")).alias("part"))
+    return scored.groupBy(*keys).agg(*sums)
 
 
 def proximal_step(w: Column, grad: Column, step: Column, lam: float, reg: str) -> Column:
@@ -93,7 +99,7 @@ def fit_gradient(
 ) -> DataFrame:
     """Full-batch proximal gradient descent, step ``alpha / sqrt(t)`` on the mean gradient.
 
-    ``history`` receives ``(iteration, mean loss before the step)``.
+    ``history`` receives ``(iteration, mean loss before the step)``, observed while the step is computed.
     """
     _check_reg(reg)
     with by_row(examples) as arranged:
@@ -101,20 +107,13 @@ def fit_gradient(
         rows = count_rows(arranged)
         model = ModelLookup(arranged, ["feature"], broadcast_rows)
         for t in range(1, iterations + 1):
-            joined = model.join(w)
-            if history is not None:
-                history.append((t, _mean_loss(joined, loss)))
-            grads = _gradient_of(joined, loss)
+            grads = _gradient_of(model.join(w), loss, with_loss=history is not None)
+            grads, seen = observed(grads, F.sum("part") / F.lit(float(rows)), history)
             w = cut_lineage(update(w, grads, alpha / t**0.5, lam, reg, scale=1.0 / rows))
+            note(history, t, seen)
     return w
 
 
-def _mean_loss(joined: DataFrame, loss: str) -> float:
-    total = F.sum(_term()) + (F.max("offset") if "offset" in joined.columns else F.lit(0.0))
-    rows = joined.groupBy("row_id", "label").agg(total.alias("score"))
-    return rows.agg(F.avg(pointwise_loss(F.col("label"), F.col("score"), loss))).first()[0]
-
-
 def curvature(arranged: DataFrame, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
     """Separable upper bound of the logistic Hessian: ``sum_i |x_ij| sum_j' |x_ij'| / 4``."""
     mass = F.abs("value") * per_row(F.abs("value")) / F.lit(4.0)
@@ -133,6 +132,7 @@ def fit_majorized(
     tol: float = 1e-6,
     broadcast_rows: int = BROADCAST_ROWS,
     placed: bool = False,
+    history: list | None = None,
 ) -> DataFrame:
     """Minimise mean loss + lam/2 |w|^2 (or lam |w|_1) without a step size.
 
@@ -154,8 +154,8 @@ def fit_majorized(
             start = bound.select(*on).join(weights.select(*on, "w"), on, "left").fillna(0.0, ["w"])
         w = cut_lineage(start)
         model = ModelLookup(arranged, on, broadcast_rows)
-        for _ in range(iterations):
-            grads = _gradient_of(model.join(w), loss, keys).drop("rows")
+        for t in range(1, iterations + 1):
+            grads = _gradient_of(model.join(w), loss, keys, history is not None).drop("rows")
             d, g, old = F.col("curve") / F.col("rows"), F.col("grad") / F.col("rows"), F.col("w")
             if reg == "l2":
                 new = (d * old - g) / (d + F.lit(lam))
@@ -163,8 +163,9 @@ def fit_majorized(
                 new = soft_threshold(old - g / d, F.lit(lam) / d)
             if reg == "l1" or lam == 0:  # a feature of zeros only has no curvature and stays where it is
                 new = F.when(d > 0, new).otherwise(old)
-            joined = w.join(bound, on).join(grads, on)
+            joined, seen = observed(w.join(bound, on).join(grads, on), F.sum(F.col("part") / F.col("rows")), history)
             moved = cut_lineage(joined.select(*on, new.alias("w"), F.abs(new - old).alias("move")))
+            note(history, t, seen)
             w = moved.select(*on, "w")
             if moved.agg(F.max("move")).first()[0] <= tol:
                 break

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.functions.expr import log_odds
+from clickloom.functions.expr import log_odds, logistic_loss
+from clickloom.operators.history import note, observed
 from clickloom.session import cut_lineage
 
 ROOT = 1
@@ -113,15 +114,17 @@ def grow_tree(rows: DataFrame, depth: int, min_gain: float = 1e-9) -> Tree:
     return Tree(levels, {r["node"]: r["value"] for r in leaves})
 
 
-def fit_boosted(examples: DataFrame, iterations: int = 10, depth: int = 3, rate: float = 1.0) -> tuple[float, list[Tree]]:
-    """Boosting on log-loss residuals: ``f += rate * tree`` from the prior log-odds."""
+def fit_boosted(examples: DataFrame, iterations: int = 10, depth: int = 3, rate: float = 1.0, history: list | None = None) -> tuple[float, list[Tree]]:
+    """Boosting on log-loss residuals: ``f += rate * tree`` from the prior log-odds; ``history`` receives ``(iteration, mean loss before the tree)``."""
     packed = cut_lineage(pack_features(examples))
     bias = prior(packed).first()["bias"]
     if bias is None:
         raise ValueError("both classes are needed")
     state, trees = packed.withColumn("f", F.lit(bias)), []
-    for _ in range(iterations):
-        current = cut_lineage(state.withColumn("residual", residual(F.col("label"), F.col("f"))))
+    for t in range(1, iterations + 1):
+        current, seen = observed(state.withColumn("residual", residual(F.col("label"), F.col("f"))), F.avg(logistic_loss(F.col("label"), F.col("f"))), history)
+        current = cut_lineage(current)
+        note(history, t, seen)
         tree = grow_tree(current, depth)
         trees.append(tree)
         state = current.drop("residual").withColumn("f", F.col("f") + F.lit(rate) * tree.value())

@@ -14,6 +14,7 @@ from clickloom.operators import (
     features,
     fm,
     graph,
+    history,
     histtrees,
     linear,
     matrix,
@@ -406,6 +407,19 @@ def lr_sgd_avg(spark, sf_dir):
     return out.select("feature", tidy(F.col("w")).alias("w"))
 
 
+@query
+def loss_history(spark, sf_dir):
+    """Mean loss before each of two iterations of four trainers."""
+    examples = tables.event_examples(spark, sf_dir)
+    found = {name: [] for name in ("gradient", "majorized", "fm", "boosted")}
+    linear.fit_gradient(examples, iterations=2, alpha=0.5, lam=0.1, history=found["gradient"])
+    linear.fit_majorized(examples, iterations=2, lam=0.01, tol=0.0, history=found["majorized"])
+    fm.fit_gradient(examples, n_factors=N_FACTORS, iterations=2, alpha=0.5, history=found["fm"])
+    trees.fit_boosted(examples, iterations=2, depth=2, history=found["boosted"])
+    out = history.history_table(spark, found)
+    return out.select("trainer", "iteration", tidy(F.col("loss")).alias("loss"))
+
+
 @query
 def lr_lbfgs(spark, sf_dir):
     out = linear.fit_lbfgs(tables.event_examples(spark, sf_dir), lam=0.01, tol=1e-8)

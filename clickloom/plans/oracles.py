@@ -591,6 +591,22 @@ ORACLES["boosted_fit"] = f"""WITH {RESIDUAL}, y0 AS (SELECT row_id, label, ln(p
 {tree_round(0)}, {tree_round(1)}, {tree_round(2)} SELECT row_id, label, {r('f')} AS score FROM y3"""
 
 
+MEAN = "avg(ln(1 + exp(-label * s)))"
+HISTORIES = {
+    "gradient": [f"WITH {SCORED} SELECT {MEAN} AS loss FROM scored", f"""WITH {GRADS}, w1 AS (SELECT feature, w - 0.5 * (g / {N} + 0.1 * w) AS w FROM w0 JOIN grads USING (feature)),
+{next_scores('w1', 's1')} SELECT {MEAN} AS loss FROM s1"""],
+    "majorized": ["SELECT ln(CAST(2 AS DOUBLE)) AS loss", f"""WITH {W0.replace(hash_weight('feature'), 'CAST(0 AS DOUBLE)')}, d AS (SELECT feature, count(*) * CAST(0.75 AS DOUBLE) / {N} AS d FROM ex GROUP BY feature),
+{next_scores('w0', 's0')}, {next_grads('s0', 'g0')}, w1 AS (SELECT feature, (d * w - g / {N}) / (d + 0.01) AS w FROM w0 JOIN d USING (feature) JOIN g0 USING (feature)),
+{next_scores('w1', 's1')} SELECT {MEAN} AS loss FROM s1"""],
+    "fm": [f"""WITH {FM_START}, {', '.join(fm_descent(i, 0.5) for i in range(t))}{', ' if t else ''}{fm_step(t)}
+SELECT avg(ln(1 + exp(-label * (b + lin + 0.5 * (s0 * s0 - q0 + s1 * s1 - q1))))) AS loss FROM fp{t}""" for t in range(2)],
+    "boosted": [f"""WITH {RESIDUAL}, y0 AS (SELECT row_id, label, ln(p / (1 - p)) AS f, f1, f2, f3 FROM base, pr){''.join(', ' + tree_round(i) for i in range(t))}
+SELECT avg(ln(1 + exp(-label * f))) AS loss FROM y{t}""" for t in range(2)],
+}
+ORACLES["loss_history"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS trainer, CAST({t} AS BIGINT) AS iteration, {r('loss')} AS loss FROM ({sql})" for name, found in HISTORIES.items() for t, sql in enumerate(found, start=1)
+)
+
 # sequential passes as recursion over the row number inside each group
 
 
