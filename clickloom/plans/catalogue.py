@@ -207,6 +207,17 @@ def libsvm_roundtrip(spark, sf_dir):
     return text.parse_labeled_lines(lines, mode="log", entity_token="feat_id")
 
 
+@query
+def text_source(spark, sf_dir):
+    """Lines written as text, read with ids that depend on their content, and parsed."""
+    path = scratch_path(spark, "lines")
+    number = F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as bigint) div 10").cast("string")
+    label = F.when(F.col("value") > tables.LABEL_CUT, "+1").otherwise("-1")
+    line = F.concat(label, F.lit(" type_"), F.col("event_type"), F.lit(":1 k_"), number, F.lit(":1"))
+    tables.table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return text.parse_labeled_lines(text.read_lines(spark, path), mode="exp")
+
+
 # profiles and similarity
 
 

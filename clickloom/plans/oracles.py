@@ -128,6 +128,11 @@ ORACLES["parse_quarantine"] = f"""SELECT event_id, {K} AS k, {r(f'CASE WHEN {K}
 ORACLES["libsvm_roundtrip"] = f"""WITH {EX}
 SELECT row_id, CASE WHEN label > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label, feature, entity_id, value FROM ex"""
 
+ORACLES["text_source"] = f"""WITH l AS (SELECT CASE WHEN value > 35 THEN '+1' ELSE '-1' END || ' type_' || event_type || ':1 k_' || ({K} // 10) || ':1' AS line,
+  CASE WHEN value > 35 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label, ['type_' || event_type, 'k_' || ({K} // 10)] AS f FROM events),
+n AS (SELECT md5(line) || '-' || (row_number() OVER (PARTITION BY line) - 1) AS row_id, label, f FROM l)
+SELECT row_id, label, unnest(f) AS feature, CAST(1 AS DOUBLE) AS value FROM n"""
+
 PROFILES = f"""tot AS (SELECT o_custkey AS c_custkey, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents,
     count(*) FILTER (WHERE o_orderstatus = 'F') AS fin FROM orders GROUP BY o_custkey),
 prof AS (SELECT c_custkey AS user_id, {CODES}, 20 * coalesce(n, 0) AS enable_times, coalesce(cents, 0) // 100000 AS post_times,

@@ -7,11 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.functions.expr import parse_number, split_tokens
 
 
+_EACH = 65_536  # copies of a line that one task numbers at a time
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a row id that is unique and stable for one set of input splits."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("value").alias("line")
-    )
+    """Text lines as ``(row_id, line)``; the id is the line's md5 and its number among equal lines.
+
+    Ids depend on the content alone: not on files, input splits or the order of the lines. Equal lines are counted before they
+    are numbered, in pieces, so that a line with a large share of all rows is no single task.
+    """
+    counted = spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_EACH}"))))
+    spread = pieces.repartition(F.xxhash64("line", "piece"))
+    last = F.least(F.col("n"), (F.col("piece") + 1) * _EACH) - 1
+    each = spread.select("line", F.explode(F.sequence(F.col("piece") * _EACH, last)).alias("copy"))
+    return each.select(F.concat_ws("-", F.md5("line"), "copy").alias("row_id"), "line")
 
 
 def _label(raw, mode: str):

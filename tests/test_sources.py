@@ -156,3 +156,19 @@ def test_latest_model_is_per_entity(spark, rows):
     assert not versions.publish(spark.createDataFrame([("e", "x", 9.9)], schema), 3)
     assert rows(versions.latest(), "model_key", "w", "version") == [("e", 0.3, 3), ("f", 0.2, 2)]
     assert versions.versions() == [1, 2, 3]
+
+
+def test_row_ids_do_not_depend_on_splits(spark, monkeypatch):
+    path = scratch_path(spark, "lines")
+    lines = ["+1 a:1"] * 700 + [f"-1 b{i}:1" for i in range(300)] + [""] * 3
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(5).write.text(path)
+    monkeypatch.setattr(text, "_EACH", 64)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: sorted(map(tuple, text.read_lines(spark, path).collect()))
+    one = read()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        many = read()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert one == many and len({i for i, _ in one}) == len(lines) and sorted(x for _, x in one) == sorted(lines)
