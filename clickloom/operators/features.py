@@ -154,17 +154,19 @@ USER_FEATURES = {
 def labeled_clicks(clicked: DataFrame, negatives: int = 1, seed: int = 5) -> DataFrame:
     """Each click as one positive and up to ``negatives`` negative rows of the same list.
 
-    Expects the output of :func:`clicked_in_list`; click rows must be distinct.
+    Expects the output of :func:`clicked_in_list`; click rows must be distinct. Keys are escaped, so different clicks and
+    rows have different ones, whatever characters or nulls their parts have.
     """
-    key = [F.col(c) for c in ("list_session_id", "user_id", "timestamp", "feat_id", "position")]
+    names = ("list_session_id", "user_id", "timestamp", "feat_id", "position")
+    key = [F.col(c) for c in names]
     negative = F.transform(
         negative_positions(F.col("candidates"), F.col("feat_id"), key, negatives, seed),
         lambda d: F.struct(F.lit(-1.0).alias("label"), d["id"].alias("id"), d["pos"].cast("bigint").alias("pos")),
     )
     positive = F.array(F.struct(F.lit(1.0).alias("label"), F.col("feat_id").alias("id"), F.col("position").alias("pos")))
-    rows = clicked.withColumn("click_key", F.concat_ws("|", *key)).withColumn("s", F.explode(F.concat(positive, negative)))
+    rows = clicked.withColumn("click_key", composite_key(*names, sep="|")).withColumn("s", F.explode(F.concat(positive, negative)))
     return rows.select(
-        F.concat_ws("|", "click_key", "s.id", "s.pos").alias("row_id"),
+        composite_key(*names, "s.id", "s.pos", sep="|").alias("row_id"),
         "click_key",
         "list_session_id",
         "user_id",

@@ -146,3 +146,11 @@ def test_sequence_fixtures(spark, rows):
 def test_text_keys_of_different_parts_stay_apart(spark):
     df = spark.createDataFrame([("a_b", "c"), ("a", "b_c"), ("a", None), ("a", ""), ("a\\", "b"), ("a", "\\b")], "x string, y string")
     assert df.select(features.composite_key("x", "y").alias("k")).distinct().count() == 6
+
+
+def test_row_ids_of_odd_clicks_differ(spark):
+    rows = [("s", "u|1", 5, "a", 0), ("s|u", "1", 5, "a", 0), ("s", "u", None, "a", 0), ("s", None, 5, "a", 0), ("s", "u\\", 5, "a", 0), (None, "s", 5, "a", 0)]
+    clicked = spark.createDataFrame(rows, "list_session_id string, user_id string, timestamp bigint, feat_id string, position bigint")
+    clicked = clicked.selectExpr("*", "array('a', 'b|1', 'b') AS candidates", *[f"1 AS {c}" for c in features.USER_FEATURES.values()])
+    out = features.labeled_clicks(clicked, negatives=2).collect()
+    assert len({r["row_id"] for r in out}) == len(out) == 18 and len({r["click_key"] for r in out}) == 6
