@@ -30,14 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clickloom.llm.cells import SPACE, Texts, no_cycles, settle, slices, worker_state
+from clickloom.llm.cells import SPACE, Texts, no_cycles, settle, slices, task_state
 from clickloom.llm.runs import RunMemo, holding, listed, parted
 
 MEMO = 250_000
 MEMO_BYTES = 96 << 20  # of one generation of runs, and of the words; keys and dict entries included
-SLICE = 4 << 20  # bytes of text at a time
-RUN_BYTES = 48 << 20  # of the memo of runs
-_FEW = 8 << 20  # bytes of the memos below it, which only meet what is new there
+SLICE = 2 << 20  # bytes of text at a time
+RUN_BYTES = 32 << 20  # of the memo of runs
+_FEW = 4 << 20  # bytes of the memos below it, which only meet what is new there
 _BIG = np.int64(1 << 40)
 _WIDE = 32  # words of more symbols are merged one by one
 #: The characters that count as white space (Unicode White_Space).
@@ -327,7 +327,7 @@ class Encoder:
 
 def encoder(text: str) -> Encoder:
     """The encoder of a vocabulary file, built once per Python worker."""
-    state = worker_state("bpe_verify")
+    state = task_state("bpe_verify")
     mark = hash(text)
     if getattr(state, "mark", None) != mark:
         state.mark, state.made = mark, Encoder(text, memo_bytes=_FEW)

@@ -7,6 +7,7 @@ Null texts count as empty. A word is a run of bytes other than space and 0x09-0x
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -16,6 +17,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 SLICE_BYTES = 4 << 20
 LONG = 64  # characters; longer texts are not kept in memos
@@ -50,6 +52,39 @@ def worker_state(name: str) -> types.SimpleNamespace:
     return home.__dict__.setdefault(name, types.SimpleNamespace())
 
 
+def task_state(name: str) -> types.SimpleNamespace:
+    """As :func:`worker_state`, for large tables: they go when a task of another operator begins in this worker (see :func:`slices`)."""
+    home = worker_state("large")
+    home.task = _task()
+    if f"of_{name}" not in home.__dict__:
+        _give_back()
+    return home.__dict__.setdefault(f"of_{name}", types.SimpleNamespace())
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can (a hundred megabytes of a worker after small objects have gone)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _task() -> int | None:
+    here = TaskContext.get()
+    return here.taskAttemptId() if here else None
+
+
+def _release() -> None:
+    """Drop the large tables of earlier tasks' operators, and give their memory back."""
+    home = worker_state("large")
+    held = [k for k in home.__dict__ if k.startswith("of_")]
+    if held and _task() != home.task:
+        for k in held:
+            delattr(home, k)
+        _give_back()
+
+
 @contextmanager
 def no_cycles():
     """Pause the cycle collector while large memos of plain strings grow; it would scan them for nothing."""
@@ -171,6 +206,7 @@ def repeated(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut a batch so that the texts of each piece stay within ``limit`` bytes, or are one text."""
+    _release()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     at = 0

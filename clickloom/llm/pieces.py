@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from clickloom.llm.cells import Texts, no_cycles, settle, worker_state
+from clickloom.llm.cells import Texts, no_cycles, settle, task_state
 from clickloom.llm.runs import RunMemo, holding, listed, parted, ragged
 
 MEMO = 200_000
@@ -227,7 +227,7 @@ class PieceEncoder:
 
 def piece_encoder(text: str) -> PieceEncoder:
     """The encoder of a tokenizer file, built once per Python worker."""
-    state = worker_state("pieces")
+    state = task_state("pieces")
     mark = hash(text)
     if getattr(state, "mark", None) != mark:
         state.mark, state.made = mark, PieceEncoder(text, memo_bytes=_FEW)

@@ -58,3 +58,17 @@ def test_slices_keep_every_row():
     parts = list(slices(batch, "text", 12))
     assert [i for p in parts for i in p.column("i").to_pylist()] == [0, 1, 2, 3, 4]
     assert all(sum(len(x or "") for x in p.column("text").to_pylist()) <= 12 or p.num_rows == 1 for p in parts)
+
+
+def test_large_tables_go_with_another_task(monkeypatch):
+    from clickloom.llm import cells
+
+    monkeypatch.setattr(cells, "_task", lambda: now)
+    batch = pa.record_batch({"text": pa.array(["a"])})
+    now = 1
+    cells.task_state("test").made = "table"
+    list(cells.slices(batch, "text"))
+    assert cells.task_state("test").made == "table"  # the same task, or one that asks for it again
+    now = 2
+    list(cells.slices(batch, "text"))
+    assert not hasattr(cells.task_state("test"), "made")
