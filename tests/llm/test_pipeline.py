@@ -18,7 +18,7 @@ from tests.conftest import SMALL
 def test_registration():
     found = queries()
     assert found["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) <= set(found) and set(ORACLES) <= set(oracle_sql())
 
 
