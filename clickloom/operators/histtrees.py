@@ -1,6 +1,6 @@
 """Boosted trees over numeric columns, split by histograms.
 
-Columns are cut at quantiles once, from a mergeable sketch; rows then carry small bin numbers (-1: missing or NaN). A level of a
+Columns are cut at exact quantiles once; rows then carry small bin numbers (-1: missing or NaN). A level of a
 tree is one aggregation by (node, column, bin), whose result is bounded by the layout and not by the rows. Only the
 smaller child of each split is counted; its sibling is the parent's histogram less the child's. A missing value
 goes to the side that gains more, which is part of the split. Routing is an expression on the row.
@@ -12,20 +12,30 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickloom.operators.ordering import running_sums
 from clickloom.operators.trees import ROOT, prior, residual
 from clickloom.session import cut_lineage
 
 BINS = 32
-ACCURACY = 100_000  # of the quantile sketch: ranks are exact up to about so many rows, then off by a share of 1 / ACCURACY
 MISSING = -1
 
 
-def cut_points(rows: DataFrame, inputs: list[str], bins: int = BINS, accuracy: int = ACCURACY) -> list[list[float]]:
-    """Different inner quantiles of every column: at most ``bins - 1`` numbers each, in one pass."""
-    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in inputs]
-    got = rows.agg(*[F.percentile_approx(c, shares, F.lit(accuracy)).alias(f"q{i}") for i, c in enumerate(known)]).first()
-    return [sorted(set(q or [])) for q in got]
+def cut_points(rows: DataFrame, inputs: list[str], bins: int = BINS) -> list[list[float]]:
+    """Different inner quantiles of every column: at most ``bins - 1`` numbers each.
+
+    A quantile is the least value that the share of the known values doesn't exceed, exact for any number of rows: values are counted,
+    and the counts summed up in order over range partitions. Only the cut points reach the driver.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("x")) for i, c in enumerate(inputs)])
+    counted = rows.select(F.inline(each)).filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("col", "x").agg(F.count("*").alias("n"))
+    ranked = running_sums(counted, ["col", "x"], {"before": "n"})
+    sizes = ranked.groupBy("col").agg(F.min("before").alias("first"), F.sum("n").alias("total"))
+    placed = ranked.join(F.broadcast(sizes), "col").withColumn("below", F.col("before") - F.col("first"))  # sizes: one row per column
+    reached = F.expr(f"least(((below + n) * {bins}) div total, {bins - 1}) > (below * {bins}) div total")
+    cuts: list[list[float]] = [[] for _ in inputs]
+    for r in placed.filter(reached).select("col", "x").collect():
+        cuts[r["col"]].append(r["x"])
+    return [sorted(at) for at in cuts]
 
 
 def binned(rows: DataFrame, inputs: list[str], cuts: list[list[float]]) -> DataFrame:
@@ -145,10 +155,10 @@ class HistModel:
     trees: list[HistTree]
 
 
-def fit(rows: DataFrame, inputs: list[str], iterations: int = 10, depth: int = 3, rate: float = 1.0, bins: int = BINS, accuracy: int = ACCURACY) -> HistModel:
+def fit(rows: DataFrame, inputs: list[str], iterations: int = 10, depth: int = 3, rate: float = 1.0, bins: int = BINS) -> HistModel:
     """Boosting on log-loss residuals of labels -1/+1 from the prior log-odds; only ``label`` and the inputs are read."""
     table = rows.select(F.col("label").cast("double").alias("label"), *inputs)
-    cuts = cut_points(table, inputs, bins, accuracy)
+    cuts = cut_points(table, inputs, bins)
     state = cut_lineage(binned(table, inputs, cuts).select("label", "bins"))
     bias = prior(state).first()["bias"]
     if bias is None:

@@ -120,3 +120,12 @@ def test_one_class_and_constant_columns(spark):
     flat = spark.createDataFrame([(1.0, 2.0), (-1.0, 2.0), (1.0, 2.0)], "label double, x double")
     model = ht.fit(flat, ["x"], iterations=2)
     assert ht.predict(flat, model).select("score").distinct().count() == 1 and model.trees[0].levels == []
+
+
+def test_cut_points_are_exact_beyond_any_sketch(spark):
+    df = spark.range(300_000).select(
+        ((F.col("id") * 7919) % 300_000).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, (F.col("id") % 10).cast("double")).alias("b")
+    )
+    a, b = ht.cut_points(df, ["a", "b"], bins=16)
+    assert a == [300_000 * i // 16 - 1.0 for i in range(1, 16)]
+    assert b == [float(i) for i in range(10)]
