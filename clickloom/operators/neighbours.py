@@ -2,14 +2,15 @@
 
 Vectors are cut into cells around pivots. A vector first gets an upper bound on the distance of its
 k-th neighbour from a piece of its own cell; by the triangle inequality it then needs to meet only
-the cells that come closer than this bound. Cells and the vectors that visit them are tiled into
-groups of bounded size, each one small matrix product that returns at most ``k`` rows per vector.
+the cells that come closer than this bound. A piece, of bounded size, is one row of bytes; the pieces are paired by a
+product that reads both sides from the shared folder, and a task returns at most ``k`` rows per vector and part of the other side.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clickloom.functions.expr import dot
@@ -18,6 +19,12 @@ from clickloom.session import cut_lineage
 MAX_PIVOTS = 2048
 SLACK = 1e-6  # covers rounding in the distance bounds
 DIGITS = 9  # similarities equal to this many digits are ties, broken by id
+TIE = 2e-9  # more than similarities that are ties can differ
+RUN_BYTES = 64 << 20  # of the vectors that a task holds of the side it goes through again and again
+
+
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _raw(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -54,8 +61,10 @@ def _assign(pivots: np.ndarray):
     return run
 
 
-def _bound(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(k: int, pivots: np.ndarray, radius: np.ndarray):
+    """A piece of a cell as one row: ids, units and least similarities of interest in bytes, and the cells it must meet."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         units = np.stack(pdf["unit"].to_numpy())
         theta = np.full(len(pdf), 2.0)  # no two unit vectors are further apart
         if len(pdf) > k:
@@ -63,37 +72,54 @@ def _bound(k: int):
                 d = _distances(units[begin : begin + 1024], units)
                 d[np.arange(len(d)), begin + np.arange(len(d))] = np.inf
                 theta[begin : begin + 1024] = np.partition(d, k - 1, axis=1)[:, k - 1]
-        return pd.DataFrame({"vid": pdf["vid"], "unit": pdf["unit"], "theta": theta})
+        theta = np.sqrt(theta * theta + 4 * TIE)  # ties of the k-th, too
+        reach = (_distances(units, pivots) - radius <= theta[:, None] + SLACK).any(axis=0)
+        ids = pdf["vid"].to_numpy(np.int64)
+        packed = [key[0], ids.tobytes(), units.tobytes(), (1.0 - theta * theta / 2).tobytes(), np.flatnonzero(reach)]
+        return pd.DataFrame([packed], columns=["cell", "ids", "units", "floor", "reach"])
 
     return run
 
 
-def _reach(pivots: np.ndarray, radius: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                near = _distances(np.stack(pdf["unit"].to_numpy()), pivots) - radius
-                hits = near <= pdf["theta"].to_numpy()[:, None] + SLACK
-                yield pd.DataFrame({"vid": pdf["vid"], "unit": pdf["unit"], "cells": [np.flatnonzero(h) for h in hits]})
+def _best(place: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
+    """The ``k`` highest similarities of every place, the smaller id first among ties."""
+    order = np.lexsort((ids, -sims, place))
+    place, ids, sims = place[order], ids[order], sims[order]
+    keep = np.arange(len(place)) - np.searchsorted(place, place) < k
+    return place[keep], ids[keep], sims[keep]
 
-    return run
 
+def _tile(k: int, width: int):
+    """Pairs of pieces to the ``k`` best of every visitor; the pairs of one piece follow each other inside a task."""
 
-def _tile(k: int):
-    def run(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if not len(visitors) or not len(members):
-            return pd.DataFrame({"vid": [], "other": [], "sim": []})
-        ids = members["vid"].to_numpy()
-        order = np.argsort(ids)
-        ids, stacked = ids[order], np.stack(members["unit"].to_numpy())[order]
-        sims = np.round(np.stack(visitors["unit"].to_numpy()) @ stacked.T, DIGITS)
-        mine = visitors["vid"].to_numpy()
-        sims[mine[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smallest id
-        out = pd.DataFrame(
-            {"vid": np.repeat(mine, best.shape[1]), "other": ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel()}
-        )
-        return out[np.isfinite(out["sim"])]
+    def run(batches):
+        name, ids, found = None, None, None
+
+        def ended():
+            place, others, sims = found
+            return pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(others), pa.array(sims)], ["vid", "other", "sim"])
+
+        for batch in batches:
+            for own, units, floor, others, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != name:
+                    if name is not None:
+                        yield ended()
+                    name, ids = own, np.frombuffer(own, np.int64)
+                    mine, least = np.frombuffer(units).reshape(-1, width), np.frombuffer(floor).copy()
+                    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                others, members = np.frombuffer(others, np.int64), np.frombuffer(members).reshape(-1, width)
+                parts = [found]
+                for begin in range(0, len(ids), 256):
+                    sims = mine[begin : begin + 256] @ members.T
+                    at, other = np.nonzero(sims >= least[begin : begin + 256, None])
+                    keep = ids[begin + at] != others[other]
+                    at, other = at[keep], other[keep]
+                    parts.append(_best(begin + at, others[other], np.round(sims[at, other], DIGITS), k))
+                found = _best(*(np.concatenate(x) for x in zip(*parts)), k)
+                last = np.flatnonzero(np.bincount(found[0], minlength=len(ids)) == k)
+                least[last] = np.maximum(least[last], found[2][np.searchsorted(found[0], last, "right") - 1] - TIE)
+        if name is not None:
+            yield ended()
 
     return run
 
@@ -123,20 +149,16 @@ def cosine_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, b
     radius = np.where(np.isfinite(radius), radius, -4.0)  # an empty cell is out of reach
     piece = F.pmod(F.xxhash64("vid"), F.col("pieces")).cast("int").alias("piece")
     members = placed.join(F.broadcast(cells), "cell").select("vid", "unit", "cell", piece)  # cells: one row per pivot
-    bounded = members.groupBy("cell", "piece").applyInPandas(_bound(k), "vid long, unit array<double>, theta double")
-    reached = bounded.mapInPandas(_reach(centres, radius), "vid long, unit array<double>, cells array<int>")
-    visits = cut_lineage(reached.select("vid", "unit", F.explode("cells").alias("cell")))
-    guests = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
-    tiles = F.broadcast(cells.select("cell", "pieces").join(guests, "cell"))  # one row per pivot
-    turn = F.pmod(F.xxhash64("vid", "cell"), F.col("turns")).cast("int").alias("turn")
-    left = visits.join(tiles, "cell").select(
-        "vid", "unit", "cell", turn, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
-    )
-    right = members.join(tiles.drop("pieces"), "cell").select(
-        "vid", "unit", "cell", "piece", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
+    packed = cut_lineage(
+        members.groupBy("cell", "piece").applyInPandas(_pack(k, centres, radius), "cell int, ids binary, units binary, floor binary, reach array<int>")
     )
-    tile = ["cell", "piece", "turn"]
-    near = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_tile(k), "vid long, other long, sim double")
+    width = centres.shape[1]
+    runs = -(-total * width * 8 // RUN_BYTES)
+    own = cut_lineage(packed.repartition(max(1, min(packed.count(), _partitions(vectors.sparkSession)))))
+    other = cut_lineage(packed.repartition(runs)).select(F.col("cell").alias("at"), F.col("ids").alias("others"), F.col("units").alias("members"))
+    # A product without shuffle: every task reads one part of either side, so that no vector is copied for the cells it visits.
+    pairs = own.hint("shuffle_replicate_nl").join(other, F.array_contains("reach", F.col("at")))
+    near = pairs.select("ids", "units", "floor", "others", "members").mapInArrow(_tile(k, width), "vid long, other long, sim double")
     best = Window.partitionBy("vid").orderBy(F.desc("sim"), "other")
     distinct = near.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select("vid", "other", "sim")
     return _for_all_ids(_raw(vectors, id_col, vector_col), base, distinct, k).withColumnRenamed("id", id_col)

@@ -33,3 +33,16 @@ def test_small_inputs(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert cosine_topk(df, "vec_id", "embedding", 3).count() == 0
     assert cosine_topk(df.limit(0), "vec_id", "embedding", 3).count() == 0
+
+
+def test_unstructured_vectors_are_paired_without_a_shuffle(spark):
+    rnd = np.random.default_rng(5)
+    table = {i: list(map(float, rnd.normal(size=12))) for i in range(150)}
+    near = cosine_topk(spark.createDataFrame(list(table.items()), "vec_id long, embedding array<double>"), "vec_id", "embedding", 3, 8)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan  # every piece meets every piece here
+    expected = brute(table, 3)
+    got = {}
+    for r in near.orderBy("vec_id", "rank").collect():
+        got.setdefault(r["vec_id"], []).append((r["neighbour"], r["sim"]))
+    assert got == expected
