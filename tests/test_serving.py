@@ -116,3 +116,20 @@ def test_gbt_report_with_a_saved_model(spark):
     path = scratch_path(spark, "gbt")
     report = ctr_report(log, "click", ["kind"], ["n"], iterations=2, depth=2, model_path=path).first()
     assert report["accuracy"] == 1.0 and report["tp"] + report["tn"] > 20
+
+
+def test_ranking_joins_candidates_not_their_features(spark):
+    requests = spark.createDataFrame(
+        [("u", f"s{i}", i, "a,b,c" if i % 2 else "c,a,b") for i in range(20)] + [(None, "s", 1, "b,a"), ("u", "t", 1, None)],
+        "user_id string, list_session_id string, timestamp long, feat_list string",
+    )
+    features = spark.createDataFrame([("u", f"f{i}") for i in range(30)], "user_id string, feature string")
+    model = spark.createDataFrame(
+        [("", "f0", 0.5), *[("b", f"f{i}", 0.1) for i in range(0, 40, 2)], ("a", "f1", 0.2), ("a", "other", 9.0)], "model_key string, feature string, w double"
+    )
+    ranked = rank.rank_candidates(requests, features, model)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(" in plan and "Generate explode(" not in plan
+    got = {(r["user_id"], r["list_session_id"]): (r["ranked_list"], r["ranked"]) for r in ranked.collect()}
+    assert len(got) == 22 and all(got["u", f"s{i}"] == ("b,a,c", True) for i in range(20))
+    assert got[None, "s"] == ("b,a", False) and got["u", "t"] == (None, False)
