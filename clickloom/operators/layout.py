@@ -1,4 +1,8 @@
-"""Physical layout of training examples and skew-safe model lookups."""
+"""Physical layout of training examples and skew-safe model lookups.
+
+Models of entities meet their rows by entity: a row carries its features as one array, rows of an entity stay where they are for all
+iterations, and what moves is one row of weights per entity and one partial gradient per weight.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clickloom.session import broadcast_if_small, cut_lineage
+from clickloom.functions.expr import multiplier, pointwise_loss
+from clickloom.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 
 @contextmanager
@@ -78,3 +83,73 @@ class ModelLookup:
         if self.hot is None:  # the hot keys depend on the examples only, so one count serves all iterations
             self.hot = cut_lineage(hot_keys(self.examples, self.on, self.hot_rows))
         return lookup(self.examples, model, self.on, self.hot, salt_on=self.salt_on)
+
+
+#: An entity with more rows is dealt to several tasks, and a model of an entity with more features meets its rows feature by feature.
+ENTITY_ROWS = 1_000_000
+ENTITY_FEATURES = 1_000
+
+
+def narrow_models(weights: DataFrame, bound: int = ENTITY_FEATURES) -> bool:
+    """True when no entity has more than ``bound`` weights."""
+    wide = weights.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") > bound)
+    return wide.isEmpty()
+
+
+class EntityRows:
+    """Packed examples ``(row_id, label, entity_id, offset, cells)``, hash-partitioned and sorted on the entity.
+
+    ``arranged`` comes from :func:`by_row`, so packing needs no shuffle. The rows of an entity beyond ``ENTITY_ROWS`` are dealt to
+    pieces, each with a copy of the entity's weights.
+    """
+
+    def __init__(self, arranged: DataFrame, entity_rows: int = ENTITY_ROWS):
+        offset = F.col("offset") if "offset" in arranged.columns else F.lit(0.0)
+        cells = arranged.select("row_id", "label", "entity_id", offset.alias("offset"), F.struct("feature", "value").alias("cell"))
+        packed = cells.groupBy("row_id", "label", "entity_id", "offset").agg(F.collect_list("cell").alias("cells"))
+        self.hot = cut_lineage(  # at most rows / entity_rows
+            packed.groupBy("entity_id").agg(F.ceil(F.count("*") / F.lit(entity_rows)).alias("pieces")).filter("pieces > 1")
+        )
+        n = int(arranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = packed.join(F.broadcast(self.hot), "entity_id", "left").withColumn(
+            "piece", F.pmod(F.xxhash64("row_id"), F.coalesce("pieces", F.lit(1).cast("bigint"))).cast("int")
+        )
+        placed = dealt.drop("pieces").repartition(n, "entity_id", "piece").sortWithinPartitions("entity_id", "piece")
+        self.rows = placed.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def scored(self, weights: DataFrame, score: str = "score") -> DataFrame:
+        """Add the score under ``weights(entity_id, feature, w)``, the offset included."""
+        last = F.coalesce(F.col("pieces"), F.lit(1)).cast("int") - 1
+        copied = weights.filter(F.col("feature").isNotNull()).join(F.broadcast(self.hot), "entity_id", "left").select(
+            "entity_id", F.explode(F.sequence(F.lit(0), last)).alias("piece"), F.struct("feature", F.coalesce("w", F.lit(0.0))).alias("own")
+        )
+        own = copied.groupBy("entity_id", "piece").agg(F.map_from_entries(F.collect_list("own")).alias("own"))
+        part = lambda total, c: total + c["value"] * F.coalesce(F.try_element_at("own", c["feature"]), F.lit(0.0))
+        joined = self.rows.join(own, ["entity_id", "piece"], "left")
+        return joined.withColumn(score, F.col("offset") + F.aggregate("cells", F.lit(0.0), part)).drop("own")
+
+    def gradient(self, weights: DataFrame, loss: str) -> DataFrame:
+        """(entity_id, feature, grad, rows, part): summed gradient and rows, and the weight's part of the loss."""
+        label, s = F.col("label"), F.col("score")
+        share = pointwise_loss(label, s, loss) / F.size("cells")
+        cells = self.scored(weights).select("entity_id", multiplier(label, s, loss).alias("m"), share.alias("share"), F.inline("cells"))
+        return cells.groupBy("entity_id", "feature").agg(
+            F.sum(F.col("m") * F.col("value")).alias("grad"), F.count("*").alias("rows"), F.sum("share").alias("part")
+        )
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
+@contextmanager
+def by_entity(arranged: DataFrame, on: list[str], broadcast_rows: int = BROADCAST_ROWS):
+    """:class:`EntityRows` for models of entities; None for other keys, for models that can be broadcast, and where one has very many features."""
+    pairs = arranged.select(*on).distinct()
+    if on != ["entity_id", "feature"] or pairs.count() <= broadcast_rows or not narrow_models(pairs):
+        yield None
+        return
+    rows = EntityRows(arranged)
+    try:
+        yield rows
+    finally:
+        rows.close()

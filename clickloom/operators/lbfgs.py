@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.expr import multiplier, pointwise_loss
-from clickloom.operators.layout import ModelLookup, by_row, per_row
+from clickloom.operators.layout import EntityRows, ModelLookup, by_entity, by_row, per_row
 from clickloom.session import BROADCAST_ROWS, cut_lineage
 
 MEMORY = 8
@@ -88,14 +88,17 @@ def _combined(q: np.ndarray, k: int, pg: Column) -> Column:
 class _Objective:
     """Loss and gradient of candidate weights over the examples, per key of the model."""
 
-    def __init__(self, arranged: DataFrame, on: list[str], loss: str, broadcast_rows: int):
-        self.on, self.loss = on, loss
+    def __init__(self, arranged: DataFrame, on: list[str], loss: str, broadcast_rows: int, entities: EntityRows | None = None):
+        self.on, self.loss, self.entities = on, loss, entities
         self.model = ModelLookup(arranged, on, broadcast_rows)
         self.offset = F.col("offset") if "offset" in arranged.columns else F.lit(0.0)
 
     def of(self, weights: DataFrame) -> DataFrame:
         """(key, grad, part): summed gradient, and the key's part of the summed loss (a row's loss is shared by its features)."""
-        joined = self.model.join(weights.select(*self.on, F.col("new").alias("w")))
+        candidate = weights.select(*self.on, F.col("new").alias("w"))
+        if self.entities:
+            return self.entities.gradient(candidate, self.loss).drop("rows")
+        joined = self.model.join(candidate)
         score = per_row(F.col("value") * F.coalesce("w", F.lit(0.0))) + self.offset
         scored = joined.withColumn("score", score).withColumn("_share", per_row(F.lit(1.0)))
         label, s = F.col("label"), F.col("score")
@@ -129,7 +132,7 @@ def fit_lbfgs(
         raise ValueError(f"regularizer must be 'l1' or 'l2', got {reg!r}")
     on = list(keys)
     lam1, lam2 = (lam, 0.0) if reg == "l1" else (0.0, lam)
-    with by_row(examples, placed=placed) as arranged:
+    with by_row(examples, placed=placed) as arranged, by_entity(arranged, on, broadcast_rows) as entities:
         names = arranged.select(*on).distinct()
         if normalizer is not None:
             names = names.join(normalizer, on[:-1])
@@ -139,7 +142,9 @@ def fit_lbfgs(
             names = names.join(weights.select(*on, F.col("w").alias("new")), on, "left").fillna(0.0, ["new"])
         else:
             names = names.withColumn("new", F.lit(0.0))
-        objective, products = _Objective(arranged, on, loss, broadcast_rows), Products(memory)
+        objective, products = _Objective(arranged, on, loss, broadcast_rows, entities), Products(memory)
+        if entities:  # the table stays where it is; gradients come to it
+            names = names.repartition(int(arranged.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
         none = F.array().cast("array<double>")
 
         def measured(table: DataFrame) -> DataFrame:

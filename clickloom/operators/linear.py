@@ -11,7 +11,7 @@ from clickloom.functions.expr import multiplier, pointwise_loss, sigmoid, soft_t
 from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import passes
 from clickloom.operators.history import note, observed
-from clickloom.operators.layout import ModelLookup, by_row, lookup, per_row
+from clickloom.operators.layout import ModelLookup, by_entity, by_row, lookup, per_row
 from clickloom.operators.lbfgs import fit_lbfgs
 from clickloom.session import BROADCAST_ROWS, cut_lineage
 
@@ -143,7 +143,7 @@ def fit_majorized(
     """
     _check_reg(reg)
     on = list(keys)
-    with by_row(examples, placed=placed) as arranged:
+    with by_row(examples, placed=placed) as arranged, by_entity(arranged, on, broadcast_rows) as entities:
         bound = cut_lineage(curvature(arranged, keys))
         if isinstance(normalizer, DataFrame):
             bound = cut_lineage(bound.drop("rows").join(normalizer, on[:-1]))
@@ -155,7 +155,7 @@ def fit_majorized(
         w = cut_lineage(start)
         model = ModelLookup(arranged, on, broadcast_rows)
         for t in range(1, iterations + 1):
-            grads = _gradient_of(model.join(w), loss, keys, history is not None).drop("rows")
+            grads = (entities.gradient(w, loss) if entities else _gradient_of(model.join(w), loss, keys, history is not None)).drop("rows")
             d, g, old = F.col("curve") / F.col("rows"), F.col("grad") / F.col("rows"), F.col("w")
             if reg == "l2":
                 new = (d * old - g) / (d + F.lit(lam))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clickloom.functions.expr import sigmoid
 from clickloom.functions.hashing import hash_weight
 from clickloom.operators import linear, passes
-from clickloom.operators.layout import by_row, lookup, per_row
+from clickloom.operators.layout import by_entity, by_row, lookup, per_row
 from clickloom.operators.metrics import evaluate
 from clickloom.session import cut_lineage
 
@@ -85,6 +85,16 @@ def _with_offset(examples: DataFrame, weights: DataFrame, on: list[str]) -> Data
     return joined.withColumn("offset", per_row(_part("w"))).drop("w")
 
 
+def _with_random_offset(arranged: DataFrame, random: DataFrame) -> DataFrame:
+    """The entities' part as ``offset`` on rows laid out by :func:`by_row`; one number per row goes back to its place."""
+    arranged = arranged.drop("offset")
+    with by_entity(arranged, ["entity_id", "feature"]) as entities:
+        if not entities:
+            return _with_offset(arranged, random, ["entity_id", "feature"])
+        parts = cut_lineage(entities.scored(random).select("row_id", F.col("score").alias("offset")))
+    return arranged.join(parts, "row_id", "left").fillna(0.0, ["offset"])
+
+
 def fixed_step(examples: DataFrame, weights: DataFrame, step: float, lam: float, reg: str = "l2", loss: str = "exp") -> DataFrame:
     """One gradient step of the fixed effect; the entities' part is the offset."""
     data = _with_offset(examples, random_of(weights), ["entity_id", "feature"])
@@ -137,7 +147,7 @@ def fit_mixed(
         weights = cut_lineage(initial_model(arranged))
         for i in range(iterations):
             fixed, random = fixed_of(weights), random_of(weights)
-            data = _with_offset(arranged, random, ["entity_id", "feature"])
+            data = _with_random_offset(arranged, random)
             if method[0] == "sgd":
                 fixed = linear.fit_sgd_averaged(data, fixed, 1, alpha[0], lam[0], reg[0], loss, shards)
             elif method[0] == "lbfgs":

@@ -506,3 +506,22 @@ def test_deep_trees_are_planned_quickly(spark):
     for d in range(6):
         node = 2 * node if f"f{d}" in ("f0", "f2", "f5") else 2 * node + 1
     assert got == [float(node), 127.0]
+
+
+def test_entity_rows_match_joins_by_feature(spark):
+    from clickloom.operators.layout import EntityRows, by_row, narrow_models
+
+    rows = [(i, 1.0 if i % 3 else -1.0, f"e{i * i % 4}", f, 1.0 + i % 2, 0.1 * (i % 5)) for i in range(60) for f in ("a", f"b{i % 7}", "a")]
+    examples = spark.createDataFrame(rows, "row_id long, label double, entity_id string, feature string, value double, offset double")
+    weights = examples.select("entity_id", "feature").distinct().filter("feature <> 'b3'").withColumn("w", F.rand(1))
+    with by_row(examples) as arranged:
+        want = linear._gradient_of(arranged.join(weights, ["entity_id", "feature"], "left"), "exp", ("entity_id", "feature"), True)
+        expected = {(r["entity_id"], r["feature"]): (r["grad"], r["rows"], r["part"]) for r in want.collect()}
+        for bound in (1_000_000, 7):  # the second deals entities to pieces
+            entities = EntityRows(arranged, bound)
+            found = entities.gradient(weights, "exp")
+            got = {(r["entity_id"], r["feature"]): (r["grad"], r["rows"], r["part"]) for r in found.collect()}
+            entities.close()
+            assert got.keys() == expected.keys()
+            assert all(got[k] == pytest.approx(expected[k]) for k in got)
+    assert narrow_models(weights, 8) and not narrow_models(weights, 3)
