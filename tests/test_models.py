@@ -525,3 +525,15 @@ def test_entity_rows_match_joins_by_feature(spark):
             assert got.keys() == expected.keys()
             assert all(got[k] == pytest.approx(expected[k]) for k in got)
     assert narrow_models(weights, 8) and not narrow_models(weights, 3)
+
+
+def test_fm_pass_holds_plain_floats():
+    """Small arrays cost several times the arithmetic; a parameter keeps the shrinkage from before its first row."""
+    learner = passes.FmSgdPass(0.1, (0.0, 0.5, 0.25), 0.0, "exp")
+    learner.step(1.0, ["a"], [1.0], [0.0], np.array([[0.0, 0.0]]))
+    learner.step(-1.0, ["b"], [0.0], [1.0], np.array([[1.0, -1.0]]))
+    w, v = {r[0]: r[1:3] for r in learner.finish(())}["b"]
+    rates = (0.1, 0.1 / math.sqrt(2))
+    assert w == pytest.approx(math.prod(1 - 0.5 * r for r in rates))
+    assert v == pytest.approx([math.prod(1 - 0.25 * r for r in rates), -math.prod(1 - 0.25 * r for r in rates)])
+    assert all(type(x) is float for p in learner.params.values() for x in p)
