@@ -192,7 +192,8 @@ def fit_sgd_averaged(
         raise ValueError("alpha * lam must be below 1")
     current = cut_lineage(model if model is not None else initial_model(examples, n_factors))
     shard = (hash_int(F.col("row_id")) % shards).cast("int")
-    placed = passes.place(examples.withColumn("shard", shard), ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
+    sharded = examples.select("row_id", "label", "feature", "value", shard.alias("shard"))
+    placed = passes.place_rows(sharded).persist(StorageLevel.MEMORY_AND_DISK)
     zero = F.array(*[F.lit(0.0)] * n_factors)
     inputs = ["label", "feature", "value", "w", "v"]
     try:

@@ -198,8 +198,8 @@ def fit_sgd_averaged(
         raise ValueError("alpha * lam must be below 1")
     w = cut_lineage(weights.select("feature", "w") if weights is not None else initial_weights(examples))
     shard = (hash_int(F.col("row_id")) % shards).cast("int")
-    sharded = examples.withColumn("offset", _offset(examples)).withColumn("shard", shard)
-    placed = passes.place(sharded, ["shard"], shards).persist(StorageLevel.MEMORY_AND_DISK)
+    sharded = examples.select("row_id", "label", "feature", "value", _offset(examples).alias("offset"), shard.alias("shard"))
+    placed = passes.place_rows(sharded).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         placed.count()
         model = ModelLookup(placed, ["feature"], BROADCAST_ROWS)

@@ -21,6 +21,11 @@ def place(examples: DataFrame, group: list[str], partitions: int) -> DataFrame:
     return examples.repartition(partitions, *group)
 
 
+def place_rows(examples: DataFrame) -> DataFrame:
+    """Hash-partition examples on the row: they are packed by all tasks, and only packed rows go to the few that pass through them."""
+    return place(examples, ["row_id"], int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def split_groups(examples: DataFrame, shards: int) -> DataFrame:
     """Add ``shard``: every group is cut into as many hashed shards, whatever its size.
 

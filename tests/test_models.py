@@ -537,3 +537,18 @@ def test_fm_pass_holds_plain_floats():
     assert w == pytest.approx(math.prod(1 - 0.5 * r for r in rates))
     assert v == pytest.approx([math.prod(1 - 0.25 * r for r in rates), -math.prod(1 - 0.25 * r for r in rates)])
     assert all(type(x) is float for p in learner.params.values() for x in p)
+
+
+def test_averaged_passes_pack_their_rows_in_all_tasks(spark, monkeypatch):
+    seen, pack = [], passes.pack
+
+    def spy(joined, *args):
+        seen.append(joined.select(F.spark_partition_id()).distinct().count())
+        return pack(joined, *args)
+
+    monkeypatch.setattr(passes, "pack", spy)
+    rows = [(i, 1.0 if i % 3 else -1.0, f"f{i % 5}", 1.0) for i in range(80)]
+    examples = spark.createDataFrame(rows, "row_id long, label double, feature string, value double")
+    linear.fit_sgd_averaged(examples, shards=1)
+    fm.fit_sgd_averaged(examples, n_factors=2, shards=1)
+    assert seen == [4, 4]  # the shuffle partitions of the tests: long rows of a shard are not one task's
