@@ -6,7 +6,9 @@ row-local expression over the few split nodes; a level needs one aggregation by
 
 from __future__ import annotations
 
+import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.expr import log_odds, logistic_loss
@@ -141,12 +143,58 @@ def predict_boosted(examples: DataFrame, bias: float, trees: list[Tree], rate: f
     return rows.select("row_id", "label", "score")
 
 
+#: Values of a column that MLlib may split between; a column with more of them is cut at so many quantiles.
+GBT_BINS = 32
+#: Different rows of a task while MLlib trains.
+GBT_ROWS = 1_000_000
+
+
+def _buckets(rows: DataFrame, inputs: list[str]):
+    """``Bucketizer`` of the columns with more than ``GBT_BINS`` values, at exact quantiles of all rows; None where there is no such column."""
+    from pyspark.ml.feature import Bucketizer
+
+    from clickloom.operators.histtrees import cut_points
+
+    rough = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in inputs]).first()
+    few = [c for c in inputs if rough[c] <= 4 * GBT_BINS]  # far beyond the error of the estimate
+    exact = rows.agg(F.lit(0).alias("_"), *[F.count_distinct(c).alias(c) for c in few]).first()
+    wide = [c for c in inputs if c not in few or exact[c] > GBT_BINS]
+    if not wide:
+        return None
+    # a bucket begins at its cut, and a quantile belongs to the values below it
+    cuts = [[math.nextafter(x, math.inf) for x in at if x < math.inf] for at in cut_points(rows, wide, GBT_BINS)]
+    splits = [[-math.inf, *(at or [0.0]), math.inf] for at in cuts]
+    return Bucketizer(splitsArray=splits, inputCols=wide, outputCols=[f"{c}_bucket" for c in wide], handleInvalid="keep")
+
+
 def fit_gbt(rows: DataFrame, inputs: list[str], label: str, iterations: int = 60, depth: int = 6, seed: int = 37):
-    """MLlib gradient-boosted trees on numeric columns; returns a ``PipelineModel``."""
-    from pyspark.ml import Pipeline
+    """MLlib gradient-boosted trees on numeric columns; returns a ``PipelineModel``.
+
+    Columns are cut at quantiles of all rows, not of MLlib's sample, so the model doesn't depend on how the rows are dealt out. Rows
+    that are equal then are trained as one whose weight is their number: every pass of every tree goes over the different ones only.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assemble, gbt]).fit(rows)
+    kept = rows.select(*inputs, label).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = dealt = None
+    try:
+        buckets = _buckets(kept, inputs)
+        coded = buckets.transform(kept) if buckets else kept
+        names = [f"{c}_bucket" if buckets and c in buckets.getInputCols() else c for c in inputs]
+        plain = [(F.col(c) + F.lit(0.0)).alias(c) for c in names]  # without the buckets' metadata, as MLlib would take them for unordered categories
+        counted = coded.groupBy(*plain, label).agg(F.count("*").cast("double").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(counted.count() / GBT_ROWS))
+        dealt = counted.repartition(tasks, *names).persist(StorageLevel.MEMORY_AND_DISK)
+        dealt.count()
+        kept.unpersist()
+        counted.unpersist()
+        assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+        gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=iterations, maxDepth=depth, maxBins=GBT_BINS + 1, seed=seed)  # + 1: missing
+        model = Pipeline(stages=[assemble, gbt]).fit(dealt)
+    finally:
+        for frame in (kept, counted, dealt):
+            if frame is not None:
+                frame.unpersist()
+    return PipelineModel([buckets, *model.stages]) if buckets else model

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from clickloom.operators import features, metrics, trees
+from clickloom.session import broadcast_if_small, cut_lineage
 
 
 def prepare(log: DataFrame, index: DataFrame, categories: list[str], numerics: list[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def input_names(categories: list[str], numerics: list[str]) -> list[str]:
 
 def fit_ctr(log: DataFrame, label: str, categories: list[str], numerics: list[str], iterations: int = 60, depth: int = 6):
     """Train on a log with an ``id`` column; returns the category index and the fitted model."""
-    index = features.category_index(log, categories)
+    index = broadcast_if_small(cut_lineage(features.category_index(log, categories)))  # joined once per column and pass
     rows = prepare(log, index, categories, numerics).withColumn(label, F.col(label).cast("double"))
     return index, trees.fit_gbt(rows, input_names(categories, numerics), label, iterations, depth)
 

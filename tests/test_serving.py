@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import graph, online, rank
+from clickloom.operators import graph, online, rank, trees
 from clickloom.operators.online import Rates
 from clickloom.plans.ctr import ctr_report
 from clickloom.session import scratch_path
@@ -118,6 +120,21 @@ def test_gbt_report_with_a_saved_model(spark):
     assert report["accuracy"] == 1.0 and report["tp"] + report["tn"] > 20
 
 
+def test_gbt_does_not_depend_on_the_layout(spark):
+    x = F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double")
+    label = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) * F.lit(0.7) > x).cast("double")
+    rows = spark.range(30_000).select("id", x.alias("x"), (F.col("id") % 7).cast("double").alias("k"), label.alias("click"))
+    fits = []
+    for dealt in (rows.coalesce(1), rows.repartition(5, "x"), rows.unionByName(rows)):  # the last: every row twice is the same model
+        model = trees.fit_gbt(dealt, ["x", "k"], "click", iterations=2, depth=2)
+        fits.append([re.findall(r"feature \d+ [<>]=? [\d.]+", t.toDebugString) for t in model.stages[-1].trees])
+        hits = model.transform(rows).filter("prediction = click").count()
+        assert hits > 20_000
+    assert fits[0] == fits[1] == fits[2] and any(fits[0])
+    counts = model.stages[0].transform(rows).groupBy("x_bucket").count().collect()
+    assert len(counts) == 32 and all(930 < r["count"] < 945 for r in counts)
+
+
 def test_ranking_joins_candidates_not_their_features(spark):
     requests = spark.createDataFrame(
         [("u", f"s{i}", i, "a,b,c" if i % 2 else "c,a,b") for i in range(20)] + [(None, "s", 1, "b,a"), ("u", "t", 1, None)],
