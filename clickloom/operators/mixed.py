@@ -7,12 +7,15 @@ entities or features without a weight simply contribute 0.
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.expr import sigmoid
-from clickloom.functions.hashing import hash_weight
+from clickloom.functions.hashing import hash_int, hash_weight
 from clickloom.operators import linear, passes
-from clickloom.operators.layout import by_entity, by_row, lookup, per_row
+from clickloom.operators.layout import ENTITY_FEATURES, by_entity, by_row, lookup, per_row
 from clickloom.operators.metrics import evaluate
 from clickloom.session import cut_lineage
 
@@ -122,6 +125,67 @@ def entity_rows(examples: DataFrame) -> DataFrame:
     return examples.select("entity_id", "row_id").distinct().groupBy("entity_id").agg(F.count("*").alias("rows"))
 
 
+def _own() -> Column:
+    """Aggregate: the weights of a model of few features as one map."""
+    return F.map_from_entries(F.collect_list(F.struct("feature", F.coalesce("w", F.lit(0.0)))))
+
+
+def _weight(own: str, cell: Column) -> Column:
+    return F.coalesce(F.try_element_at(own, cell["feature"]), F.lit(0.0))
+
+
+def _with_scores(rows: DataFrame, own: str, name: str) -> DataFrame:
+    part = F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["value"] * _weight(own, c))
+    return rows.withColumn(name, part)
+
+
+def _inputs(own: str, offset: str, *keys: Column) -> list:
+    """Columns of :class:`passes.SgdPass` from packed rows."""
+    start = F.transform("cells", lambda c: _weight(own, c)).alias("w")
+    return [*keys, "row_id", "label", F.col(offset).alias("offset"), F.col("cells.feature").alias("feature"), F.col("cells.value").alias("value"), start]
+
+
+def _fit_sgd(examples, iterations, alpha, lam, reg, loss, shards, validate, history) -> DataFrame:
+    """:func:`fit_mixed` by passes for both blocks, for models of few features.
+
+    Rows are packed and placed by entity in one exchange and stay there. A model of an entity meets them as one row, the fixed one as a
+    value; only the packed rows of the fixed effect's pass move again. All rows of an entity are one pass, and so one task's.
+    """
+    for r, step, strength in zip(reg, alpha, lam):
+        linear._check_reg(r)
+        if r == "l2" and step * strength >= 1:
+            raise ValueError("alpha * lam must be below 1")
+    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = examples.select("entity_id", "row_id", "label", F.struct("feature", "value").alias("cell")).repartition(n, "entity_id")
+    packed = cells.groupBy("entity_id", "row_id", "label").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    rows = packed.sortWithinPartitions("entity_id", "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = ["label", "offset", "feature", "value", "w"]
+    try:
+        weights = cut_lineage(initial_model(rows.select("entity_id", F.inline("cells"))))
+        for i in range(iterations):
+            fixed, random = fixed_of(weights), random_of(weights)
+            own = random.filter(F.col("feature").isNotNull()).groupBy("entity_id").agg(_own().alias("own"))
+            whole = lambda model: model.filter(F.col("feature").isNotNull()).agg(_own()).scalar()
+            both = rows.join(own, "entity_id", "left").withColumn("every", whole(fixed))
+            shard = (hash_int(F.col("row_id")) % shards).cast("int").alias("shard")
+            data = _with_scores(both, "own", "random").select(*_inputs("every", "random", shard))
+            learner = partial(passes.SgdPass, alpha[0], lam[0], reg[0], loss)
+            done = cut_lineage(passes.run_pass(data, ["shard"], ["row_id"], inputs, learner, linear.SGD_SCHEMA))
+            fixed = cut_lineage(linear.average_models(fixed, done, reg[0]))
+            both = rows.join(own, "entity_id", "left").withColumn("every", whole(fixed)).filter("entity_id <> ''")
+            data = _with_scores(both, "every", "fixed").select(*_inputs("own", "fixed", F.col("entity_id"), F.lit(0).alias("shard")))
+            learner = partial(passes.SgdPass, alpha[1], lam[1], reg[1], loss)
+            done = passes.run_pass(data, ["entity_id", "shard"], ["row_id"], inputs, learner, linear.KEYED_SCHEMA, placed=True)
+            # every weight of an entity is of a feature of its rows, so its pass reports all of them
+            touched = done.filter(F.col("feature").isNotNull())
+            weights = cut_lineage(combine(fixed, touched))
+            if history is not None:
+                history.append({"iteration": i + 1, **evaluate(score(validate if validate is not None else examples, weights), loss).first().asDict()})
+    finally:
+        rows.unpersist()
+    return weights
+
+
 def fit_mixed(
     examples: DataFrame,
     iterations: int = 3,
@@ -142,6 +206,8 @@ def fit_mixed(
     majorisation steps) or ``lbfgs`` (up to ``inner`` quasi-Newton steps on the same objective, down to ``tol``). ``history`` receives one metrics
     row per iteration on ``validate``.
     """
+    if method == ("sgd", "sgd") and linear.initial_weights(examples).limit(ENTITY_FEATURES + 1).count() <= ENTITY_FEATURES:
+        return _fit_sgd(examples, iterations, alpha, lam, reg, loss, shards, validate, history)
     rows_of = cut_lineage(entity_rows(examples))
     with by_row(examples) as arranged:
         weights = cut_lineage(initial_model(arranged))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -347,6 +348,24 @@ def test_mixed_training_improves(spark, method):
     assert model.filter("model_key = ''").count() == 5
 
 
+@pytest.mark.parametrize("reg", ["l1", "l2"])
+def test_mixed_passes_leave_packed_rows_with_their_entity(spark, monkeypatch, reg):
+    df = examples(spark, make(n=60)).withColumn("entity_id", F.when(F.col("row_id") % 7 > 0, F.col("entity_id")))
+    plans, run = {}, passes.run_pass
+
+    def seen(packed, group, *args, **named):
+        out = run(packed, group, *args, **named)
+        plans[group[0]] = out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(passes, "run_pass", seen)
+    fit = lambda: {tuple(r)[:2]: r["w"] for r in mixed.fit_mixed(df, 2, ("sgd", "sgd"), lam=(0.01, 0.02), reg=(reg, reg)).collect()}
+    placed = fit()
+    assert not re.search(r"Exchange hashpartitioning\(entity_id#\d+, shard#", plans["entity_id"])
+    monkeypatch.setattr(mixed, "ENTITY_FEATURES", 0)
+    assert placed == {k: pytest.approx(w, abs=1e-12) for k, w in fit().items()}
+
+
 def linear_loss(scored):
     return scored.agg(F.avg(F.log1p(F.exp(-F.col("label") * F.col("score"))))).first()[0]
 
