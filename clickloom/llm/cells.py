@@ -64,6 +64,10 @@ def task_state(name: str) -> types.SimpleNamespace:
 def _give_back() -> None:
     """Return freed memory to the system, where the C library can (a hundred megabytes of a worker after small objects have gone)."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -85,6 +89,14 @@ def _release() -> None:
         _give_back()
 
 
+def _trim_once() -> None:
+    """Give back what earlier tasks of this worker freed, once a task."""
+    home = worker_state("trimmed")
+    if getattr(home, "task", None) != _task():
+        home.task = _task()
+        _trim()
+
+
 @contextmanager
 def no_cycles():
     """Pause the cycle collector while large memos of plain strings grow; it would scan them for nothing."""
@@ -114,7 +126,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """step^i and step^-i modulo 2^64 for i < n."""
     state = worker_state("powers")
     if len(getattr(state, "up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(20, (n - 1).bit_length())  # as the slices of this worker need
         up, down = np.full(size, _STEP, np.uint64), np.full(size, pow(_STEP, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         state.up, state.down = np.cumprod(up), np.cumprod(down)
@@ -207,6 +219,7 @@ def repeated(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Cut a batch so that the texts of each piece stay within ``limit`` bytes, or are one text."""
     _release()
+    _trim_once()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     at = 0
