@@ -23,6 +23,9 @@ of its set bits.
   Both joins first link to the least member of each group and then compare what is still apart, so
   no link between components is lost.
 
+Shuffles of whole sets, lanes or elements are cut by hash into parts that are written one after the other
+(:func:`_in_parts`), so the disk holds the shuffle files of one part only.
+
 Cases: null and empty texts have an empty set and are alone. Texts with fewer words than a shingle have
 one shingle, the whole sequence. Repeated rows and keys are equal sets of their own rows; a null key
 never names a component unless all keys of it are null. An empty table gives no rows. Only key and text are read.
@@ -30,19 +33,23 @@ never names a component unless all keys of it are null. An empty table gives no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.llm.cells import LOWER_CODES, SPACE, Texts, mix, owner, slices, windows
 from clickloom.llm.components import components
-from clickloom.session import scratch_path
+from clickloom.session import broadcast_if_small, scratch_path
 
 SHINGLE, PERCENT = 4, 85
 _SEEDS = 4
 _RATIO = 1.5
+_LANE_PARTS = 2
+_ROW = 4  # an element that travels in a row of its own takes about so many times its room in a set
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -197,6 +204,14 @@ def _together(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
 
 
+def _beside_hubs(sets: DataFrame, parts: int, i: int) -> DataFrame:
+    """As :func:`_together` for the hubs (a) of one part and the members (b) that name them; a hub names itself."""
+    hubs = F.filter("hubs", lambda h: (h != F.col("node")) & _of_part(h, parts, i))
+    members = sets.select(F.explode(hubs).alias("a"), F.col("node").alias("b"), F.col("set").alias("sb"))
+    heads = sets.filter(_of_part(F.col("node"), parts, i) & F.array_contains("hubs", F.col("node")))
+    return members.join(heads.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+
+
 def _both(batch: pa.RecordBatch):
     """Sorted union with repeats of both sets of each pair, and their sizes."""
     for x, y in zip(batch.column("sa"), batch.column("sb")):
@@ -218,11 +233,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # sizes alone rule out some pairs before any set is moved
     small = sets.select("node", "n")
-    near = (
+    near = _stored(
         pairs.join(small.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "candidates"
     )
-    return _together(near, sets).mapInArrow(run, "a bigint, b bigint")
+    named = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    few = broadcast_if_small(named)
+    if few is not named:
+        sets = sets.join(few, "node", "left_semi")
+    parts = _parts(near.agg(F.sum("nb")), small.agg(F.sum("n")))
+
+    def one(i):
+        mine = near.filter(_of_part(F.col("a"), parts, i))
+        return _together(mine, sets).mapInArrow(run, "a bigint, b bigint")
+
+    return _in_parts(one, parts, "more-links")
 
 
 def most_differences(n: int, percent: int) -> int:
@@ -230,7 +255,7 @@ def most_differences(n: int, percent: int) -> int:
     return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(sets: DataFrame, percent: int) -> DataFrame:
     """(hub, node, nh, n, e, linked, far, edits): each member against its hub.
 
     ``e`` is the symmetric difference. A pair of members that links differs in e by at most d (see
@@ -258,7 +283,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["hub", "node", "nh", "n", "e", "linked", "far", "edits"])
 
-    return _together(pairs, sets).mapInArrow(run, "hub bigint, node bigint, nh bigint, n bigint, e bigint, linked boolean, far boolean, edits array<bigint>")
+    kind = "hub bigint, node bigint, nh bigint, n bigint, e bigint, linked boolean, far boolean, edits array<bigint>"
+    parts = _parts(sets.agg(F.sum(F.col("n") * F.size("hubs"))), sets.agg(F.sum("n")))
+    return _in_parts(lambda i: _beside_hubs(sets, parts, i).mapInArrow(run, kind), parts, "compared")
 
 
 @contextmanager
@@ -279,6 +306,20 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _of_part(node: Column, parts: int, i: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(parts)) == i
+
+
+def _parts(moved: DataFrame, held: DataFrame) -> int:
+    """Number of parts, so that one of them moves about as many elements as the table of sets holds, or less."""
+    return 1 + int((moved.first()[0] or 0) // max(1, held.first()[0] or 0))
+
+
+def _in_parts(of: Callable[[int], DataFrame], parts: int, name: str) -> DataFrame:
+    """The parts ``of(0)``, ``of(1)``, ... as one table, each written before the next is shuffled."""
+    return reduce(DataFrame.unionByName, [_stored(of(i), name) for i in range(parts)])
+
+
 def _drop(*frames: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for df in frames:
@@ -300,20 +341,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     later = narrow.join(nodes.filter("copies > 1"), same).filter("rid <> node").select("rid")
     first = table.filter("size(lanes) > 0").select("rid", "lanes").join(later, "rid", "left_anti")
     rows = first.select(F.explode("lanes").alias("lane"), F.col("rid").alias("node"))
-    groups = _stored(_groups(rows), "lane-groups")
+    groups = _in_parts(lambda i: _groups(rows.filter(_of_part(F.col("lane"), _LANE_PARTS, i))), _LANE_PARTS, "lane-groups")
     _drop(table)
-    pairs = groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    met = groups.select(F.col("hub").alias("node")).unionByName(groups.select("node")).distinct()
+    pairs = _stored(groups.select("hub", "node").distinct(), "pairs")
+    heads = pairs.select("hub", F.col("hub").alias("node")).distinct()
+    met = pairs.unionByName(heads).groupBy("node").agg(F.collect_list("hub").alias("hubs"))
     repeats = not narrow.groupBy("_key", *same).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
     sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node"), repeats), "sets")
-    compared = _stored(_compared(pairs, sets, percent), "compared")
+    compared = _compared(sets, percent)
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     linked = _stored(components(links), "components")
-    kept = _stored(_near(compared, linked, percent).unionByName(_far(groups, compared, sets, percent)), "prefixes")
+    kept = _near(compared, linked, sets, percent).unionByName(_far(groups, compared, sets, percent))
     # first with the least member of each group only, which joins most copies; then what is still apart
     for star in (True, False):
         again = _meet(kept, linked, percent, star)
-        links = links.unionByName(_stored(_verified(again, sets, percent), "more-links"))
+        links = links.unionByName(_verified(again, sets, percent))
         linked = _stored(components(links), "components")
     _drop(sets, compared, groups)
     final = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -326,7 +368,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame, repeats: bool) -> DataFrame:
-    """(node, n, set) of the wanted nodes, from a second look at the texts of their first rows.
+    """(node, n, set, hubs) of the wanted nodes, from a second look at the texts of their first rows.
 
     A text comes with the nodes of its key; fingerprints tell which of them it is. ``repeats``: whether
     a key and set can stand in several rows.
@@ -339,16 +381,16 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame, repea
                 hi, lo = _prints(grams, ptr)
                 own = (hi == part.column("hi").to_numpy()) & (lo == part.column("lo").to_numpy())
                 cells = pa.Array.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer((8 * ptr).astype(np.int32).tobytes()), pa.py_buffer(grams.tobytes())])
-                found = pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(ptr)), cells], names=["node", "n", "set"])
+                found = pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(ptr)), cells, part.column("hubs")], names=["node", "n", "set", "hubs"])
                 yield found.filter(pa.array(own))
 
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    named = texts.join(wanted.select("_of", "node", "hi", "lo"), F.col("_key").eqNullSafe(F.col("_of")))
-    found = named.select("_text", "node", "hi", "lo").mapInArrow(run, "node bigint, n bigint, set binary")
+    named = texts.join(wanted.select("_of", "node", "hi", "lo", "hubs"), F.col("_key").eqNullSafe(F.col("_of")))
+    found = named.select("_text", "node", "hi", "lo", "hubs").mapInArrow(run, "node bigint, n bigint, set binary, hubs array<bigint>")
     return found.dropDuplicates(["node"]) if repeats else found
 
 
-def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+def _near(compared: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Prefixes (key, node, n, e, at) of the edits of near members of one hub that are in different components.
 
     A pair links only if its edits share c = (e_x + e_y - d) / 2 elements or more. Edits are put in order of
@@ -356,6 +398,11 @@ def _near(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     A member of the hub's component meets only members that do not link to the hub; that bounds its c from
     below, and for the others e - d does.
     """
+    parts = _parts(compared.filter("edits IS NOT NULL").agg(_ROW * F.sum(F.size("edits"))), sets.agg(F.sum("n")))
+    return _in_parts(lambda i: _near_hubs(compared.filter(_of_part(F.col("hub"), parts, i)), linked, percent), parts, "near-prefixes")
+
+
+def _near_hubs(compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     rows = compared.filter("edits IS NOT NULL").join(named, F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "node")).drop("_n", "_c")
     rows = rows.join(named, F.col("hub") == F.col("_n"), "left").withColumn("ch", F.coalesce("_c", "hub")).drop("_n", "_c")
@@ -379,22 +426,47 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     As for the edits, with the empty set as hub: e is the size, and c at least ``percent`` of it.
     """
 
+    def cut(i):
+        def run(batches):
+            for batch in batches:
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+                found = [x[x % parts == i].tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(found, pa.binary())], names=["node", "n", "set"])
+
+        return run
+
     def run(batches):
         for batch in batches:
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
             if not found:
                 continue
             sizes = np.array([len(x) for x in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(found))], names=["node", "n", "edit"])
+            owned = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "n")]
+            yield pa.RecordBatch.from_arrays([*owned, pa.array(np.concatenate(found))], names=["node", "n", "edit"])
 
     away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"])
-    members = away.groupBy("node").agg(F.count("*").alias("lanes")).filter("lanes > 1").select("node")
-    each = sets.join(members, "node").select("node", "set").mapInArrow(run, "node bigint, n bigint, edit bigint")
-    count = each.groupBy("edit").agg(F.count("*").alias("df")).filter("df > 1")
+    members = _stored(away.groupBy("node").agg(F.count("*").alias("lanes")).filter("lanes > 1").select("node"), "far-members")
+    whole = sets.agg(F.sum("n"))
+    parts = _parts(sets.select("node", "n").join(members, "node").agg(_ROW * F.sum("n")), whole)
+
+    def shared(i):
+        mine = sets.select("node", "n", "set").mapInArrow(cut(i), "node bigint, n bigint, set binary")
+        each = mine.join(broadcast_if_small(members), "node").select("node", "n", "set").mapInArrow(run, "node bigint, n bigint, edit bigint")
+        count = each.groupBy("edit").agg(F.count("*").alias("df")).filter("df > 1")
+        return each.join(count, "edit")
+
+    elements = _in_parts(shared, parts, "shared-elements")
+    pieces = _parts(elements.agg(_ROW * F.count("*")), whole)
     own = Window.partitionBy("node")
     rank = F.row_number().over(own.orderBy("df", "edit")) + F.col("n") - F.count("*").over(own)
-    ranked = each.join(count, "edit").withColumn("at", rank).filter(F.expr(f"at <= n - ({percent} * n + 99) div 100 + 1"))
-    return ranked.select(F.xxhash64(F.lit("set"), "edit").alias("key"), "node", "n", F.col("n").alias("e"), "at")
+
+    def prefixes(i):
+        ranked = elements.filter(_of_part(F.col("node"), pieces, i)).withColumn("at", rank).filter(F.expr(f"at <= n - ({percent} * n + 99) div 100 + 1"))
+        return ranked.select(F.xxhash64(F.lit("set"), "edit").alias("key"), "node", "n", F.col("n").alias("e"), "at")
+
+    found = _in_parts(prefixes, pieces, "far-prefixes")
+    _drop(elements, members)
+    return found
 
 
 def _meet(kept: DataFrame, linked: DataFrame, percent: int, star: bool) -> DataFrame:

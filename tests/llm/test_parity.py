@@ -149,6 +149,30 @@ def test_common_passages(table):
     assert _got(pj.link(table(rows))) == _want(rows)
 
 
+def test_large_shuffles_are_cut_into_parts(table, monkeypatch):
+    """Lanes, whole sets and edits are written in several parts of like size, so the disk never holds all their shuffle files."""
+    rnd = random.Random(10)
+    shared = [[f"s{j}_{i}" for i in range(60)] for j in range(6)]
+    rows, own = [], []
+    for i in range(160):
+        if i % 4 == 0:
+            own = [f"o{i}_{j}" for j in range(rnd.randint(30, 50))]
+        w = list(own)
+        w[rnd.randrange(len(w))] = f"z{i}"
+        rows.append((i, " ".join(shared[rnd.randrange(6)] + w)))
+    stored, written = pj._stored, {}
+
+    def noted(df, name):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(pj, "_stored", noted)
+    assert _got(pj.link(table(rows))) == _want(rows)
+    for name in ("lane-groups", "compared"):
+        assert len(written[name]) > 1 and max(written[name]) < 0.8 * sum(written[name]), written
+
+
 def test_chain_of_copies(table):
     words = [f"t{i}" for i in range(200)]
     rows = []
