@@ -224,12 +224,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for joint, a, b in _both(batch):
-                same = int((joint[1:] == joint[:-1]).sum())
-                keep.append(100 * same >= percent * (a + b - same))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            for part in slices(batch, "sb"):
+                keep = []
+                for joint, a, b in _both(part):
+                    same = int((joint[1:] == joint[:-1]).sum())
+                    keep.append(100 * same >= percent * (a + b - same))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
     # sizes alone rule out some pairs before any set is moved
     small = sets.select("node", "n")
@@ -267,21 +268,22 @@ def _compared(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for joint, a, b in _both(batch):
-                twin = joint[1:] == joint[:-1]
-                same = int(twin.sum())
-                e, most = a + b - 2 * same, most_differences(b, percent)
-                edits = None
-                if e <= near * (most + 2) + 2:
-                    alone = np.ones(len(joint), bool)
-                    alone[1:] &= ~twin
-                    alone[:-1] &= ~twin
-                    edits = joint[alone].view(np.int64)
-                rows.append((a, b, e, 100 * same >= percent * (a + b - same), e > far * most, edits))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["hub", "node", "nh", "n", "e", "linked", "far", "edits"])
+            for part in slices(batch, "sb"):
+                rows = []
+                for joint, a, b in _both(part):
+                    twin = joint[1:] == joint[:-1]
+                    same = int(twin.sum())
+                    e, most = a + b - 2 * same, most_differences(b, percent)
+                    edits = None
+                    if e <= near * (most + 2) + 2:
+                        alone = np.ones(len(joint), bool)
+                        alone[1:] &= ~twin
+                        alone[:-1] &= ~twin
+                        edits = joint[alone].view(np.int64)
+                    rows.append((a, b, e, 100 * same >= percent * (a + b - same), e > far * most, edits))
+                cols = list(zip(*rows)) or [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["hub", "node", "nh", "n", "e", "linked", "far", "edits"])
 
     kind = "hub bigint, node bigint, nh bigint, n bigint, e bigint, linked boolean, far boolean, edits array<bigint>"
     parts = _parts(sets.agg(F.sum(F.col("n") * F.size("hubs"))), sets.agg(F.sum("n")))
@@ -426,32 +428,42 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     As for the edits, with the empty set as hub: e is the size, and c at least ``percent`` of it.
     """
 
+    def picked(part, i):
+        found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+        return [x[x % parts == i] for x in found]
+
     def cut(i):
         def run(batches):
             for batch in batches:
-                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
-                found = [x[x % parts == i].tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(found, pa.binary())], names=["node", "n", "set"])
+                for part in slices(batch, "set"):
+                    cells = pa.array([x.tobytes() for x in picked(part, i)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), cells], names=["node", "n", "set"])
 
         return run
 
-    def run(batches):
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
-            if not found:
-                continue
-            sizes = np.array([len(x) for x in found], np.int64)
-            owned = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays([*owned, pa.array(np.concatenate(found))], names=["node", "n", "edit"])
+    def rows(i):
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch, "set"):
+                    found = picked(part, i)
+                    sizes = np.array([len(x) for x in found], np.int64)
+                    owned = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("node", "n")]
+                    yield pa.RecordBatch.from_arrays([*owned, pa.array(np.concatenate(found))], names=["node", "n", "edit"])
+
+        return run
 
     away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"])
     members = _stored(away.groupBy("node").agg(F.count("*").alias("lanes")).filter("lanes > 1").select("node"), "far-members")
     whole = sets.agg(F.sum("n"))
     parts = _parts(sets.select("node", "n").join(members, "node").agg(_ROW * F.sum("n")), whole)
 
+    few = broadcast_if_small(members)
+
     def shared(i):
-        mine = sets.select("node", "n", "set").mapInArrow(cut(i), "node bigint, n bigint, set binary")
-        each = mine.join(broadcast_if_small(members), "node").select("node", "n", "set").mapInArrow(run, "node bigint, n bigint, edit bigint")
+        mine = sets.select("node", "n", "set")
+        if few is members:  # both are shuffled, and of a set only what belongs to the part
+            mine = mine.mapInArrow(cut(i), "node bigint, n bigint, set binary")
+        each = mine.join(few, "node").select("node", "n", "set").mapInArrow(rows(i), "node bigint, n bigint, edit bigint")
         count = each.groupBy("edit").agg(F.count("*").alias("df")).filter("df > 1")
         return each.join(count, "edit")
 
