@@ -49,6 +49,7 @@ SHINGLE, PERCENT = 4, 85
 _SEEDS = 4
 _RATIO = 1.5
 _LANE_PARTS = 2
+_SLICE = 1 << 20
 _ROW = 4  # an element that travels in a row of its own takes about so many times its room in a set
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -158,7 +159,7 @@ def sketches(docs: DataFrame, key: str, text: str, percent: int, k: int) -> Data
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, _SLICE):
                 grams, ptr = shingle_sets(Texts(part.column(text)), k)
                 hi, lo = _prints(grams, ptr)
                 keys, at = lanes(grams, ptr, bands)
@@ -224,7 +225,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "sb"):
+            for part in slices(batch, "sb", _SLICE):
                 keep = []
                 for joint, a, b in _both(part):
                     same = int((joint[1:] == joint[:-1]).sum())
@@ -268,7 +269,7 @@ def _compared(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "sb"):
+            for part in slices(batch, "sb", _SLICE):
                 rows = []
                 for joint, a, b in _both(part):
                     twin = joint[1:] == joint[:-1]
@@ -378,7 +379,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame, repea
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", _SLICE):
                 grams, ptr = shingle_sets(Texts(part.column("_text")), k)
                 hi, lo = _prints(grams, ptr)
                 own = (hi == part.column("hi").to_numpy()) & (lo == part.column("lo").to_numpy())
@@ -435,7 +436,7 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     def cut(i):
         def run(batches):
             for batch in batches:
-                for part in slices(batch, "set"):
+                for part in slices(batch, "set", _SLICE):
                     cells = pa.array([x.tobytes() for x in picked(part, i)], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), cells], names=["node", "n", "set"])
 
@@ -444,7 +445,7 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     def rows(i):
         def run(batches):
             for batch in batches:
-                for part in slices(batch, "set"):
+                for part in slices(batch, "set", _SLICE):
                     found = picked(part, i)
                     sizes = np.array([len(x) for x in found], np.int64)
                     owned = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("node", "n")]
