@@ -66,6 +66,19 @@ def test_pagerank_fixture(spark):
     assert salted == {n: pytest.approx(v) for n, v in ranks.items()}
 
 
+def test_pagerank_steps_without_hubs_move_ranks_only(spark, monkeypatch):
+    """Ranks beyond the broadcast bound meet edges that stay where they are; only edges of hubs are salted."""
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().toString()), cut(df))[1])
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("d", "c")], "src string, dst string")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(edges, 1, broadcast_rows=2).collect()}
+    assert got == {"a": pytest.approx(0.15), "b": pytest.approx(0.575), "c": pytest.approx(2.275), "d": pytest.approx(0.15)}
+    assert not any("_salt" in p for p in plans)
+    plans.clear()
+    assert {r["node"]: r["rank"] for r in graph.pagerank(edges, 1, broadcast_rows=2, hub_links=1).collect()} == {k: pytest.approx(v) for k, v in got.items()}
+    assert any("_salt" in p for p in plans)
+
+
 def example_files(spark, batches):
     folder = scratch_path(spark, "examples")
     for i, rows in enumerate(batches):
