@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.llm.cells import LOWER_CODES, SPACE, Texts, mix, owner, slices, windows
-from clickloom.llm.components import components
+from clickloom.llm.components import components, joined
 from clickloom.session import broadcast_if_small, scratch_path
 
 SHINGLE, PERCENT = 4, 85
@@ -51,6 +51,7 @@ _RATIO = 1.5
 _LANE_PARTS = 2
 _SLICE = 1 << 20
 _ROW = 4  # an element that travels in a row of its own takes about so many times its room in a set
+_PART = 1 << 24  # elements that are not worth a cut
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -220,8 +221,8 @@ def _both(batch: pa.RecordBatch):
         yield np.sort(np.concatenate([s, t]), kind="stable"), len(s), len(t)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of the stored candidates whose whole sets reach the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -233,17 +234,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
-    # sizes alone rule out some pairs before any set is moved
-    small = sets.select("node", "n")
-    near = _stored(
-        pairs.join(small.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "candidates"
-    )
     named = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     few = broadcast_if_small(named)
     if few is not named:
         sets = sets.join(few, "node", "left_semi")
-    parts = _parts(near.agg(F.sum("nb")), small.agg(F.sum("n")))
+    parts = _parts(near.agg(F.sum("nb")), sets.agg(F.sum("n")), _PART)
 
     def one(i):
         mine = near.filter(_of_part(F.col("a"), parts, i))
@@ -313,9 +308,9 @@ def _of_part(node: Column, parts: int, i: int) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(parts)) == i
 
 
-def _parts(moved: DataFrame, held: DataFrame) -> int:
-    """Number of parts, so that one of them moves about as many elements as the table of sets holds, or less."""
-    return 1 + int((moved.first()[0] or 0) // max(1, held.first()[0] or 0))
+def _parts(moved: DataFrame, held: DataFrame, least: int = 1) -> int:
+    """Number of parts, so that one of them moves about as many elements as the table of sets holds (at least ``least``), or less."""
+    return 1 + int((moved.first()[0] or 0) // max(least, held.first()[0] or 0))
 
 
 def _in_parts(of: Callable[[int], DataFrame], parts: int, name: str) -> DataFrame:
@@ -341,7 +336,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         narrow.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("node"), F.min("_key").alias("least"), F.min_by("_key", "rid").alias("_of"), F.count("*").alias("copies")), "nodes"
     )
     # later rows of a set bring nothing new; they are few, or Spark joins them by shuffle
-    later = narrow.join(nodes.filter("copies > 1"), same).filter("rid <> node").select("rid")
+    copied = broadcast_if_small(nodes.filter("copies > 1").select(*same, "node"))
+    later = broadcast_if_small(_stored(narrow.join(copied, same).filter("rid <> node").select("rid"), "copies"))
     first = table.filter("size(lanes) > 0").select("rid", "lanes").join(later, "rid", "left_anti")
     rows = first.select(F.explode("lanes").alias("lane"), F.col("rid").alias("node"))
     groups = _in_parts(lambda i: _groups(rows.filter(_of_part(F.col("lane"), _LANE_PARTS, i))), _LANE_PARTS, "lane-groups")
@@ -352,16 +348,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     repeats = not narrow.groupBy("_key", *same).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
     sets = _stored(_sets(docs, key, text, k, nodes.join(met, "node"), repeats), "sets")
     compared = _compared(sets, percent)
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    linked = _stored(components(links), "components")
+    linked = _stored(components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "components")
     kept = _near(compared, linked, sets, percent).unionByName(_far(groups, compared, sets, percent))
     # first with the least member of each group only, which joins most copies; then what is still apart
     for star in (True, False):
-        again = _meet(kept, linked, percent, star)
-        links = links.unionByName(_verified(again, sets, percent))
-        linked = _stored(components(links), "components")
+        again = _stored(_meet(kept, linked, percent, star), "candidates")
+        if not again.isEmpty():
+            linked = _stored(joined(linked, _verified(again, sets, percent)), "components")
     _drop(sets, compared, groups)
-    final = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    final = nodes.join(broadcast_if_small(linked), "node", "left").withColumn("component", F.coalesce("component", "node"))
     final = _stored(final.select(*same, "least", "component"), "classes")
     _drop(nodes, linked)
     named = final.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -401,7 +396,8 @@ def _near(compared: DataFrame, linked: DataFrame, sets: DataFrame, percent: int)
     A member of the hub's component meets only members that do not link to the hub; that bounds its c from
     below, and for the others e - d does.
     """
-    parts = _parts(compared.filter("edits IS NOT NULL").agg(_ROW * F.sum(F.size("edits"))), sets.agg(F.sum("n")))
+    parts = _parts(compared.filter("edits IS NOT NULL").agg(_ROW * F.sum(F.size("edits"))), sets.agg(F.sum("n")), _PART)
+    linked = broadcast_if_small(linked)
     return _in_parts(lambda i: _near_hubs(compared.filter(_of_part(F.col("hub"), parts, i)), linked, percent), parts, "near-prefixes")
 
 
@@ -409,11 +405,11 @@ def _near_hubs(compared: DataFrame, linked: DataFrame, percent: int) -> DataFram
     named = linked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     rows = compared.filter("edits IS NOT NULL").join(named, F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "node")).drop("_n", "_c")
     rows = rows.join(named, F.col("hub") == F.col("_n"), "left").withColumn("ch", F.coalesce("_c", "hub")).drop("_n", "_c")
-    split = rows.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("hub")
+    split = _stored(rows.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("hub"), "split-hubs")
     t, u = 100 - percent, 100 + percent
     most = F.expr(f"({t} * (n + (100 * n) div {percent})) div {u}")
     least = F.when(F.col("c") == F.col("ch"), F.expr(f"({u} * e + {t} * (nh - n)) div {2 * u}")).otherwise(F.col("e") - most)
-    own = rows.join(split, "hub").withColumn("size", F.col("e") - F.greatest(F.lit(1), least) + 1)
+    own = rows.join(broadcast_if_small(split), "hub").withColumn("size", F.col("e") - F.greatest(F.lit(1), least) + 1)
     each = own.select("hub", "node", "n", "e", "c", "size", F.explode("edits").alias("edit"))
     count = each.groupBy("hub", "edit").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("hub", "node")  # one document's edits
@@ -456,8 +452,7 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     away = groups.join(compared.filter("far").select("hub", "node"), ["hub", "node"])
     members = _stored(away.groupBy("node").agg(F.count("*").alias("lanes")).filter("lanes > 1").select("node"), "far-members")
     whole = sets.agg(F.sum("n"))
-    parts = _parts(sets.select("node", "n").join(members, "node").agg(_ROW * F.sum("n")), whole)
-
+    parts = _parts(sets.select("node", "n").join(members, "node").agg(_ROW * F.sum("n")), whole, _PART)
     few = broadcast_if_small(members)
 
     def shared(i):
@@ -469,7 +464,7 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
         return each.join(count, "edit")
 
     elements = _in_parts(shared, parts, "shared-elements")
-    pieces = _parts(elements.agg(_ROW * F.count("*")), whole)
+    pieces = _parts(elements.agg(_ROW * F.count("*")), whole, _PART)
     own = Window.partitionBy("node")
     rank = F.row_number().over(own.orderBy("df", "edit")) + F.col("n") - F.count("*").over(own)
 
@@ -483,25 +478,25 @@ def _far(groups: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
 
 
 def _meet(kept: DataFrame, linked: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs of different components that share a prefix element and can still overlap enough.
+    """Pairs (a, b) of different components that share a prefix element and can still overlap enough, and the size nb of b.
 
     ``star``: only with the least member of each group of equal elements.
     """
     t, u = 100 - percent, 100 + percent
-    rows = kept.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    apart = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    rows = rows.join(apart, "key")
+    rows = kept.join(broadcast_if_small(linked), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     cells = ["node", "n", "e", "at", "c"]
+    apart = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(*cells)).alias("o")).filter("c0 < c1")
     if star:
-        other = rows.groupBy("key").agg(F.min(F.struct(*cells)).alias("o")).select("key", *(F.col(f"o.{x}").alias(f"{x}2") for x in cells))
+        other = apart.select("key", *(F.col(f"o.{x}").alias(f"{x}2") for x in cells))
     else:
+        rows = rows.join(apart.select("key"), "key")
         other = rows.select("key", *(F.col(x).alias(f"{x}2") for x in cells))
     # what is left after the common element must still hold the overlap
     left = F.least(F.col("e") - F.col("at"), F.col("e2") - F.col("at2")) + 1
     enough = 2 * u * left >= u * (F.col("e") + F.col("e2")) - t * (F.col("n") + F.col("n2"))
     sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     pairs = rows.join(other, "key").filter((F.col("node2") < F.col("node")) & (F.col("c") != F.col("c2")) & enough & sized)
-    return pairs.select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs.select(F.col("node2").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:

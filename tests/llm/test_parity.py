@@ -225,3 +225,38 @@ def test_connected_components(spark):
         assert got[node] == min(seen)
     assert set(got) == set(near)
     assert cc.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def _dealt(spark):
+    """Settings under which every shuffle has 64 tasks, and those that they replace."""
+    new = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    return old
+
+
+def test_few_links_take_few_tasks(spark):
+    """Rounds over a few links are not dealt to as many tasks as the shuffles of whole tables."""
+    old, group = _dealt(spark), "few-links"
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {tuple(r) for r in cc.components(links).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert got == {(i, 0) for i in range(41)}
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) < 150
+
+
+@pytest.mark.parametrize("more", [[], [(4, 1)], [(7, 2), (9, 8), (5, 9), (5, 7)], [(1, 2), (3, 0), (20, 21)]])
+def test_links_between_components(spark, more):
+    """Further links join what the first ones have found, as all links at once do."""
+    first = [(1, 0), (3, 2), (5, 3), (8, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint").checkpoint()
+    got = cc.joined(cc.components(frame(first)).checkpoint(), frame(more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cc.components(frame(first + more)).collect()))
