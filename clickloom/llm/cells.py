@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 
 SLICE_BYTES = 4 << 20
+FEW_BYTES = 1 << 20  # a slice of texts that are looked at one by one
+_POWERS = 1 << 20  # powers that a worker keeps from task to task
 LONG = 64  # characters; longer texts are not kept in memos
 _SLOT = 100  # bytes of an entry of a dict besides its key and value
 _BYTES = np.arange(256)
@@ -94,6 +96,9 @@ def _trim_once() -> None:
     home = worker_state("trimmed")
     if getattr(home, "task", None) != _task():
         home.task = _task()
+        kept = worker_state("powers")
+        if len(getattr(kept, "up", ())) > _POWERS:
+            kept.up, kept.down = kept.up[:_POWERS].copy(), kept.down[:_POWERS].copy()
         _trim()
 
 
@@ -126,7 +131,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """step^i and step^-i modulo 2^64 for i < n."""
     state = worker_state("powers")
     if len(getattr(state, "up", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())  # as the slices of this worker need
+        size = max(_POWERS, 1 << (n - 1).bit_length())  # as the slices of this task need
         up, down = np.full(size, _STEP, np.uint64), np.full(size, pow(_STEP, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         state.up, state.down = np.cumprod(up), np.cumprod(down)

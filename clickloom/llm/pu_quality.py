@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.llm.cells import ALNUM, SPACE, Texts, owner, per_text, repeated, slices, windows
+from clickloom.llm.cells import ALNUM, FEW_BYTES, SPACE, Texts, owner, per_text, repeated, slices, windows
 from clickloom.llm.labelled import held_out, thinned, train_labels
 from clickloom.session import scratch_path
 
@@ -90,7 +90,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, FEW_BYTES):
                 x = form_features(Texts(part.column(text)))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([part.column(key), lists], names=[key, "x"])
@@ -260,7 +260,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, FEW_BYTES):
                 yield part.filter(pa.array(model.scores(form_features(Texts(part.column(text)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

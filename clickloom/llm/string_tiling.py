@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clickloom.llm.cells import ALNUM, LOWER_CODES, Texts, slices, windows
+from clickloom.llm.cells import ALNUM, FEW_BYTES, LOWER_CODES, Texts, slices, windows
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -154,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     def scan(index: Index):
         def run(batches):
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, text, FEW_BYTES):
                     found = list(index.leaks(Texts(part.column(text)), threshold))
                     if found:
                         ids = part.column(key).to_pylist()
@@ -181,7 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     def keep(index: Index):
         def run(batches):
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, text, FEW_BYTES):
                     ok = np.ones(part.num_rows, bool)
                     for d, *_ in index.leaks(Texts(part.column(text)), threshold):
                         ok[d] = False

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from clickloom.llm import cells
 from clickloom.llm.cells import ALNUM, LOWER_CODES, SPACE, Texts, owner, repeated, slices, windows
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \n\t.中", max_size=30)), max_size=6)
@@ -72,3 +73,16 @@ def test_large_tables_go_with_another_task(monkeypatch):
     now = 2
     list(cells.slices(batch, "text"))
     assert not hasattr(cells.task_state("test"), "made")
+
+
+def test_tables_for_long_texts_go_with_their_task(monkeypatch):
+    """Powers for a long text are not kept by the worker when its next task begins, and are right when cut and grown again."""
+    was = cells.worker_state("powers").__dict__.copy()
+    for task, n in ((1, 3 << 20), (2, 10), (3, (1 << 20) + 7)):
+        monkeypatch.setattr(cells, "_task", lambda: task)
+        list(slices(pa.RecordBatch.from_pydict({"t": ["a"]}), "t"))
+        kept = cells.worker_state("powers")
+        assert task == 1 or len(kept.up) == len(kept.down) == 1 << 20
+        up, down = cells.powers(n)
+        assert len(up) == len(down) == n and (up * down == 1).all() and (up[1:] == up[:-1] * up[1]).all()
+    cells.worker_state("powers").__dict__.update(was)
